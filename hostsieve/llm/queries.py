@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hostsieve.llm.common import table
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostsieve.llm.secrets import digest, find_secrets
 
     return digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostsieve.llm.packing import pack
 
@@ -28,6 +41,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), length=10)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostsieve.llm.quality import score_quality
 
@@ -42,6 +61,16 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_secret_scans, op6_packing, op7_toxicity, op9_quality, op10_token_ids)
+    f.__name__: f
+    for f in (
+        op2_warc,
+        op4_secret_scans,
+        op5_top_k,
+        op6_packing,
+        op7_toxicity,
+        op8_decontamination,
+        op9_quality,
+        op10_token_ids,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
