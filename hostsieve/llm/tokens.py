@@ -27,7 +27,7 @@ SPLITS = {
 #: A character outside this class sends its text to the library whole.
 UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ɏ]")
 #: Pre-tokens in the cache at most, and their characters together; beyond, the cache starts anew.
-CACHED, CACHED_CHARS = 600_000, 8_000_000
+CACHED, CACHED_CHARS = 1_000_000, 12_000_000
 #: Characters of texts that are looked up together.
 GROUP = 1 << 21
 
@@ -79,7 +79,7 @@ class Encoder:
             self.known, self.chars = {}, 0
         split = [None if self.split is None or UNSURE.search(t) else self.split(t.lower() if self.lower else t) for t in texts]
         known = self.known
-        new = {p for pieces in split if pieces for p in pieces if p not in known}
+        new = set().union(*(pieces for pieces in split if pieces)).difference(known)
         known.update(self.learn(list(new)))
         self.chars += sum(map(len, new))
         for text, pieces in zip(texts, split, strict=True):
