@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from hostsieve.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.ngramjoin import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostsieve.llm.warc import round_trip
 
@@ -63,6 +69,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ngram_join,
         op2_warc,
         op4_secret_scans,
         op5_top_k,
