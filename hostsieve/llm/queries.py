@@ -23,6 +23,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.suffixdedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostsieve.llm.secrets import digest, find_secrets
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_join,
         op2_warc,
+        op3_suffix_dedup,
         op4_secret_scans,
         op5_top_k,
         op6_packing,
