@@ -275,22 +275,18 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
 
     def joined(tasks: DataFrame) -> DataFrame:
         """a, b: each node with its root, in each task (grp, i, j; node, label)."""
-        wanted = tasks.groupBy("node").agg(F.collect_list(F.struct("grp", "i", "j", "label")).alias("tasks"))
-        texts = docs.join(wanted, docs.doc_id == wanted.node).select("node", "text", "tasks")
-        kind = "grp long, i long, j long, node long, label long, grams binary"
-        sets = texts.mapInArrow(to_sets, kind)
-        return sets.repartition(max(8, buckets), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node").mapInArrow(joins, "a long, b long")
+        return (
+            tasks.join(sets.hint("merge"), "node")
+            .select("grp", "i", "j", "node", "label", "grams")
+            .repartition(max(8, buckets), "grp", "i", "j")
+            .sortWithinPartitions("grp", "i", "j", "node")
+            .mapInArrow(joins, "a long, b long")
+        )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["grp", "i", "j", "label"]
         for batch in batches:
-            raw, offsets = utf8(batch["text"])
-            out = []
-            for node, tasks, grams in zip(batch["node"].to_pylist(), batch["tasks"].to_pylist(), ngram_sets(raw, offsets, n), strict=True):
-                out += [(*(t[c] for c in names), node, grams.tobytes()) for t in tasks]
-            grp, i, j, label, node, data = zip(*out, strict=True) if out else ((),) * 6
-            columns = [pa.array(c, pa.int64()) for c in (grp, i, j, node, label)] + [pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["grp", "i", "j", "node", "label", "grams"])
+            data = [grams.tobytes() for grams in ngram_sets(*utf8(batch["text"]), n)]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(data, pa.binary())], ["node", "grams"])
 
     def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
@@ -309,6 +305,9 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
         a = [held[k][0] for k in root]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([h[0] for h in held], pa.int64())], ["a", "b"])
 
+    # texts are dealt by doc_id at every size, once; both rounds of joins read the sets that come of them
+    texts = docs.join(placed.select("node").hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text")
+    sets = stored(texts.mapInArrow(to_sets, "node long, grams binary"))
     alone = placed.select("grp", F.col("block").alias("i"), F.col("block").alias("j"), "node", F.col("node").alias("label"))
     shared = placed.where("pivot and blocks > 1").select("grp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"), "node", "block")
     shared = shared.where("i <> block").select("grp", "i", F.col("i").alias("j"), "node", F.col("node").alias("label"))
