@@ -8,7 +8,8 @@
 3. A bucket builds the Burrows-Wheeler transform of its distinct segments in rounds: each round inserts one symbol of each
    segment, from the last to the first, into the transform of all suffixes so far, and keeps for each suffix whether it
    agrees in `length` bytes with its predecessor, which cuts the order into classes of equal windows. From round to
-   round the state is read and written in sequence, by symbol. A class's smallest doc_id says who keeps the window.
+   round the state is read and written in sequence, by symbol. A class's smallest doc_id says who keeps the window. A
+   segment that is alone with its minimiser shares no window and needs no rounds.
 4. The answers return to the texts: for each distinct segment its smallest doc_id, and the windows that an even smaller
    document holds.
 
@@ -67,49 +68,60 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return minimum[at], at, size, text
 
 
-def bwt_rounds(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of the given strings in order: string, and length.
+def bwt_rounds(rows: np.ndarray) -> np.ndarray:
+    """The suffixes of the given strings in order, as places of the symbols before them in the flattened rows.
 
-    rows: one string a row, right-aligned; sizes: their lengths. Round k inserts the suffix of length k of each string
-    that has one: the suffix order of round k - 1, read in sequence and dealt by the symbols before the suffixes (the
-    transform), is the order of the suffixes that begin with these symbols. A string leaves the rounds when it ends.
+    rows: one string a row, right-aligned, with at least one 255, which UTF-8 never has, to its left. Round k inserts the
+    suffix of length k of each string that has one: the suffix order of round k - 1, read in sequence and dealt by the
+    symbols before the suffixes (the transform so far), is the order of the suffixes that begin with these symbols. A
+    string leaves the rounds when it ends.
     """
-    n, width = rows.shape
-    owner, length = np.arange(n), np.zeros(n, np.uint8)
-    for k in range(1, width + 1):
-        more = sizes[owner] > length  # suffixes with a symbol before them
-        inner, size = owner[more], length[more]
-        before = rows[inner, width - 1 - size.astype(np.int64)]  # the transform so far
-        order = np.argsort(before, kind="stable")
-        owner = np.concatenate((np.arange(n), inner[order]))
-        length = np.concatenate((np.zeros(n, np.uint8), size[order] + np.uint8(1)))
-    return owner, length
-
-
-def class_minima(strings: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string, of its windows the smallest document that holds an equal one; docs: each string's smallest."""
-    sizes = np.array([len(s) for s in strings])
-    width = int(sizes.max())
-    rows = np.zeros((len(strings), width), np.uint8)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
+    flat, width = rows.ravel(), rows.shape[1]
+    empty = np.arange(1, len(rows) + 1) * width - 1
+    at = empty
+    for _ in range(width - 1):
+        before = flat[at]
+        more = np.flatnonzero(before != 255)
+        order = more[np.argsort(before[more], kind="stable")]
+        at = np.concatenate((empty, at[order] - 1))
+    return at
+
+
+def class_minima(strings: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each string, of its windows the smallest document that holds an equal one; docs: each string's smallest.
+
+    Equal windows stand in strings of one group (minimiser); a string that is alone in its group needs no rounds.
+    """
+    out = [np.full(len(s) - length + 1, d) for s, d in zip(strings, docs.tolist(), strict=True)]
+    _, group, times = np.unique(groups, return_inverse=True, return_counts=True)
+    chosen = np.flatnonzero(times[group] > 1)
+    if not len(chosen):
+        return out
+    sizes = np.array([len(strings[i]) for i in chosen])
+    width = int(sizes.max()) + 1
+    rows = np.full((len(chosen), width), 255, np.uint8)
+    flat = np.frombuffer(b"".join([strings[i] for i in chosen]), np.uint8)
     start = np.cumsum(sizes) - sizes
     for n in np.unique(sizes):
         some = np.flatnonzero(sizes == n)
         rows[some, width - n :] = flat[start[some, None] + np.arange(n)]
-    owner, rest = bwt_rounds(rows, sizes)
-    keep = rest >= length
-    owner, at = owner[keep], width - rest[keep].astype(np.int64)
-    same = np.ones(max(0, len(owner) - 1), bool)  # whether the common prefix with the predecessor reaches `length`
-    for k in range(length):
-        column = rows[owner, at + k]
+    at = bwt_rounds(rows) + 1
+    owner = (at - 1) // width
+    keep = (owner + 1) * width - at >= length
+    owner, at = owner[keep], at[keep]
+    same, flat = np.ones(max(0, len(owner) - 1), bool), rows.ravel()
+    for k in range(length):  # whether the common prefix with the predecessor reaches `length`
+        column = flat[at + k]
         same &= column[1:] == column[:-1]
     first = np.flatnonzero(np.concatenate(([True], ~same)))
-    least = np.repeat(np.minimum.reduceat(docs[owner], first), np.diff(np.append(first, len(owner))))
+    least = np.repeat(np.minimum.reduceat(docs[chosen][owner], first), np.diff(np.append(first, len(owner))))
     windows = sizes - length + 1
     base = np.cumsum(windows) - windows
-    out = np.empty(windows.sum(), np.int64)
-    out[base[owner] + at - (width - sizes[owner])] = least
-    return np.split(out, base[1:])
+    found = np.empty(windows.sum(), np.int64)
+    found[base[owner] + at - ((owner + 1) * width - sizes[owner])] = least
+    for i, x in zip(chosen.tolist(), np.split(found, base[1:]), strict=True):
+        out[i] = x
+    return out
 
 
 def _pack_flags(flags: np.ndarray) -> bytes:
@@ -216,7 +228,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
                 yield pa.RecordBatch.from_pydict({"pack": pa.array([name]), "bucket": pa.array([b]), "bits": pa.array([bits], pa.binary())})
 
     def shared(n: int, data: bytes, bits: dict[int, bytes]):
-        """The segments of a pack that may repeat: bytes, ids, first window, windows, text, bucket, and a hash of each.
+        """The segments of a pack that may repeat: ids, bytes, first window, windows, text, bucket, a hash and a group of each.
 
         Segments of frequent minimisers come as single windows. In text order, the same each time it is called.
         """
@@ -229,20 +241,22 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
                 k = cut[b + 1] - cut[b]
                 flags = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)[:, :k]
                 state[order[cut[b] : cut[b + 1]]] = flags.sum(0)
-        repeat = np.where(state > 1, size, 1)[state > 0]
+        before = state > 0
+        repeat = np.where(state > 1, size, 1)[before]
         k = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-        at, size, text, to, state = (np.repeat(x[state > 0], repeat) for x in (at, size, text, to, state))
+        at, size, text, to, state = (np.repeat(x[before], repeat) for x in (at, size, text, to, state))
         at, size = np.where(state > 1, at + k, at), np.where(state > 1, 1, size)
         code = span_hashes(raw, at, at + size + length - 1) if len(at) else np.zeros(0, np.uint64)
+        group = np.where(state > 1, code, np.repeat(m[before], repeat)) >> np.uint64(8)  # single windows equal no others
         to = np.where(state > 1, (code % np.uint64(buckets)).astype(np.int64), to)
-        return ids, known, raw, offsets, at, size, text, to, code
+        return ids, known, raw, offsets, at, size, text, to, code, group.astype(np.uint32)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pack and bucket: distinct segments with their smallest doc_id, and for each segment which it is."""
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for name, n, data, bits in zip(*(batch[c].to_pylist() for c in ("pack", "n", "data", "bits")), strict=True):
-                ids, _, raw, _, at, size, text, to, code = shared(n, data, {x["bucket"]: x["bits"] for x in bits})
+                ids, _, raw, _, at, size, text, to, code, group = shared(n, data, {x["bucket"]: x["bits"] for x in bits})
                 order = np.lexsort((ids[text], code, to))  # of equal segments, the smallest document's first
                 names, sent = [], []
                 cut = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -252,7 +266,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
                     first = np.concatenate(([True], code[own][1:] != code[own][:-1]))
                     own = own[first]
                     body = b"".join([whole[a : a + s] for a, s in zip(at[own].tolist(), (size[own] + length - 1).tolist(), strict=True)])
-                    sent.append(np.array([len(own)], "<i8").tobytes() + ids[text[own]].tobytes() + size[own].astype(np.uint8).tobytes() + press.compress(body))
+                    sent.append(np.array([len(own)], "<i8").tobytes() + ids[text[own]].tobytes() + group[own].tobytes() + size[own].astype(np.uint8).tobytes() + press.compress(body))
                     names.append(b)
                 k = len(names)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * k, pa.int64()), pa.array(names, pa.int64()), pa.array(sent, pa.binary())], ["pack", "bucket", "sent"])
@@ -269,22 +283,24 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         open_ = zstandard.ZstdDecompressor()
         for b in list(by):
             place: dict[bytes, int] = {}
-            docs_, parts = [], []
+            docs_, groups, parts = [], [], []
             for name, sent in by.pop(b):
                 k = int(np.frombuffer(sent, "<i8", 1)[0])
-                doc, size = np.frombuffer(sent, "<i8", k, 8), np.frombuffer(sent, np.uint8, k, 8 + 8 * k).astype(np.int64)
-                body, end = open_.decompress(sent[8 + 9 * k :]), np.cumsum(size + length - 1)
+                doc, group = np.frombuffer(sent, "<i8", k, 8), np.frombuffer(sent, "<u4", k, 8 + 8 * k)
+                size = np.frombuffer(sent, np.uint8, k, 8 + 12 * k).astype(np.int64)
+                body, end = open_.decompress(sent[8 + 13 * k :]), np.cumsum(size + length - 1)
                 index = np.empty(k, np.int64)
-                for i, (a, z, d) in enumerate(zip((end - size - length + 1).tolist(), end.tolist(), doc.tolist(), strict=True)):
+                for i, (a, z, d, g) in enumerate(zip((end - size - length + 1).tolist(), end.tolist(), doc.tolist(), group.tolist(), strict=True)):
                     s = body[a:z]
                     at = place.setdefault(s, len(docs_))
                     if at == len(docs_):
                         docs_.append(d)
+                        groups.append(g)
                     elif d < docs_[at]:
                         docs_[at] = d
                     index[i] = at
                 parts.append((name, doc, size, index))
-            minima = class_minima(list(place), np.array(docs_, np.int64), length)
+            minima = class_minima(list(place), np.array(docs_, np.int64), np.array(groups), length)
             windows = np.array([len(x) for x in minima])
             base, flat = np.cumsum(windows) - windows, np.concatenate(minima)
             for name, doc, size, index in parts:
@@ -295,7 +311,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, data, bits, lost in zip(*(batch[c].to_pylist() for c in ("n", "data", "bits", "lost")), strict=True):
-                ids, known, raw, offsets, at, size, text, to, code = shared(n, data, {x["bucket"]: x["bits"] for x in bits or []})
+                ids, known, raw, offsets, at, size, text, to, code, _ = shared(n, data, {x["bucket"]: x["bits"] for x in bits or []})
                 gone = np.zeros(len(raw) + 1, np.int32)
                 order = np.lexsort((ids[text], code, to)) if len(at) else np.zeros(0, np.int64)
                 cut = np.searchsorted(to[order], np.arange(buckets + 1))
