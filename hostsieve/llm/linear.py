@@ -71,5 +71,19 @@ def score_texts(
     return rows.mapInArrow(run, SCORED)
 
 
+def keep_texts(documents: DataFrame, scorer: Callable[[np.ndarray, np.ndarray], np.ndarray], least: float) -> DataFrame:
+    """The rows of documents, all columns as they are, whose text scores at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = utf8(batch["text"])
+            score = np.zeros(batch.num_rows)
+            for i, j in slices(offsets):
+                score[i:j] = scorer(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield batch.filter(pa.array(score >= least))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostsieve.llm.common import mixed, ngrams, slices, span_hashes, words
-from hostsieve.llm.linear import fold, labelled_sample, score_texts, sigmoid
+from hostsieve.llm.linear import fold, keep_texts, labelled_sample, score_texts, sigmoid
 
 BITS, GRAMS = 16, (3, 4)
 
@@ -94,8 +94,17 @@ def score_quality(
     features and get the model's bias as their score. Repeated rows give repeated results. With no usable label the
     score is 0.5 for all. An empty table gives an empty result.
     """
+    model = train(documents, labels, folds, held_out_fold, sample, sample_bytes)
+    return score_texts(documents, model, lambda i: fold(i, folds) == held_out_fold, threshold)
+
+
+def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = 3000, sample_bytes: int = 20_000) -> Embeddings:
     usable = lambda i: fold(i, folds) != held_out_fold
     raw, offsets, label = labelled_sample(documents, labels, "quality", usable, sample, sample_bytes)
     known = labels.where(usable(F.col("doc_id")) & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    model = fit(raw, offsets, label, 0.5 if known is None else float(known))
-    return score_texts(documents, model, lambda i: fold(i, folds) == held_out_fold, threshold)
+    return fit(raw, offsets, label, 0.5 if known is None else float(known))
+
+
+def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of documents, all columns as they are, that score_quality predicts as 1."""
+    return keep_texts(documents, train(documents, labels), threshold)
