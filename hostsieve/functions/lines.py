@@ -55,7 +55,7 @@ def is_ipv4(value: Column) -> Column:
 
 def is_ip(value: Column, ipv6: bool = True) -> Column:
     """IPv4 by pattern; only values with a colon are handed to Python."""
-    return F.when(value.contains(":"), _is_ip(value)).otherwise(is_ipv4(value)) if ipv6 else is_ipv4(value)
+    return F.when(value.contains(":"), _is_ip(F.when(value.contains(":"), value))).otherwise(is_ipv4(value)) if ipv6 else is_ipv4(value)
 
 
 def matches(value: Column, pattern: str) -> Column:
@@ -65,7 +65,7 @@ def matches(value: Column, pattern: str) -> Column:
 
 @dataclass(frozen=True)
 class Field:
-    """One field of a line. kind: timestamp (arg: strptime format), regex (pattern), ip, list (allowed; relevant)."""
+    """One field of a line. kind: timestamp (arg: strptime format), regex (pattern), ip, ipv4 (no Python in the plan), list (allowed; relevant)."""
 
     name: str
     kind: str
@@ -77,7 +77,9 @@ class Field:
             return is_timestamp(value, self.arg)
         if self.kind == "regex":
             return matches(value, self.arg)
-        return is_ip(value) if self.kind == "ip" else value.isin(*self.arg)
+        if self.kind in ("ip", "ipv4"):
+            return is_ip(value, ipv6=self.kind == "ip")
+        return value.isin(*self.arg)
 
 
 @dataclass(frozen=True)
@@ -93,9 +95,9 @@ class LineFormat:
         if bad := [n for n in FORBIDDEN if n in names]:
             raise ValueError(f"fields are not allowed: {bad}")
         for f in self.fields:
-            if f.kind not in ("timestamp", "regex", "ip", "list"):
+            if f.kind not in ("timestamp", "regex", "ip", "ipv4", "list"):
                 raise ValueError(f"unknown kind {f.kind}")
-            if (f.arg is None) != (f.kind == "ip"):
+            if (f.arg is None) != (f.kind in ("ip", "ipv4")):
                 raise ValueError(f"{f.name}: wrong number of arguments")
             if f.kind == "list" and not set(f.relevant) <= set(f.arg):
                 raise ValueError(f"{f.name}: relevant values must be allowed ones")
@@ -119,46 +121,51 @@ class LineFormat:
         return out
 
 
-DEFAULT = LineFormat(
-    (
-        Field("timestamp", "timestamp", "%Y-%m-%dT%H:%M:%S.%fZ"),
-        Field("status_code", "list", ("NOERROR", "NXDOMAIN"), ("NXDOMAIN",)),
-        Field("client_ip", "ip"),
-        Field("dns_server_ip", "ip"),
-        Field("domain_name", "regex", DOMAIN),
-        Field("record_type", "list", ("A", "AAAA")),
-        Field("response_ip", "ip"),
-        Field("size", "regex", r"\d+b$"),
+
+
+def default_format(ip: str = "ip") -> LineFormat:
+    """Eight fields; ip="ipv4" for logs without IPv6, whose plan then needs no Python."""
+    return LineFormat(
+        (
+            Field("timestamp", "timestamp", "%Y-%m-%dT%H:%M:%S.%fZ"),
+            Field("status_code", "list", ("NOERROR", "NXDOMAIN"), ("NXDOMAIN",)),
+            Field("client_ip", ip),
+            Field("dns_server_ip", ip),
+            Field("domain_name", "regex", DOMAIN),
+            Field("record_type", "list", ("A", "AAAA")),
+            Field("response_ip", ip),
+            Field("size", "regex", r"\d+b$"),
+        )
     )
-)
+
+
+DEFAULT = default_format()
 
 
 @F.pandas_udf("string")
 def _network6(values: pd.Series, prefix: pd.Series) -> pd.Series:
     import ipaddress
 
-    return pd.Series([str(ipaddress.ip_network((v, int(p)), strict=False).network_address) for v, p in zip(values, prefix, strict=True)])
+    net = lambda v, p: str(ipaddress.ip_network((v, int(p)), strict=False).network_address)
+    return pd.Series([None if v is None else net(v, p) for v, p in zip(values, prefix, strict=True)], dtype=object)
 
 
-def network(ip: Column, prefix4: int = 24, prefix6: int = 64) -> Column:
-    """The network address: IPv4 by masking a long; only values with a colon are handed to Python."""
+def network(ip: Column, prefix4: int = 24, prefix6: int = 64, ipv6: bool = True) -> Column:
+    """The network address: IPv4 by masking a long; with ipv6, values with a colon are handed to Python."""
     if not 0 <= prefix4 <= 32 or not 0 <= prefix6 <= 128:
         raise ValueError("prefix lengths are 0 to 32 and 0 to 128")
     octet = F.split(ip, r"\.")
     number = sum((octet[i].cast("long") * (256 ** (3 - i)) for i in range(1, 4)), octet[0].cast("long") * 256**3)
     masked = number.bitwiseAND((0xFFFFFFFF << (32 - prefix4)) & 0xFFFFFFFF)
     four = F.concat_ws(".", *(F.shiftright(masked, 8 * (3 - i)).bitwiseAND(255).cast("string") for i in range(4)))
-    return F.when(ip.contains(":"), _network6(ip, F.lit(prefix6))).otherwise(four)
+    if not ipv6:
+        return four
+    return F.when(ip.contains(":"), _network6(F.when(ip.contains(":"), ip), F.lit(prefix6))).otherwise(four)
 
 
-def subnet_id(ip: Column, prefix4: int = 24, prefix6: int = 64) -> Column:
+def subnet_id(ip: Column, prefix4: int = 24, prefix6: int = 64, ipv6: bool = True) -> Column:
     size = F.when(ip.contains(":"), F.lit(str(prefix6))).otherwise(str(prefix4))
-    return F.concat_ws("_", network(ip, prefix4, prefix6), size)
-
-
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a wall-clock timestamp."""
-    return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', __ts)") if ts is None else F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts.cast("timestamp_ntz"))
+    return F.concat_ws("_", network(ip, prefix4, prefix6, ipv6), size)
 
 
 def size_bytes(size: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostsieve.functions import features as ft
-from hostsieve.functions.lines import DEFAULT, is_ip, is_timestamp, matches, network, subnet_id
+from hostsieve.functions.lines import DEFAULT, default_format, is_ip, is_timestamp, matches, network, subnet_id
 from hostsieve.operators import batching, detect, explore, series
 from hostsieve.sources import tables
 
@@ -19,6 +19,10 @@ QUERIES: dict[str, Made] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: The registered tables hold IPv4 addresses only.
+FORMAT = default_format("ipv4")
+
+
 class Flow:
     """The steps from lines to alerts on one folder of tables; each is a lazy DataFrame."""
 
@@ -29,10 +33,10 @@ class Flow:
         return tables.log_lines(self.spark, self.dir)
 
     def parsed(self) -> DataFrame:
-        return DEFAULT.parse(self.lines().select("logline_id", "us", "class", "value"))
+        return FORMAT.parse(self.lines().select("logline_id", "us", "class", "value"))
 
     def valid(self) -> DataFrame:
-        return self.parsed().where(F.size("invalid_fields") == 0).withColumn("subnet_id", subnet_id(F.col("client_ip")))
+        return self.parsed().where(F.size("invalid_fields") == 0).withColumn("subnet_id", subnet_id(F.col("client_ip"), ipv6=False))
 
     def by_size(self) -> DataFrame:
         return batching.by_size(self.valid(), SIZE)
