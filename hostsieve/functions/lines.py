@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{OCTET}(\.{OCTET}){{3}}$"
@@ -18,7 +19,7 @@ FORBIDDEN = ("logline_id", "batch_id")
 CODES = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%f": "SSSSSS"}
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_ip(values: pd.Series) -> pd.Series:
     import ipaddress
 
@@ -142,7 +143,7 @@ def default_format(ip: str = "ip") -> LineFormat:
 DEFAULT = default_format()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _network6(values: pd.Series, prefix: pd.Series) -> pd.Series:
     import ipaddress
 

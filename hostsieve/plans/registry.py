@@ -305,8 +305,8 @@ def _heat(name: str, row: str, column: str, values: range, prefix: str) -> None:
     cells = ", ".join(f"count(*) FILTER (c = {v}) {prefix}{v}" for v in values)
     zero = ", ".join(f"coalesce({prefix}{v}, 0) {prefix}{v}" for v in values)
     sql = f"SELECT e.r, {zero} FROM (SELECT unnest(range(min({row}), max({row}) + 1)) r FROM alerts) e LEFT JOIN (SELECT r, {cells} FROM (SELECT {row} r, {column} c FROM alerts) GROUP BY 1) p ON p.r = e.r"
-    spark_row, spark_column = (F.expr(x.replace("//", "div")) for x in (row, column))
-    query(name, sql)(lambda f: explore.heatmap(f.alerts(), spark_row, spark_column, list(values), prefix))
+    of = lambda x: F.expr(x.replace("//", "div"))
+    query(name, sql)(lambda f: explore.heatmap(f.alerts(), of(row), of(column), list(values), prefix))
 
 
 _heat("heatmap_day", f"(alert_us // {7 * DAY})", f"((alert_us // {DAY}) % 7)", range(7), "d")
