@@ -9,7 +9,8 @@
    if the largest overlap that bits and sizes allow is too small, or all its documents are linked already; pairs of
    documents that are left are compared exactly.
 4. A large group is cut into blocks, each joined alone with a few documents of the whole group. If links do not connect
-   all of it, the blocks meet in pairs, where linked documents are passed over.
+   all of it, the documents outside its largest class are cut into blocks of their own, which meet each other and the
+   blocks of that class; two blocks of the class need not meet, as all of it is linked already.
 """
 
 from __future__ import annotations
@@ -274,10 +275,9 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     placed = stored(placed.withColumn("pivot", F.array_contains("pivots", F.col("node"))).drop("pivots", "n"))
 
     def joined(tasks: DataFrame) -> DataFrame:
-        """a, b: each node with its root, in each task (grp, i, j; node, label)."""
+        """a, b: each node with its root, in each task (grp, i, j; node, label, grams)."""
         return (
-            tasks.join(sets.hint("merge"), "node")
-            .select("grp", "i", "j", "node", "label", "grams")
+            tasks.select("grp", "i", "j", "node", "label", "grams")
             .repartition(max(8, buckets), "grp", "i", "j")
             .sortWithinPartitions("grp", "i", "j", "node")
             .mapInArrow(joins, "a long, b long")
@@ -286,7 +286,7 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [grams.tobytes() for grams in ngram_sets(*utf8(batch["text"]), n)]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(data, pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in place), pa.array(data, pa.binary())], [*place, "grams"])
 
     def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
@@ -306,20 +306,27 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([h[0] for h in held], pa.int64())], ["a", "b"])
 
     # texts are dealt by doc_id at every size, once; both rounds of joins read the sets that come of them
-    texts = docs.join(placed.select("node").hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text")
-    sets = stored(texts.mapInArrow(to_sets, "node long, grams binary"))
-    alone = placed.select("grp", F.col("block").alias("i"), F.col("block").alias("j"), "node", F.col("node").alias("label"))
-    shared = placed.where("pivot and blocks > 1").select("grp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"), "node", "block")
-    shared = shared.where("i <> block").select("grp", "i", F.col("i").alias("j"), "node", F.col("node").alias("label"))
-    edges = stored(joined(alone.unionByName(shared)))
+    place = ["node", "grp", "block", "blocks", "pivot"]
+    texts = docs.join(placed.hint("merge"), F.col("doc_id") == F.col("node")).select(*place, "text")
+    sets = stored(texts.mapInArrow(to_sets, "node long, grp long, block long, blocks long, pivot boolean, grams binary"))
+    to = F.when(F.col("pivot"), F.expr("sequence(0L, blocks - 1)")).otherwise(F.array("block"))
+    first = sets.select("grp", F.explode(to).alias("i"), "node", F.col("node").alias("label"), "grams")
+    edges = stored(joined(first.withColumn("j", F.col("i"))))
     found = stored(components(edges))
-    apart = placed.where("blocks > 1").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    open_ = apart.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
+    apart = placed.where("blocks > 1").join(found, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("label"))
+    classes = apart.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    largest = classes.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+    cut = lambda m: F.ceil(m / BLOCK).cast("long")
+    largest = largest.select("grp", F.col("most.label").alias("main"), cut(F.col("most.n")).alias("x"), cut(F.col("n") - F.col("most.n")).alias("y"))
+    open_ = stored(largest.where("y > 0"))
     if open_.limit(1).count():
-        other = F.explode(F.expr("sequence(0L, blocks - 1)"))
-        pairs = apart.join(open_, "grp").select("grp", "block", "node", "label", other.alias("o")).where("o <> block")
-        pairs = pairs.select("grp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "label")
-        found = stored(components(edges.unionByName(joined(pairs))))
+        inside = F.col("label") == F.col("main")
+        at = F.when(inside, F.pmod(F.xxhash64("node"), F.col("x"))).otherwise(F.col("x") + F.pmod(F.xxhash64("node"), F.col("y")))
+        other = F.explode(F.sequence(F.when(inside, F.col("x")).otherwise(F.lit(0).cast("long")), F.col("x") + F.col("y") - 1))
+        again = apart.join(open_, "grp").select("node", "label", "main", "x", "y", at.alias("at"))
+        again = again.join(sets.where("blocks > 1").select("grp", "node", "grams").hint("merge"), "node")
+        again = again.select("grp", "node", "label", "grams", "at", other.alias("o"))
+        found = stored(components(edges.unionByName(joined(again.withColumn("i", F.least("at", "o")).withColumn("j", F.greatest("at", "o"))))))
     rows = rows.join(same, ["k1", "k2"], "left").join(found, "node", "left")
     return rows.select(
         "doc_id",
