@@ -1,9 +1,10 @@
 """Similarity self-join of documents on their sets of word n-grams, by Jaccard similarity; exact.
 
 1. Each document's set is hashed to sorted 64-bit numbers; documents with equal sets are one node from there on.
-2. Candidates by partition: the hash range is cut into more parts than the sets of a similar pair can differ in
-   elements, so that at least one part is equal in both. Hashes of whole parts are sent to buckets; what shares one is
-   chained to the smallest. A part holds several n-grams, so that frequent ones alone bring no candidates.
+2. Candidates by rare n-grams: fixed counters tell roughly how many documents hold an n-gram, which puts all n-grams in
+   one order. Similar sets share an n-gram among the rarest of both, at a place that bounds the other's size. What shares
+   such an n-gram and is within that reach is chained, first in each map task, so that a frequent n-gram sends little.
+   Any order is exact; a passage of many documents comes late in it and alone brings no candidates.
 3. Groups of candidates, the components of these chains, are joined with signature trees: a node holds the OR of its
    documents' token bitmaps, the fewest bits among them, and their range of sizes. A dual traversal drops a pair of nodes
    if the largest overlap that bits and sizes allow is too small, or all its documents are linked already; pairs of
@@ -15,6 +16,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from hostsieve.llm.components import components
 #: Documents of a block, shared documents of a large group's blocks, and entries that a map task holds.
 BLOCK, PIVOTS, HELD = 1000, 8, 1 << 21
 BITMAP_WORDS, LEAF, FANOUT = 32, 16, 8
+#: Counters of n-grams, as a power of two, and the rows that they are sent in.
+CELL_BITS, CELL_ROWS = 20, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,49 +57,40 @@ def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndar
                 yield np.zeros(0, np.uint64)
 
 
-class Levels:
-    """Size classes, and for each the number of parts that any similar pair of its sets agrees in."""
+def cells(grams: np.ndarray) -> np.ndarray:
+    """The counter of each n-gram; a set is sorted, and so are its counters."""
+    return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-    def __init__(self, percent: int, largest: int = 1 << 40):
-        self.percent, self.upper = percent, [1]
-        while self.upper[-1] < largest:
-            self.upper.append(max(self.upper[-1] + 1, -(-self.upper[-1] * 100 // percent)))
-        self.upper = np.array(self.upper)
 
-    def of(self, size: int) -> int:
-        return int(np.searchsorted(self.upper, size))
+def prefix(grams: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest n-grams of a set that a similar set may share first, and the largest size of such a set for each.
 
-    def parts(self, level: int) -> tuple[int, int]:
-        """Parts, and how many more of them than one are equal in any pair."""
-        differ = (100 - self.percent) * 2 * int(self.upper[level]) // (100 + self.percent)
-        spare = 1 + differ // 32
-        return differ + 1 + spare, spare
+    If the first common n-gram of two sets has p rarer ones before it in a set of size x, they share at most x - p; so it
+    can be that of a similar set of size y only if 100 + percent times x - p reaches percent * (x + y).
+    """
+    x = len(grams)
+    p = np.arange(x - (percent * x + 99) // 100 + 1)
+    return grams[np.lexsort((grams, level[cells(grams)]))[: len(p)]], (100 + percent) * (x - p) // percent - x
 
 
-def signatures(grams: np.ndarray, levels: Levels, seeds: int = 4) -> np.ndarray:
-    """Hashes of whole parts of a set, such that similar sets share at least one.
+def segments(gram: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unites entries of an n-gram while the least size of the next is within reach of those before.
 
-    Similar sets agree in more than `spare` parts at their common level. Empty parts give no hash: where all these parts
-    are empty, both sets have more than `spare` empty parts, and both use the next seed too; after the last seed, the
-    empty parts give hashes as well.
+    Gives gram, low, high and the smallest key of each segment, and pairs of the smallest key with others. What a later
+    call makes of segments is what it makes of their entries.
     """
-    out, own = [], levels.of(len(grams))
-    for level in (own, own + 1):
-        parts, spare = levels.parts(level)
-        for seed in range(seeds):
-            h = grams if not seed else np.sort(mixed(grams + _STEP * np.uint64(seed)))
-            cut = np.searchsorted(h, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
-            cut = np.concatenate(([0], cut, [len(h)]))
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(grams ^ _STEP) if not seed else h, dtype=np.uint64)))
-            count = np.diff(cut)
-            name = np.arange(parts, dtype=np.uint64) + np.uint64((level << 40) + (seed << 60))
-            sig = mixed((sums[cut[1:]] - sums[cut[:-1]]) + mixed(name * _STEP + count.astype(np.uint64)))
-            empty = count == 0
-            short = int(empty.sum()) > spare
-            out.append(sig if short and seed == seeds - 1 else sig[~empty])
-            if not short:
-                break
-    return np.concatenate(out)
+    order = np.lexsort((low, gram))
+    gram, low, high, key = gram[order], low[order], high[order], key[order]
+    fresh = np.concatenate(([True], gram[1:] != gram[:-1]))
+    lift = np.cumsum(fresh) << 34
+    reach = np.maximum.accumulate(high + lift)
+    fresh[1:] |= low[1:] + lift[1:] > reach[:-1]
+    at = np.flatnonzero(fresh)
+    least = np.minimum.reduceat(key, at)
+    root = np.repeat(least, np.diff(np.append(at, len(key))))
+    some = root != key
+    pairs = np.unique(np.stack([root[some], key[some]], 1), axis=0)
+    return gram[at], low[at], np.maximum.reduceat(high, at), least, pairs
 
 
 def set_key(grams: np.ndarray) -> tuple[int, int]:
@@ -195,43 +190,59 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // (24 << 20)))
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents of a task fall on each counter."""
+        count = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            own = [cells(grams) for grams in ngram_sets(*utf8(batch["text"]), n)]
+            if own:
+                count += np.bincount(np.concatenate(own), minlength=len(count))
+        yield counters(enumerate(count.reshape(CELL_ROWS, -1)))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, data in zip(batch["row"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                total[row] = np.frombuffer(zlib.decompress(data), "<u4") + total.get(row, np.int64(0))
+        yield counters(total.items())
+
+    def counters(rows) -> pa.RecordBatch:
+        rows = [(r, zlib.compress(np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes(), 1)) for r, x in rows]
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], ["row", "data"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents (bucket -1), and packed signatures for each bucket."""
-        levels = Levels(percent)
-        keys, counts, sigs, held, seen = [], [], [], 0, set()
+        """Rows of documents (bucket -1), pairs of candidates of this task (-2), and packed entries for each bucket."""
+        held, many, seen = [], 0, set()
         for batch in batches:
-            raw, offsets = utf8(batch["text"])
             found = []
-            for grams in ngram_sets(raw, offsets, n):
+            for grams in ngram_sets(*utf8(batch["text"]), n):
                 key = set_key(grams)
                 found.append((len(grams), *key))
-                if len(grams) and key[0] not in seen:  # equal sets have equal signatures
+                if len(grams) and key[0] not in seen:  # equal sets have equal entries
                     seen.add(key[0])
-                    sig = signatures(grams, levels)
-                    keys.append(key[0])
-                    counts.append(len(sig))
-                    sigs.append(sig)
-                    held += len(sig)
+                    first, most = prefix(grams, level.value, percent)
+                    held.append((first, np.full(len(first), len(grams)), most, np.full(len(first), key[0])))
+                    many += len(first)
             size, k1, k2 = zip(*found, strict=True) if found else ((), (), ())
             m = batch.num_rows
             yield packed([-1] * m, batch["doc_id"], size, k1, k2, [None] * m)
-            if held > HELD:
-                yield from dealt(keys, counts, sigs)
-                keys, counts, sigs, held, seen = [], [], [], 0, set()
+            if many > HELD:
+                yield from dealt(held)
+                held, many, seen = [], 0, set()
         if held:
-            yield from dealt(keys, counts, sigs)
+            yield from dealt(held)
 
-    def dealt(keys: list[int], counts: list[int], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        sig, owner = np.concatenate(sigs), np.repeat(np.arange(len(keys)), counts)
-        to = (sig % np.uint64(buckets)).astype(np.int64)
+    def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        gram, low, high, key, pairs = segments(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        m = len(pairs)
+        yield packed([-2] * m, pa.nulls(m, pa.int64()), [0] * m, pairs[:, 0], pairs[:, 1], [None] * m)
+        to = (mixed(gram.copy()) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        keys = np.array(keys)
         for b in range(buckets):
             own = order[cut[b] : cut[b + 1]]
             if len(own):
-                who, times = np.unique(owner[own], return_counts=True)
-                data = np.array([len(who)], "<i8").tobytes() + keys[who].tobytes() + times.astype("<u4").tobytes() + sig[own].tobytes()
+                data = gram[own].astype("<u8").tobytes() + key[own].astype("<i8").tobytes() + low[own].astype("<u4").tobytes() + high[own].astype("<u4").tobytes()
                 yield packed([b], [None], [0], [0], [0], [data])
 
     def packed(bucket, doc_id, size, k1, k2, data) -> pa.RecordBatch:
@@ -240,31 +251,31 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
         return pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "n_shingles", "k1", "k2", "data"])
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the buckets of one task: pairs of a set and the smallest set that shares a signature with it."""
+        """Of the buckets of one task: pairs of a set and the smallest set of a segment."""
         parts: dict[int, list[bytes]] = {}
         for batch in batches:
             for b, data in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 parts.setdefault(b, []).append(data)
         for b in list(parts):
-            keys, sigs = [], []
+            columns = [[], [], [], []]
             for data in parts.pop(b):
-                m = int(np.frombuffer(data, "<i8", 1)[0])
-                keys.append(np.repeat(np.frombuffer(data, "<i8", m, 8), np.frombuffer(data, "<u4", m, 8 + 8 * m)))
-                sigs.append(np.frombuffer(data, "<u8", -1, 8 + 12 * m))
-            key, sig = np.concatenate(keys), np.concatenate(sigs)
-            order = np.argsort(sig, kind="stable")
-            key, sig = key[order], sig[order]
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            least = np.minimum.reduceat(key, first)
-            least = np.repeat(least, np.diff(np.append(first, len(sig))))
-            some = key != least
-            pairs = np.unique(np.stack([least[some], key[some]], 1), axis=0)
+                m = len(data) // 24
+                for column, (kind, at) in zip(columns, (("<u8", 0), ("<u4", 16 * m), ("<u4", 20 * m), ("<i8", 8 * m)), strict=True):
+                    column.append(np.frombuffer(data, kind, m, at))
+            gram, low, high, key = map(np.concatenate, columns)
+            pairs = segments(gram, low.astype(np.int64), high.astype(np.int64), key)[-1]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    counted = docs.select("text").mapInArrow(tally, "row long, data binary").repartition(8, "row").mapInArrow(summed, "row long, data binary")
+    level = np.zeros((CELL_ROWS, (1 << CELL_BITS) // CELL_ROWS), np.uint8)
+    for r in counted.toLocalIterator():  # CELL_ROWS rows, whatever the input
+        level[r.row] = 2 * np.log2(np.maximum(np.frombuffer(zlib.decompress(r.data), "<u4"), 1))
+    level = documents.sparkSession.sparkContext.broadcast(level.ravel())  # 2 ** CELL_BITS bytes
     scanned = stored(docs.mapInArrow(scan, "bucket long, doc_id long, n_shingles long, k1 long, k2 long, data binary"))
     rows = scanned.where("bucket = -1").select("doc_id", "n_shingles", "k1", "k2")
     sent = scanned.where("bucket >= 0").select("bucket", "data").repartition(buckets, "bucket")
-    groups = components(sent.mapInArrow(chains, "a long, b long"))  # of keys k1
+    near = scanned.where("bucket = -2").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
+    groups = components(sent.mapInArrow(chains, "a long, b long").unionByName(near))  # of keys k1
     same = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = same.join(groups.withColumnRenamed("node", "k1"), "k1").select("node", F.col("component").alias("grp"))
     nodes = stored(nodes.groupBy("node").agg(F.min("grp").alias("grp")))
