@@ -76,8 +76,8 @@ def prefix(grams: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarr
 def segments(gram: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
     """Unites entries of an n-gram while the least size of the next is within reach of those before.
 
-    Gives gram, low, high and the smallest key of each segment, and pairs of the smallest key with others. What a later
-    call makes of segments is what it makes of their entries.
+    Gives gram, low, high and the smallest key of each segment, and pairs of the smallest key with others. Entries within
+    each other's reach are chained by these pairs, also where they come in parts whose segments a later call unites.
     """
     order = np.lexsort((low, gram))
     gram, low, high, key = gram[order], low[order], high[order], key[order]

@@ -43,10 +43,10 @@ def shingles(text, n):
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("block", [1000, 3])
-def test_ngram_join(spark, docs, block, monkeypatch):
+@pytest.mark.parametrize(("block", "n", "percent"), [(1000, 4, 85), (3, 4, 85), (3, 5, 80)])
+def test_ngram_join(spark, docs, block, n, percent, monkeypatch):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
-    sets = {i: shingles(t, 4) for i, t in docs}
+    sets = {i: shingles(t, n) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(i):
@@ -56,13 +56,33 @@ def test_ngram_join(spark, docs, block, monkeypatch):
 
     for i, a in sets.items():
         for j, b in sets.items():
-            if i < j and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.similar_components(frame(spark, docs)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.similar_components(frame(spark, docs), n, percent).collect()}
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_segments_in_parts_lose_no_candidates():
+    rng = np.random.default_rng(2)
+    low = rng.integers(1, 4000, 300)
+    gram, high = rng.integers(0, 4, 300).astype(np.uint64), low * 5 // 4 - rng.integers(0, 400, 300)
+    parts = [ngramjoin.segments(gram[k::3], low[k::3], high[k::3], np.arange(300)[k::3]) for k in range(3)]
+    last = ngramjoin.segments(*(np.concatenate([p[c] for p in parts]) for c in range(4)))
+    root = list(range(300))
+    for a, b in np.concatenate([last[4], *(p[4] for p in parts)]).tolist():
+        a, b = ngramjoin.find(root, a), ngramjoin.find(root, b)
+        root[max(a, b)] = min(a, b)
+    for i in range(300):
+        for j in range(i):
+            if gram[i] == gram[j] and low[i] <= high[j] and low[j] <= high[i]:
+                assert ngramjoin.find(root, i) == ngramjoin.find(root, j)
+
+
+def test_similar_to_empty_table(spark, docs):
+    assert ngramjoin.similar_components(frame(spark, docs).limit(0)).count() == 0
+
+
 def test_repeats(spark, docs, monkeypatch):
     seen, want = set(), {}
     for i, t in docs:
