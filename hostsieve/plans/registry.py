@@ -343,16 +343,27 @@ def _vectors(f: Flow) -> DataFrame:
     return ft.feature_vector(f.valid().withColumn("label", F.when(F.col("class") == "legit", 0.0).otherwise(1.0)))
 
 
-def _trained(f: Flow, kind: str) -> DataFrame:
+def _halves(f: Flow) -> tuple[DataFrame, DataFrame]:
+    """The training and the held-out half of each class of the valid lines."""
     rows = detect.stratified_split(_vectors(f), "label", "logline_id", {"train": 0.5, "test": 0.5})
-    model = detect.train(rows.where("split = 'train'"), kind)
-    return detect.detect(model, rows.where("split = 'test'")).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1"))
+    return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 
-query("train_rf")(partial(_trained, kind="rf"))
-query("train_gbt")(partial(_trained, kind="gbt"))
-query("detect_scores")(partial(_trained, kind="rf"))
-query("warnings")(lambda f: detect.warnings(_trained(f, "rf")))
+def _held_out(f: Flow, kind: str) -> DataFrame:
+    """The scores of the held-out half alone, to evaluate a model by."""
+    fitted, held = _halves(f)
+    return detect.detect(detect.train(fitted, kind), held).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1"))
+
+
+def _scores(f: Flow, lines: DataFrame) -> DataFrame:
+    """All of the given lines with p1, by a forest of the training half."""
+    return detect.detect(detect.train(_halves(f)[0]), ft.feature_vector(lines))
+
+
+query("train_rf")(partial(_held_out, kind="rf"))
+query("train_gbt")(partial(_held_out, kind="gbt"))
+query("detect_scores")(lambda f: _scores(f, f.valid()).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
+query("warnings")(lambda f: detect.warnings(_scores(f, f.by_client())).select("suspicious_batch_id", "batch_id", "client_ip", "logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
 query("rules")(lambda f: detect.rule_quality(_vectors(f), detect.rules(detect.train(_vectors(f)), list(ft.all_features()))[:100]))
 
 # Exploration
