@@ -364,7 +364,15 @@ query("train_rf")(partial(_held_out, kind="rf"))
 query("train_gbt")(partial(_held_out, kind="gbt"))
 query("detect_scores")(lambda f: _scores(f, f.valid()).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
 query("warnings")(lambda f: detect.warnings(_scores(f, f.by_client())).select("suspicious_batch_id", "batch_id", "client_ip", "logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
-query("rules")(lambda f: detect.rule_quality(_vectors(f), detect.rules(detect.train(_vectors(f)), list(ft.all_features()))[:100]))
+
+
+def _rules(f: Flow) -> DataFrame:
+    """All rules of a forest of the training half, with their quality on the held-out half."""
+    fitted, held = _halves(f)
+    return detect.rule_quality(held, detect.rules(detect.train(fitted), list(ft.all_features())))
+
+
+query("rules")(_rules)
 
 # Exploration
 query("label_distribution", "SELECT class, count(*) n FROM valid GROUP BY 1")(lambda f: f.valid().groupBy("class").agg(F.count("*").alias("n")))

@@ -1,5 +1,9 @@
 import random
 
+import pytest
+
+from hostsieve.functions import features as ft
+from hostsieve.operators import detect
 from hostsieve.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +32,23 @@ def test_warnings_are_all_likely_lines_of_suspicious_batches(spark):
     want = sorted((r.suspicious_batch_id, r.logline_id) for r in lines if p1[r.logline_id] > 0.5)
     got = registry.QUERIES["warnings"](spark, SF).collect()
     assert want and sorted((r.suspicious_batch_id, r.logline_id) for r in got) == want
+
+
+def test_all_rules_are_judged_on_held_out_lines(spark, monkeypatch):
+    lines = noisy(spark, 600)
+    monkeypatch.setattr(registry.Flow, "valid", lambda f: lines)
+    fitted, held = registry._halves(registry.Flow(spark, ""))
+    rules = detect.rules(detect.train(fitted), list(ft.all_features()))
+    rows = held.drop("features").toPandas()
+    want = []
+    for rule in rules:
+        hit = rows.query(rule.replace("AND", "and")).label
+        want.append((rule, len(hit), float(hit.mean()) if len(hit) else 0.0))
+    got = registry.QUERIES["rules"](spark, "").collect()
+    assert len(want) > 100
+    assert sorted((r.rule, r.support) for r in got) == sorted(w[:2] for w in want)
+    assert [r.precision for r in sorted(got)] == pytest.approx([w[2] for w in sorted(want)])
+
+
+def test_no_rules(spark):
+    assert detect.rule_quality(spark.createDataFrame([(1.0,)], "label double"), []).count() == 0
