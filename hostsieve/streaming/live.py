@@ -1,4 +1,7 @@
-"""The pipeline under Structured Streaming: lines to per-subnet batches with state, then detection per finished batch."""
+"""The pipeline under Structured Streaming: lines to per-subnet batches with state.
+
+Series, scores and alerts of finished batches are not run here.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ BATCH = f"{LINE}, b long, part int"
 
 
 def batches(lines: DataFrame, n: int, timeout_ms: int = 30_000) -> DataFrame:
-    """Flushes a subnet at n new lines, or after a time without a flush; each batch repeats the one before as part 0.
+    """Flushes a subnet at n new lines, or after a time without a flush, also while lines trickle in; each batch repeats the one before as part 0.
 
     A timed flush without new lines drops what was kept of the batch before.
     """
@@ -28,12 +31,13 @@ def batches(lines: DataFrame, n: int, timeout_ms: int = 30_000) -> DataFrame:
         return pd.DataFrame(rows, columns=[*names, "b", "part"])
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, before, b = state.get if state.exists else ([], [], 0)
+        now = state.getCurrentProcessingTimeMs()
+        held, before, b, due = state.get if state.exists else ([], [], 0, now + timeout_ms)
         held, before = [tuple(r) for r in held], [tuple(r) for r in before]
         if state.hasTimedOut:
             if held:
                 yield flush(key, held, before, b)
-                state.update(([], held, b + 1))
+                state.update(([], held, b + 1, now + timeout_ms))
                 state.setTimeoutDuration(timeout_ms)
             else:
                 state.remove()
@@ -42,12 +46,15 @@ def batches(lines: DataFrame, n: int, timeout_ms: int = 30_000) -> DataFrame:
             held += list(frame[names].itertuples(index=False, name=None))
             while len(held) >= n:
                 yield flush(key, held[:n], before, b)
-                held, before, b = held[n:], held[:n], b + 1
-        state.update((held, before, b))
-        state.setTimeoutDuration(timeout_ms)
+                held, before, b, due = held[n:], held[:n], b + 1, now + timeout_ms
+        if held and now >= due:
+            yield flush(key, held, before, b)
+            held, before, b, due = [], held, b + 1, now + timeout_ms
+        state.update((held, before, b, due))
+        state.setTimeoutDuration(max(1, due - now))
 
     row = f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in LINE.split(', '))}>>"
-    kind = f"held {row}, before {row}, b long"
+    kind = f"held {row}, before {row}, b long, due long"
     return lines.groupBy("subnet_id").applyInPandasWithState(step, BATCH, kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
