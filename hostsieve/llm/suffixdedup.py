@@ -6,10 +6,11 @@
 2. Segments whose minimiser repeats go to the minimiser's bucket, equal ones of a task once with the smallest doc_id.
    Segments of very frequent minimisers go window by window, dealt by the window, so that no bucket is hot.
 3. A bucket builds the Burrows-Wheeler transform of its distinct segments in rounds: each round inserts one symbol of each
-   segment, from the last to the first, into the transform of all suffixes so far, and keeps for each suffix whether it
-   agrees in `length` bytes with its predecessor, which cuts the order into classes of equal windows. From round to
-   round the state is read and written in sequence, by symbol. A class's smallest doc_id says who keeps the window. A
-   segment that is alone with its minimiser shares no window and needs no rounds.
+   segment, from the last to the first, into the transform of all suffixes so far. Only the order of the suffixes is
+   carried from round to round, in arrays in memory and not in sequential files. After the last round, neighbours are
+   compared in `length` bytes column by column, which cuts the order into classes of equal windows. A class's smallest
+   doc_id says who keeps the window. A segment that is alone with its minimiser shares no window and needs no rounds;
+   windows of very frequent minimisers take part in none either, as equal ones meet as equal strings.
 4. The answers return to the texts: for each distinct segment its smallest doc_id, and the windows that an even smaller
    document holds.
 
