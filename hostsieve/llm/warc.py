@@ -30,8 +30,8 @@ HEADERS = {
     "payload_digest": "warc-payload-digest",
     "refers_to": "warc-refers-to",
 }
-#: Fixed value: the digits of base 32.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The digits of base 32, and those of Spark's conv().
+BASE32, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 @dataclass
@@ -93,21 +93,29 @@ def records(stream, wanted: list[tuple[str, set]] = (), with_payload: bool = Tru
         values = {c: head.get(h) for c, h in HEADERS.items()}
         left = int(head.get("content-length", 0))
         if not all(values[c] in allowed for c, allowed in wanted):
-            while left and (got := len(stream.read(min(left, 1 << 20)))):
-                left -= got
+            skip(stream, left)
             continue
-        length, payload = None, None
-        if head.get("content-type", "").startswith("application/http"):
-            block = io.BytesIO(stream.read(left))
-            block.readline()
-            length = headers(block).get("content-length")
-            payload = block.read() if with_payload and values["record_type"] == "response" else None
+        length, http = None, head.get("content-type", "").startswith("application/http")
+        if http:
+            raw = [stream.readline()]
+            while raw[-1].strip():
+                raw.append(stream.readline())
+            left -= sum(map(len, raw))
+            length = headers(io.BytesIO(b"".join(raw[1:]))).get("content-length")
+        payload = None
+        if with_payload and (values["record_type"] == "response" or not http):
+            payload = stream.read(left)
         else:
-            block = stream.read(left)
-            payload = block if with_payload else None
+            skip(stream, left)
         yield (*values.values(), None if length is None else int(length), payload)
 
 
+def skip(stream, n: int) -> None:
+    """Reads past n bytes without keeping them."""
+    while n and (got := len(stream.read(min(n, 1 << 20)))):
+        n -= got
+
+
 def headers(stream) -> dict[str, str]:
     out = {}
     while (line := stream.readline()).strip():
@@ -137,13 +145,9 @@ class WarcSource(DataSource):
 
 
 def sha1_base32(payload: Column) -> Column:
-    """Upper-case base 32 of the SHA-1: 32 digits of five bits, each within two hex digits of the hash."""
-    code = F.sha1(payload)
-    digit = lambda i: (
-        F.shiftright(F.conv(F.substr(code, F.floor(i * 5 / 4).cast("int") + 1, F.lit(2)), 16, 10).cast("int"), 0).bitwiseAND(255)
-        / F.pow(F.lit(2), 3 - (i * 5) % 4)
-    )
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(F.lit(BASE32), F.floor(digit(i)).cast("int") % 32 + 1, F.lit(1))), "")
+    """Upper-case base 32 of the SHA-1, which is taken once: each ten hex digits of it are eight digits of five bits."""
+    eight = lambda code, k: F.translate(F.lpad(F.conv(F.substr(code, F.lit(k), F.lit(10)), 16, 32), 8, "0"), DIGITS, BASE32)
+    return F.transform(F.array(F.sha1(payload)), lambda code: F.concat(*(eight(code, k) for k in (1, 11, 21, 31))))[0]
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -193,18 +197,23 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Size and digest of a response are taken from its payload as read; a revisit's from its headers. An empty table gives
-    an empty result, and columns other than page_id, url and html are not read.
+    Two scans, each with its predicate on the record type pushed into the source: responses with their payload, which
+    size and digest are taken from, and revisits by their headers alone. An empty table gives an empty result, and
+    columns other than page_id, url and html are not read.
     """
     spark = pages.sparkSession
     path = shared_dir(spark)
     write_warc(pages, path)
     id_of = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
-    response = F.col("record_type") == "response"
-    return read_warc(spark, path).select(
-        id_of("record_id").alias("page_id"),
-        F.when(response, F.octet_length("payload")).otherwise(F.col("http_length")).cast("long").alias("payload_bytes"),
-        F.when(response, sha1_base32(F.col("payload"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        "record_type",
-        id_of("refers_to").alias("refers_to"),
+
+    def rows(kind: str, size: Column, digest: Column) -> DataFrame:
+        return (
+            read_warc(spark, path, payload=kind == "response")
+            .where(F.col("record_type") == kind)
+            .select(id_of("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", id_of("refers_to").alias("refers_to"))
+        )
+
+    payload = F.col("payload")
+    return rows("response", F.octet_length(payload), sha1_base32(payload)).unionByName(
+        rows("revisit", F.col("http_length"), F.regexp_replace("payload_digest", "^sha1:", ""))
     )
