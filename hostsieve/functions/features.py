@@ -9,17 +9,13 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LEVELS = ("thirdleveldomain", "secondleveldomain", "fqdn")
 
 
-def labels(name: Column) -> Column:
-    return F.split(F.regexp_replace(name, r"^\.+|\.+$", ""), r"\.")
-
-
 def with_levels(df: DataFrame, name: str = "domain_name") -> DataFrame:
-    """Adds fqdn, labels, secondleveldomain and thirdleveldomain."""
-    df = df.withColumn("fqdn", F.regexp_replace(name, r"^\.+|\.+$", "")).withColumn("labels", labels(F.col(name)))
+    """Adds fqdn, labels, secondleveldomain and thirdleveldomain; each is made once from the one before."""
+    df = df.withColumn("fqdn", F.btrim(F.col(name), F.lit("."))).withColumn("labels", F.split("fqdn", r"\."))
     many = F.size("labels") > 1
-    return df.withColumn("secondleveldomain", F.when(many, F.element_at("labels", -2)).otherwise("")).withColumn(
-        "thirdleveldomain", F.when(many, F.array_join(F.slice("labels", 1, F.greatest(F.size("labels") - 2, F.lit(0))), ".")).otherwise("")
-    )
+    second = F.when(many, F.element_at("labels", -2)).otherwise("")
+    third = F.when(many, F.array_join(F.slice("labels", 1, F.greatest(F.size("labels") - 2, F.lit(0))), ".")).otherwise("")
+    return df.withColumns({"secondleveldomain": second, "thirdleveldomain": third})
 
 
 def basic() -> dict[str, Column]:
@@ -41,20 +37,23 @@ def letters() -> dict[str, Column]:
 
 
 def ratios() -> dict[str, Column]:
-    out = {}
+    out, capital, digits, blank = {}, LETTERS.upper(), "0123456789", " \t\n\x0b\f\r"
     for level in LEVELS:
         text = F.col(level)
+        without = lambda chars, text=text: F.length(F.translate(text, chars, ""))
         out[f"{level}_full"] = F.when(F.length(text) > 0, 1.0).otherwise(0.0)
-        for kind, pattern in (("alpha", "[A-Za-z]"), ("numeric", "[0-9]"), ("special", "[^A-Za-z0-9\\s]")):
-            out[f"{level}_{kind}"] = _share(text, F.regexp_count(text, F.lit(pattern)))
+        out[f"{level}_alpha"] = _share(text, F.length(text) - without(LETTERS + capital))
+        out[f"{level}_numeric"] = _share(text, F.length(text) - without(digits))
+        out[f"{level}_special"] = _share(text, without(LETTERS + capital + digits + blank))
     return out
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters in bits; 0 for the empty text."""
-    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
-    p = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text)
-    return F.aggregate(F.array_sort(chars), F.lit(0.0), lambda s, c: s - p(c) * F.log2(p(c)))
+    """Shannon entropy of the characters in bits; 0 for the empty text. Equal characters stand together once sorted."""
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    term = lambda s, run: s - F.length(run) / F.length(text) * F.log2(F.length(run) / F.length(text))
+    return F.when(F.length(text) > 0, F.aggregate(runs, F.lit(0.0), term)).otherwise(0.0)
 
 
 def entropies() -> dict[str, Column]:

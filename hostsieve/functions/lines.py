@@ -5,32 +5,35 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"^{OCTET}(\.{OCTET}){{3}}$"
-DOMAIN = r"^([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}$"
-#: Fields that a format must have and must not have, and the strptime codes that are translated.
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
+#: The domain pattern and the other patterns of the default format, as configured; fields that a format must
+#: have and must not have; and the strptime codes that are translated.
+DOMAIN = r"^(?=.{1,253}$)((?!-)[A-Za-z0-9-]{1,63}(?<!-)\.)+[A-Za-z]{2,63}$"
+SIZE, TIMESTAMP = r"^\d+b$", "%Y-%m-%dT%H:%M:%S.%fZ"
 REQUIRED = ("timestamp", "status_code", "client_ip", "record_type", "domain_name")
 FORBIDDEN = ("logline_id", "batch_id")
 CODES = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%f": "SSSSSS"}
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_ip(values: pd.Series) -> pd.Series:
-    import ipaddress
+def _ipv6_pattern() -> str:
+    """Eight groups of up to four hex digits, of which :: may stand for one or more zero groups; the last two may be an
+    IPv4 address; a zone may follow."""
+    group = "[0-9A-Fa-f]{1,4}"
+    last = f"(?:{group}:{group}|{IPV4})"
+    forms = [f"(?:{group}:){{6}}{last}"]
+    for after in range(6):  # groups between :: and the last two
+        most = 4 - after
+        before = "" if most < 0 else f"(?:(?:{group}:){{0,{most}}}{group})?"
+        forms.append(f"{before}::(?:{group}:){{{after}}}{last}")
+    forms += [f"(?:(?:{group}:){{0,5}}{group})?::{group}", f"(?:(?:{group}:){{0,6}}{group})?::"]
+    return f"(?:{'|'.join(forms)})(?:%[^%/]+)?"
 
-    def test(x):
-        try:
-            ipaddress.ip_address(x)
-            return True
-        except ValueError:
-            return False
 
-    return values.map(test)
+IPV6 = _ipv6_pattern()
 
 
 def timestamp_pattern(strptime: str) -> str:
@@ -46,17 +49,23 @@ def timestamp_pattern(strptime: str) -> str:
     return "".join(out)
 
 
+def micros(value: Column, strptime: str) -> Column:
+    """Microseconds since 1970 of a wall-clock time in the format, null where it isn't one."""
+    wall = F.try_to_timestamp(value, F.lit(timestamp_pattern(strptime))).cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), wall)
+
+
 def is_timestamp(value: Column, strptime: str) -> Column:
     return F.try_to_timestamp(value, F.lit(timestamp_pattern(strptime))).isNotNull()
 
 
 def is_ipv4(value: Column) -> Column:
-    return value.rlike(IPV4)
+    return value.rlike(f"^{IPV4}$")
 
 
 def is_ip(value: Column, ipv6: bool = True) -> Column:
-    """IPv4 by pattern; only values with a colon are handed to Python."""
-    return F.when(value.contains(":"), _is_ip(F.when(value.contains(":"), value))).otherwise(is_ipv4(value)) if ipv6 else is_ipv4(value)
+    """IPv4 or IPv6, by patterns; the long one is tried only where there is a colon."""
+    return F.when(value.contains(":"), value.rlike(f"^{IPV6}$")).otherwise(is_ipv4(value)) if ipv6 else is_ipv4(value)
 
 
 def matches(value: Column, pattern: str) -> Column:
@@ -66,7 +75,7 @@ def matches(value: Column, pattern: str) -> Column:
 
 @dataclass(frozen=True)
 class Field:
-    """One field of a line. kind: timestamp (arg: strptime format), regex (pattern), ip, ipv4 (no Python in the plan), list (allowed; relevant)."""
+    """One field of a line. kind: timestamp (arg: strptime format), regex (pattern), ip, ipv4 (IPv4 only), list (allowed; relevant)."""
 
     name: str
     kind: str
@@ -103,15 +112,38 @@ class LineFormat:
             if f.kind == "list" and not set(f.relevant) <= set(f.arg):
                 raise ValueError(f"{f.name}: relevant values must be allowed ones")
 
+    def split(self, lines: DataFrame, value: str = "value") -> DataFrame:
+        """Adds the fields, absent where their number is wrong, and n_fields.
+
+        The parts come out of a generator, so that no later filter is pushed below the split and repeats it for each test.
+        """
+        text = F.trim(F.coalesce(F.col(value), F.lit("")))
+        parts = lines.select("*", F.explode(F.array(F.split(text, r"\s+"))).alias("__parts"))
+        count = F.when(F.get("__parts", F.lit(0)) == "", 0).otherwise(F.size("__parts"))
+        right = F.size("__parts") == len(self.fields)
+        fields = {f.name: F.when(right, F.get("__parts", F.lit(i))) for i, f in enumerate(self.fields)}
+        return parts.withColumns({"n_fields": count, **fields}).drop("__parts")
+
+    def tests(self) -> dict[str, Column]:
+        """Whether each field is there and passes."""
+        return {f.name: F.coalesce(f.valid(F.col(f.name)), F.lit(False)) for f in self.fields}
+
     def parse(self, lines: DataFrame, value: str = "value") -> DataFrame:
         """Adds the fields, n_fields and invalid_fields (names in order; all are absent where the count is wrong)."""
-        parts = F.split(F.trim(value), r"\s+")
-        count = F.when(F.trim(value) == "", 0).otherwise(F.size(parts))
-        out = lines.withColumn("n_fields", F.coalesce(count, F.lit(0)))
-        out = out.withColumns({f.name: F.when(F.col("n_fields") == len(self.fields), parts[i]) for i, f in enumerate(self.fields)})
-        bad = [F.when(~F.coalesce(f.valid(F.col(f.name)), F.lit(False)), f.name) for f in self.fields]
-        found = F.when(F.col("n_fields") == len(self.fields), F.array_compact(F.array(*bad))).otherwise(F.array(F.lit("field_count")))
-        return out.withColumn("invalid_fields", found)
+        bad = F.array_compact(F.array(*(F.when(~ok, name) for name, ok in self.tests().items())))
+        found = F.when(F.col("n_fields") == len(self.fields), bad).otherwise(F.array(F.lit("field_count")))
+        return self.split(lines, value).withColumn("invalid_fields", found)
+
+    def valid(self, lines: DataFrame, value: str = "value") -> DataFrame:
+        """The lines that parse has no invalid field for, with their fields; a line's tests end at the first that fails."""
+        ok = F.col("n_fields") == len(self.fields)
+        for test in self.tests().values():
+            ok = ok & test
+        return self.split(lines, value).where(ok).drop("n_fields")
+
+    def failed(self, lines: DataFrame, value: str = "value") -> DataFrame:
+        """The other lines, with invalid_fields."""
+        return self.parse(lines, value).where(F.size("invalid_fields") > 0)
 
     def relevant(self) -> Column:
         """Every list field with relevant values has one of them."""
@@ -122,20 +154,18 @@ class LineFormat:
         return out
 
 
-
-
 def default_format(ip: str = "ip") -> LineFormat:
-    """Eight fields; ip="ipv4" for logs without IPv6, whose plan then needs no Python."""
+    """Eight fields; ip="ipv4" for logs without IPv6."""
     return LineFormat(
         (
-            Field("timestamp", "timestamp", "%Y-%m-%dT%H:%M:%S.%fZ"),
+            Field("timestamp", "timestamp", TIMESTAMP),
             Field("status_code", "list", ("NOERROR", "NXDOMAIN"), ("NXDOMAIN",)),
             Field("client_ip", ip),
             Field("dns_server_ip", ip),
             Field("domain_name", "regex", DOMAIN),
             Field("record_type", "list", ("A", "AAAA")),
             Field("response_ip", ip),
-            Field("size", "regex", r"\d+b$"),
+            Field("size", "regex", SIZE),
         )
     )
 
@@ -143,25 +173,46 @@ def default_format(ip: str = "ip") -> LineFormat:
 DEFAULT = default_format()
 
 
-@F.pandas_udf(T.StringType())
-def _network6(values: pd.Series, prefix: pd.Series) -> pd.Series:
-    import ipaddress
-
-    net = lambda v, p: str(ipaddress.ip_network((v, int(p)), strict=False).network_address)
-    return pd.Series([None if v is None else net(v, p) for v, p in zip(values, prefix, strict=True)], dtype=object)
+def _network4(ip: Column, prefix: int) -> Column:
+    octet = F.split(ip, r"\.")
+    number = sum((octet[i].cast("long") * (256 ** (3 - i)) for i in range(1, 4)), octet[0].cast("long") * 256**3)
+    masked = number.bitwiseAND((0xFFFFFFFF << (32 - prefix)) & 0xFFFFFFFF)
+    return F.concat_ws(".", *(F.shiftright(masked, 8 * (3 - i)).bitwiseAND(255).cast("string") for i in range(4)))
+
+
+def _groups(ip: Column) -> Column:
+    """The eight numbers of a valid IPv6 address."""
+    number = lambda x: F.conv(x, 16, 10).cast("int")
+    some = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    plain = F.regexp_replace(ip, "%.*$", "")
+    octet = F.split(F.element_at(F.split(plain, ":"), -1), r"\.")
+    two = F.concat_ws(":", *(F.hex(octet[i].cast("int") * 256 + octet[i + 1].cast("int")) for i in (0, 2)))
+    plain = F.when(plain.contains("."), F.concat(F.regexp_replace(plain, "[^:]*$", ""), two)).otherwise(plain)
+    head, tail = some(F.split_part(plain, F.lit("::"), F.lit(1))), some(F.split_part(plain, F.lit("::"), F.lit(2)))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(tail), F.lit(0)))
+    return F.transform(F.concat(head, zeros, tail), number)
+
+
+def _network6(ip: Column, prefix: int) -> Column:
+    """Masked and written the usual way: lower case, the first longest run of two or more zero groups as ::."""
+    masks = F.array(*(F.lit((0xFFFF << (16 - min(16, max(0, prefix - 16 * k)))) & 0xFFFF) for k in range(8)))
+    kept = F.zip_with(_groups(ip), masks, lambda g, m: g.bitwiseAND(m))
+    text = F.array_join(F.transform(kept, lambda g: F.lower(F.hex(g))), ":")
+    short = text
+    for n in range(2, 9):
+        run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
+        short = F.when(text.rlike(run), F.regexp_replace(F.regexp_replace(text, run, "$1::$2"), ":{3,}", "::")).otherwise(short)
+    low = [F.element_at(kept, k) for k in (7, 8)]
+    dotted = F.concat_ws(".", *(F.shiftright(x, n).bitwiseAND(255).cast("string") for x in low for n in (8, 0)))
+    return F.when(text.startswith("0:0:0:0:0:ffff:"), F.concat(F.lit("::ffff:"), dotted)).otherwise(short)
 
 
 def network(ip: Column, prefix4: int = 24, prefix6: int = 64, ipv6: bool = True) -> Column:
-    """The network address: IPv4 by masking a long; with ipv6, values with a colon are handed to Python."""
+    """The network address by masking; the longer expression for IPv6 is taken only where there is a colon."""
     if not 0 <= prefix4 <= 32 or not 0 <= prefix6 <= 128:
         raise ValueError("prefix lengths are 0 to 32 and 0 to 128")
-    octet = F.split(ip, r"\.")
-    number = sum((octet[i].cast("long") * (256 ** (3 - i)) for i in range(1, 4)), octet[0].cast("long") * 256**3)
-    masked = number.bitwiseAND((0xFFFFFFFF << (32 - prefix4)) & 0xFFFFFFFF)
-    four = F.concat_ws(".", *(F.shiftright(masked, 8 * (3 - i)).bitwiseAND(255).cast("string") for i in range(4)))
-    if not ipv6:
-        return four
-    return F.when(ip.contains(":"), _network6(F.when(ip.contains(":"), ip), F.lit(prefix6))).otherwise(four)
+    four = _network4(ip, prefix4)
+    return F.when(ip.contains(":"), _network6(ip, prefix6)).otherwise(four) if ipv6 else four
 
 
 def subnet_id(ip: Column, prefix4: int = 24, prefix6: int = 64, ipv6: bool = True) -> Column:

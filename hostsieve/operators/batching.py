@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hostsieve.operators.numbering import numbered
+
 ARRIVAL = ("us", "logline_id")
 
 
-def by_size(lines: DataFrame, n: int) -> DataFrame:
-    """Adds b, the number of the batch within its subnet: n lines each, in order of arrival."""
-    rank = F.row_number().over(W.partitionBy("subnet_id").orderBy(*ARRIVAL))
-    return lines.withColumn("b", F.floor((rank - 1) / n).cast("long"))
+def by_size(lines: DataFrame, n: int, cell_us: int = 10_000_000) -> DataFrame:
+    """Adds b, the number of the batch within its subnet: n lines each, in order of arrival.
+
+    cell_us: the intervals that a subnet's lines are counted and numbered in.
+    """
+    rows = numbered(lines, ["subnet_id"], F.floor(F.col("us") / cell_us), list(ARRIVAL))
+    return rows.withColumn("b", F.floor((F.col("__r") - 1) / n).cast("long")).drop("__r", "__n")
 
 
 def by_time(lines: DataFrame, us: int) -> DataFrame:
@@ -20,32 +25,62 @@ def by_time(lines: DataFrame, us: int) -> DataFrame:
     return lines.withColumn("b", F.floor(F.col("us") / us).cast("long"))
 
 
-def batch_id(b="b"):
+def batch_id(b="b") -> Column:
     return F.concat_ws("#", "subnet_id", F.col(b).cast("string"))
 
 
-def overlap(batched: DataFrame) -> DataFrame:
-    """Own lines (part 1) and, as part 0, those of the batch numbered one less, if it exists; adds batch_id and bounds.
+def bounds(batched: DataFrame) -> DataFrame:
+    """A row for each batch: subnet_id, b, batch_id, begin_us, end_us, own lines n, and lines n0 of the batch before.
 
-    begin_us is the first line of part 0, or else of part 1; end_us is the last line of part 1.
+    The batch numbered one less comes along, if it exists. begin_us is that batch's first line, or else the own first
+    one; end_us is the own last line.
     """
-    own = batched.groupBy("subnet_id", "b").agg(F.min("us").alias("own_begin"), F.max("us").alias("end_us"))
-    w = W.partitionBy("subnet_id").orderBy("b")
+    own = batched.groupBy("subnet_id", "b").agg(F.min("us").alias("own_begin"), F.max("us").alias("end_us"), F.count("*").alias("n"))
+    w = W.partitionBy("subnet_id").orderBy("b")  # a row for each batch
     before = F.lag("b").over(w) == F.col("b") - 1
-    bounds = own.select("subnet_id", "b", F.when(before, F.lag("own_begin").over(w)).otherwise(F.col("own_begin")).alias("begin_us"), "end_us")
-    parts = batched.withColumn("__to", F.explode(F.array(F.struct(F.col("b").alias("b"), F.lit(1).alias("part")), F.struct((F.col("b") + 1).alias("b"), F.lit(0).alias("part")))))
-    parts = parts.drop("b").select("*", "__to.b", "__to.part").drop("__to")
-    return parts.join(bounds, ["subnet_id", "b"]).withColumn("batch_id", batch_id())
+    return own.select(
+        "subnet_id",
+        "b",
+        batch_id().alias("batch_id"),
+        F.when(before, F.lag("own_begin").over(w)).otherwise(F.col("own_begin")).alias("begin_us"),
+        "own_begin",
+        "end_us",
+        "n",
+        F.when(before, F.lag("n").over(w)).otherwise(0).alias("n0"),
+    )
+
+
+def overlap(batched: DataFrame, of: DataFrame) -> DataFrame:
+    """Own lines (part 1) and, as part 0, those of the batch before, with the bounds of the batch they are in."""
+    to = F.explode(F.array(F.struct(F.col("b").alias("b"), F.lit(1).alias("part")), F.struct((F.col("b") + 1).alias("b"), F.lit(0).alias("part"))))
+    parts = batched.withColumn("__to", to).drop("b").select("*", "__to.b", "__to.part").drop("__to")
+    return parts.join(of.select("subnet_id", "b", "batch_id", "begin_us", "end_us"), ["subnet_id", "b"])
 
 
 def ordered(lines: DataFrame) -> DataFrame:
-    """Adds pos: the line's place in its batch, part 0 first, each part by time."""
-    return lines.withColumn("pos", F.row_number().over(W.partitionBy("batch_id").orderBy("part", *ARRIVAL)))
+    """Adds pos: the place within the batch, the predecessor's lines first, each part in order of arrival."""
+    w = W.partitionBy("batch_id").orderBy("part", *ARRIVAL)
+    return lines.withColumn("pos", F.row_number().over(w))
 
 
-def fill_levels(batched: DataFrame, bucket_us: int) -> DataFrame:
-    """Lines held at the end of each interval: arrivals less lines of batches that ended, summed by interval first."""
-    ends = batched.groupBy("subnet_id", "b").agg(F.max("us").alias("us"), (-F.count("*")).alias("d"))
-    moves = batched.select("us", F.lit(1).alias("d")).unionByName(ends.select("us", "d"))
-    per = moves.groupBy(F.floor(F.col("us") / bucket_us).alias("bucket")).agg(F.sum("d").alias("d"))
-    return per.select("bucket", F.sum("d").over(W.orderBy("bucket")).alias("entry_count"))
+def waiting(batched: DataFrame) -> DataFrame:
+    """Adds message_count: how many lines of its batch have arrived with each line."""
+    w = W.partitionBy("subnet_id", "b").orderBy(*ARRIVAL)
+    return batched.withColumn("message_count", F.row_number().over(w).cast("long"))
+
+
+def fill_levels(batched: DataFrame, of: DataFrame, bucket_us: int) -> DataFrame:
+    """bucket, entry_type and entry_count: lines in batches and in buffers at the end of each interval with a change.
+
+    A line adds one to the batches; a batch's last line moves all of them to the subnet's buffer, where they take the
+    place of the batch before. Changes are summed per interval first, so the running sum is over few rows.
+    """
+    bucket = lambda c: F.floor(F.col(c) / bucket_us).cast("long").alias("bucket")
+    change = lambda df, at, kind, d: df.select(bucket(at), F.lit(kind).alias("entry_type"), d.alias("d"))
+    inside, buffered = "total_loglines_in_batches", "total_loglines_in_buffer"
+    rows = change(batched, "us", inside, F.lit(1).cast("long")).unionByName(change(of, "end_us", inside, -F.col("n")))
+    held = F.coalesce(F.lag("n").over(W.partitionBy("subnet_id").orderBy("b")), F.lit(0))
+    rows = rows.unionByName(change(of.withColumn("d", F.col("n") - held), "end_us", buffered, F.col("d")))
+    per = rows.groupBy("entry_type", "bucket").agg(F.sum("d").alias("d"))
+    w = W.partitionBy("entry_type").orderBy("bucket")
+    return per.select("bucket", "entry_type", F.sum("d").over(w).cast("long").alias("entry_count"))

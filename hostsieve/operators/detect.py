@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hostsieve.operators.numbering import numbered
+
 
 def rule_probability() -> Column:
     """A rule in the place of a model: two labels and a high entropy."""
@@ -22,42 +22,35 @@ def warnings(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.where((F.col("p1") > 1 - F.col("p1")) & (F.col("p1") > threshold))
 
 
-def alerts(found: DataFrame) -> DataFrame:
-    """One alert for each suspicious batch with a warning: the median probability, distinct names and the warnings as JSON."""
-    warning = F.struct(F.col("domain_name").alias("request"), F.round("p1", 6).alias("probability"))
+def alerts(found: DataFrame, model: str = "rule", sha256: str = "") -> DataFrame:
+    """One alert for each suspicious batch with a warning: the median probability, distinct names and all warnings as JSON."""
+    warning = F.struct(F.col("domain_name").alias("request"), F.round("p1", 6).alias("probability"), F.lit(model).alias("model"), F.lit(sha256).alias("sha256"))
     return found.groupBy("suspicious_batch_id", "batch_id", "client_ip").agg(
         F.median("p1").alias("overall_score"),
         F.array_sort(F.collect_set("domain_name")).alias("domain_names"),
-        F.to_json(F.array_sort(F.collect_set(warning))).alias("result"),
+        F.to_json(F.sort_array(F.collect_list(warning))).alias("result"),
         F.max("us").alias("alert_us"),
         F.count("*").alias("n_warnings"),
     )
 
 
-def stage_events(df: DataFrame, key: str, stage: str, status: Column | str, us: str, active: Column | bool) -> DataFrame:
-    """One status event for each key: its rows, its last time."""
-    status = F.lit(status) if isinstance(status, str) else status
-    active = F.lit(active) if isinstance(active, bool) else active
-    df = df.select(F.col(key).alias("key"), status.alias("status"), active.alias("is_active"), F.col(us).alias("us"))
-    return df.groupBy("key", "status", "is_active").agg(F.max("us").alias("us"), F.count("*").alias("message_count")).withColumn("stage", F.lit(stage))
-
-
 def current_state(events: DataFrame) -> DataFrame:
-    """The latest event of each key."""
-    w = W.partitionBy("key").orderBy(F.desc("us"), F.desc("rank"))
-    return events.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The latest event of each key, by an aggregation that combines before it shuffles."""
+    rest = [c for c in events.columns if c not in ("key", "us", "rank")]
+    last = events.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("us", "rank")).alias("__last"))
+    return last.select("key", "__last.*")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, shares: dict[str, float], seed: int = 108) -> DataFrame:
     """Adds split: within each class, rows in order of a seeded hash, cut exactly by the shares."""
-    w = W.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    df = df.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count("*").over(W.partitionBy(label)))
+    code = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    df = numbered(df.withColumn("__code", code), [label], F.substr("__code", F.lit(1), F.lit(3)), ["__code", key])
     out, at, column = list(shares), 0.0, None
     for name in out[:-1]:
         at += shares[name]
         test = F.col("__r") <= F.floor(F.col("__n") * at + 1e-9)
         column = F.when(test, name) if column is None else column.when(test, name)
-    return df.withColumn("split", column.otherwise(out[-1])).drop("__r", "__n")
+    return df.withColumn("split", column.otherwise(out[-1])).drop("__r", "__n", "__code")
 
 
 def label_codes(df: DataFrame, label: str = "class") -> DataFrame:
@@ -99,24 +92,56 @@ def report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def classification_report(df: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of each class."""
-    cls = F.explode(F.array(F.lit(0), F.lit(1)))
-    one = df.select("label", "prediction", cls.alias("class"))
-    c = F.col("class")
-    hit = F.count_if((F.col("label") == c) & (F.col("prediction") == c))
-    counts = one.groupBy("class").agg(hit.alias("h"), F.count_if(F.col("prediction") == c).alias("p"), F.count_if(F.col("label") == c).alias("support"))
+    """Precision, recall, F1 and support of each class, their plain (macro) and weighted means, and the accuracy.
+
+    All follow from the four cells of one confusion matrix; the accuracy stands in all three columns.
+    """
+    row = lambda name, h, p, s: F.struct(F.lit(name).alias("class"), h.alias("h"), p.alias("p"), s.alias("support"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    one = confusion(df).select(F.inline(F.array(row("0", tn, tn + fn, tn + fp), row("1", tp, tp + fp, tp + fn), row("accuracy", tp + tn, tp + fp + fn + tn, tp + fp + fn + tn))))
     h, p, s = (F.col(x) for x in ("h", "p", "support"))
-    return counts.select("class", F.round(ratio(h, p), 6).alias("precision"), F.round(ratio(h, s), 6).alias("recall"), F.round(ratio(2 * h, p + s), 6).alias("f1"), "support")
+    rates = one.select("class", ratio(h, p).alias("precision"), ratio(h, s).alias("recall"), ratio(2 * h, p + s).alias("f1"), "support")
+    names, classes = ("precision", "recall", "f1"), F.col("class") != "accuracy"
+    macro = rates.where(classes).agg(*(F.avg(c).alias(c) for c in names), F.sum("support").alias("support")).withColumn("class", F.lit("macro"))
+    weighted = rates.where(classes).agg(*(ratio(F.sum(F.col(c) * s), F.sum(s)).alias(c) for c in names), F.sum("support").alias("support")).withColumn("class", F.lit("weighted"))
+    return rates.unionByName(macro).unionByName(weighted).select("class", *(F.round(c, 6).alias(c) for c in names), "support")
+
+
+def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns less their mean, in units of their sample standard deviation; constant ones become 0."""
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="keep").transform(df)
+    model = StandardScaler(inputCol="__v", outputCol="__s", withMean=True).fit(rows)
+    out = model.transform(rows).withColumn("__a", vector_to_array("__s"))
+    return out.withColumns({c: F.get("__a", F.lit(i)) for i, c in enumerate(columns)}).drop("__v", "__s", "__a")
+
+
+def clean_names(names: list[str]) -> list[str]:
+    """Column names of letters, digits and underscores, told apart by a number where they would repeat."""
+    out: list[str] = []
+    for name in names:
+        base = re.sub(r"\W+", "_", name.strip()).strip("_") or "column"
+        made, k = base, 2
+        while made in out:
+            made, k = f"{base}_{k}", k + 1
+        out.append(made)
+    return out
 
 
-def train(df: DataFrame, kind: str = "rf", features: str = "features", label: str = "label", weight: str | None = None):
-    """A fitted forest (rf) or boosted trees (gbt)."""
+def train(df: DataFrame, kind="rf", features: str = "features", label: str = "label", weight: str | None = None):
+    """A fitted forest (rf), boosted trees (gbt), or any estimator of the caller with features and label columns."""
+    from pyspark.ml import Estimator
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 
-    if kind not in ("rf", "gbt"):
+    if isinstance(kind, Estimator):
+        make = kind.copy()
+    elif kind in ("rf", "gbt"):
+        make = (RandomForestClassifier(numTrees=20, maxDepth=6) if kind == "rf" else GBTClassifier(maxIter=10)).setSeed(108)
+    else:
         raise ValueError(kind)
-    make = RandomForestClassifier(numTrees=20, maxDepth=6) if kind == "rf" else GBTClassifier(maxIter=10)
-    make = make.setFeaturesCol(features).setLabelCol(label).setSeed(108)
+    make = make.setFeaturesCol(features).setLabelCol(label)
     return (make.setWeightCol(weight) if weight else make).fit(df)
 
 
@@ -170,27 +195,26 @@ def rule_quality(df: DataFrame, predicates: list[str]) -> DataFrame:
     return rules.join(hits, "k", "left").select("rule", s.alias("support"), ratio(h, s).alias("precision"))
 
 
-def checksum(path: str) -> str:
-    """SHA-256 over the names and bytes of a saved model's files."""
-    total = hashlib.sha256()
-    for folder, dirs, files in os.walk(path):
-        dirs.sort()
-        for name in sorted(files):
-            if name.startswith("part-") or name == "_SUCCESS":
-                with open(os.path.join(folder, name), "rb") as f:
-                    total.update(f.read())
-    return total.hexdigest()
+def checksum(spark, path: str) -> str:
+    """SHA-256 over the relative names and hashes of a saved model's files; Spark reads them, so any store will do."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").rlike(r"/[_.][^/]*$"))
+    name = F.regexp_extract("path", r"/((?:metadata|data|treesMetadata|stages)/.*)$", 1)
+    lines = files.select(F.concat_ws(" ", name, F.sha2("content", 256)).alias("line"))
+    # a model's files are few, whatever it was fitted on
+    return lines.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256)).first()[0]
 
 
-def save_model(model, path: str) -> str:
-    model.write().overwrite().save(path)
-    code = checksum(path)
-    with open(f"{path}.manifest.json", "w") as f:
-        json.dump({"sha256": code}, f)
+def save_model(spark, model, path: str) -> str:
+    """Writes the model to path/model and a manifest with its checksum to path/manifest; returns the checksum."""
+    model.write().overwrite().save(f"{path}/model")
+    code = checksum(spark, f"{path}/model")
+    spark.createDataFrame([(code,)], "sha256 string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return code
 
 
-def load_model(cls, path: str, sha256: str):
-    if checksum(path) != sha256:
+def load_model(spark, cls, path: str, sha256: str | None = None):
+    """The model at path, if its files still have the checksum of its manifest, and the wanted one if that is given."""
+    code = spark.read.schema("sha256 string").json(f"{path}/manifest").first()[0]
+    if checksum(spark, f"{path}/model") != code or sha256 not in (None, code):
         raise ValueError("the model's checksum differs")
-    return cls.load(path)
+    return cls.load(f"{path}/model")

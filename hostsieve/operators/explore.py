@@ -6,26 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hostsieve.operators.numbering import running_sums
+
 
 def cdfs(df: DataFrame, x: str, label: str = "label") -> DataFrame:
-    """x and both classes' cumulative shares at each distinct value; counts per value come first."""
+    """x, both classes' cumulative shares at each distinct value, the next value, and both classes' rows."""
     per = df.groupBy(F.col(x).alias("x")).agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1"))
-    w = W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    return per.select("x", *((F.sum(c).over(w) / F.sum(c).over(every)).alias(o) for c, o in (("n0", "cdf0"), ("n1", "cdf1"))))
+    share = lambda c: F.try_divide(F.col(c), F.col(f"all_{c}"))
+    return running_sums(per.where("x is not null"), "x", ["n0", "n1"]).select("x", "next", share("n0").alias("cdf0"), share("n1").alias("cdf1"), "all_n0", "all_n1")
 
 
 def ks(df: DataFrame, x: str) -> DataFrame:
     """The Kolmogorov-Smirnov statistic, the sample sizes and the asymptotic p-value."""
-    d = cdfs(df, x).agg(F.max(F.abs(F.col("cdf0") - F.col("cdf1"))).alias("statistic"))
-    n = df.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    p = F.least(F.lit(1.0), 2 * F.exp(-2 * F.pow("statistic", 2) * F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1"))))
-    return d.crossJoin(n).withColumn("p_value", p)
+    d = cdfs(df, x).agg(F.max(F.abs(F.col("cdf0") - F.col("cdf1"))).alias("statistic"), F.max("all_n0").alias("n0"), F.max("all_n1").alias("n1"))
+    p = 2 * F.exp(-2 * F.pow("statistic", F.lit(2)) * F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")))
+    return d.withColumn("p_value", F.least(F.lit(1.0), p))
 
 
 def emd(df: DataFrame, x: str) -> DataFrame:
-    c = cdfs(df, x).withColumn("gap", F.lead("x").over(W.orderBy("x")) - F.col("x"))
-    return c.agg(F.sum(F.abs(F.col("cdf0") - F.col("cdf1")) * F.col("gap")).alias("emd"))
+    """The earth mover's distance between the classes' values."""
+    gap = F.col("next") - F.col("x")
+    return cdfs(df, x).agg(F.sum(F.abs(F.col("cdf0") - F.col("cdf1")) * gap).alias("emd"))
 
 
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int = 30) -> DataFrame:
@@ -40,6 +41,7 @@ def clip_outliers(df: DataFrame, x: str, q: float = 0.99) -> DataFrame:
 
 
 def pca(df: DataFrame, features: str = "features", k: int = 2):
+    """The fitted model, whose explainedVariance gives the components' shares, and df with its components."""
     from pyspark.ml.feature import PCA, StandardScaler
 
     centred = StandardScaler(inputCol=features, outputCol="__c", withMean=True, withStd=False).fit(df).transform(df)
@@ -47,6 +49,16 @@ def pca(df: DataFrame, features: str = "features", k: int = 2):
     return model, model.transform(centred).drop("__c")
 
 
+def date_of(us: Column) -> Column:
+    """The day of a wall-clock time in microseconds."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int"))
+
+
+def month_of(us: Column) -> Column:
+    """Months since the year 0."""
+    return (F.year(date_of(us)) * 12 + F.month(date_of(us)) - 1).cast("long")
+
+
 def granularity(seconds: Column) -> Column:
     return F.when(seconds <= 300, "second").when(seconds <= 21_600, "minute").when(seconds <= 259_200, "hour").otherwise("day")
 

@@ -22,12 +22,15 @@ def check_inspection(mode: str, models: list[str]) -> list[str]:
     return models if mode == "ensemble" else models[:1]
 
 
-def axis(batches: DataFrame, step_us: int, max_steps: int = 1_000_000) -> DataFrame:
-    """batch_id, step: the steps 0 to n - 1 of each batch, n = ceil((end - begin + step) / step)."""
-    span = F.col("end_us") - F.col("begin_us") + step_us
-    n = F.ceil(span / step_us).cast("long")
-    n = F.when(n > max_steps, F.raise_error(F.lit("too many steps"))).otherwise(n)
-    return batches.select("batch_id", "begin_us", "end_us", n.alias("n_steps")).withColumn("step", F.explode(F.expr("sequence(0L, n_steps - 1)")))
+def axis(batches: DataFrame, step_us: int, chunk: int = 1 << 16) -> DataFrame:
+    """batch_id, step: the steps 0 to n - 1 of each batch, n = ceil((end - begin + step) / step).
+
+    Steps are made in chunks, so that no array grows with a batch's length.
+    """
+    n = F.ceil((F.col("end_us") - F.col("begin_us") + step_us) / step_us).cast("long")
+    parts = batches.select("batch_id", "begin_us", "end_us", n.alias("n_steps"))
+    parts = parts.withColumn("__from", F.explode(F.expr(f"sequence(0L, n_steps - 1, {chunk}L)")))
+    return parts.withColumn("step", F.explode(F.expr(f"sequence(__from, least(__from + {chunk - 1}, n_steps - 1))"))).drop("__from")
 
 
 def _steps(lines: DataFrame, step_us: int) -> DataFrame:
@@ -67,11 +70,16 @@ def zscore(x: str, window: int | None = 24, warm_up: int = 5) -> Column:
 
 def mad(x: str, window: int = 24, warm_up: int = 5) -> Column:
     """Distance from the median in scaled median absolute deviations."""
-    seen = F.collect_list(x).over(_before(window))
-    mid = lambda a: (F.element_at(F.array_sort(a), F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(F.array_sort(a), F.floor(F.size(a) / 2 + 1).cast("int"))) / 2
-    m = mid(seen)
-    dev = mid(F.transform(seen, lambda v: F.abs(v - m))) * 1.4826
-    return F.when(F.size(seen) < warm_up, 0.0).otherwise(F.when(dev == 0, 0.0).otherwise(F.abs(F.col(x) - m) / dev))
+    seen = F.sort_array(F.collect_list(x).over(_before(window)))
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  # f of a value that is made once
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+
+    def of(a: Column) -> Column:
+        deviation = lambda m: F.struct(m.alias("m"), (bound(F.sort_array(F.transform(a, lambda v: F.abs(v - m))), middle) * 1.4826).alias("d"))
+        return F.when(F.size(a) >= warm_up, bound(middle(a), deviation))
+
+    score = bound(bound(seen, of), lambda s: F.when(s["d"] > 0, F.abs(F.col(x) - s["m"]) / s["d"]))
+    return F.coalesce(score, F.lit(0.0))
 
 
 def knn(x: str, k: int = 3, window: int = 24, warm_up: int = 5) -> Column:
@@ -81,29 +89,46 @@ def knn(x: str, k: int = 3, window: int = 24, warm_up: int = 5) -> Column:
     return F.when(F.size(seen) < max(k, warm_up), 0.0).otherwise(F.aggregate(near, F.lit(0.0), lambda s, v: s + v) / k)
 
 
-def pot(df: DataFrame, x: str, q: float = 0.9) -> DataFrame:
-    """Peaks over threshold, static: excess over a quantile in units of the mean excess of the series; adds score."""
-    limit = df.groupBy("batch_id").agg(F.expr(f"percentile({x}, {q})").alias("__limit"))
-    df = df.join(limit, "batch_id")
-    tail = df.where(F.col(x) > F.col("__limit")).groupBy("batch_id").agg(F.avg(F.col(x) - F.col("__limit")).alias("__scale"))
-    df = df.join(tail, "batch_id", "left")
-    return df.withColumn("score", F.coalesce(F.greatest(F.col(x) - F.col("__limit"), F.lit(0.0)) / F.col("__scale"), F.lit(0.0))).drop("__limit", "__scale")
-
+def pot(df: DataFrame, x: str, q: float = 0.9, risk: float = 0.01) -> DataFrame:
+    """Peaks over threshold, static; adds score, what a step exceeds its series' limit by, in units of the tail's scale.
 
-def loda(df: DataFrame, columns: list[str], projections: int = 10, bins: int = 20, seed: int = 1) -> DataFrame:
-    """Sparse random projections with histograms over the table; adds score, the mean negative log density."""
+    The tail is what exceeds the series' q-quantile t; a generalised Pareto distribution is fitted to the excesses by
+    their mean m and variance v: shape g = (1 - m^2 / v) / 2, scale s = m (m^2 / v + 1) / 2, or an exponential one where
+    v is 0. The limit is what is exceeded with the given risk. A series without excesses has scores of 0.
+    """
+    col, t = F.col(x), F.col("__t")
+    start = df.groupBy("batch_id").agg(F.percentile(x, F.lit(q)).alias("__t"), F.count("*").alias("__all"))
+    over = df.join(start, "batch_id").where(col > t).groupBy("batch_id").agg(F.count("*").alias("__k"), F.avg(col - t).alias("__m"), F.var_pop(col - t).alias("__v"))
+    ratio = F.when(F.col("__v") > 1e-9, F.pow("__m", F.lit(2)) / F.col("__v")).otherwise(1.0)
+    tail = start.join(over, "batch_id").select("batch_id", "__t", ((1 - ratio) / 2).alias("__g"), (F.col("__m") * (ratio + 1) / 2).alias("__s"), (F.lit(risk) * F.col("__all") / F.col("__k")).alias("__p"))
+    g, s, p = (F.col(c) for c in ("__g", "__s", "__p"))
+    limit = t + F.when(F.abs(g) < 1e-9, -s * F.ln(p)).otherwise(s / g * (F.pow(p, -g) - 1))
+    tail = tail.select("batch_id", F.greatest(limit, t).alias("__limit"), "__s")
+    excess = F.greatest(col - F.col("__limit"), F.lit(0.0)) / s
+    return df.join(tail, "batch_id", "left").withColumn("score", F.coalesce(excess, F.lit(0.0))).drop("__limit", "__s")
+
+
+def projections(columns: list[str], n: int, seed: int) -> list[list[float]]:
+    """The weights of n random projections, the same for the same seed."""
     import random
 
-    rng, parts = random.Random(seed), []
-    stats = df.agg(*(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    for _ in range(projections):
-        w = [rng.gauss(0, 1) for _ in columns]
-        parts.append(sum(((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) * v for c, v in zip(columns, w, strict=True)), F.lit(0.0)))
+    rng = random.Random(seed)
+    return [[rng.gauss(0, 1) for _ in columns] for _ in range(n)]
+
+
+def loda(df: DataFrame, columns: list[str], n: int = 10, bins: int = 20, seed: int = 1) -> DataFrame:
+    """Random projections of standardised columns with histograms over the table; adds score, the mean negative log density.
+
+    The histograms are as many rows as there are bins of projections, whatever the table's size.
+    """
+    stats = df.agg(*(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))), F.count("*").alias("n")).first()
+    parts = []
+    for w in projections(columns, n, seed):
+        parts.append(sum(((F.col(c) - F.lit(stats[f"m_{c}"])) / (stats[f"s_{c}"] or 1.0) * v for c, v in zip(columns, w, strict=True)), F.lit(0.0)))
     df = df.withColumn("__bins", F.array(*(F.floor(p * bins / 6) for p in parts)))
     long = df.select("batch_id", "step", F.posexplode("__bins").alias("p", "bin"))
     density = long.groupBy("p", "bin").agg(F.count("*").alias("c"))
-    total = df.count()
-    score = long.join(density, ["p", "bin"]).groupBy("batch_id", "step").agg(F.avg(-F.log(F.col("c") / total)).alias("score"))
+    score = long.join(density, ["p", "bin"]).groupBy("batch_id", "step").agg(F.avg(-F.log(F.col("c") / stats["n"])).alias("score"))
     return df.drop("__bins").join(score, ["batch_id", "step"])
 
 

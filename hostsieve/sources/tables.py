@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hostsieve.operators.numbering import numbered
+
 #: Schemas of the monitoring tables.
 TABLES = {
     "server_logs": "message_id string, timestamp_in timestamp_ntz, message_text string",
@@ -32,15 +37,30 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, name: str) -> None:
-    """Appends rows to a monitoring table; columns are checked and cast by its schema."""
+    """Appends rows to a monitoring table; columns are checked and cast by its schema, which takes no nulls but where said."""
     want = schema(name)
     if missing := set(want.names) - set(df.columns):
         raise ValueError(f"{name} lacks {sorted(missing)}")
     df.select(*(F.col(f.name).cast(f.dataType) for f in want)).write.mode("append").parquet(f"{path}/{name}")
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    alerts.write.mode("append").json(path)
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(schema(name)).parquet(f"{path}/{name}")
+
+
+def create_tables(spark: SparkSession, path: str) -> None:
+    """Writes every monitoring table without rows, where it isn't there yet."""
+    for name in TABLES:
+        empty_table(spark, name).write.mode("ignore").parquet(f"{path}/{name}")
+
+
+def drop_table(spark: SparkSession, path: str, name: str) -> None:
+    """Removes a monitoring table's rows and files."""
+    empty_table(spark, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def preview(spark: SparkSession, path: str, name: str, n: int = 10) -> DataFrame:
+    return read_table(spark, path, name).limit(n)
 
 
 def kafka_options(brokers: str, topic: str, group: str) -> dict[str, str]:
@@ -60,19 +80,19 @@ def read_labelled_csv(spark: SparkSession, path, label: str | None = None, query
 
 
 def read_named_csvs(spark: SparkSession, paths, pattern: str, most: int | None = None) -> DataFrame:
-    """CSVs without a header, the first column the name; the class is the file name's part that pattern captures.
+    """CSVs without a header, the first column the name; the class is what pattern captures in a file's path.
 
-    benign becomes legit. most: rows of each file at most, the smallest by hash.
+    benign becomes legit. most: rows of each file at most, the smallest by hash; None or less than 0: all.
     """
     df = spark.read.csv(paths, header=False)
-    name = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
-    df = df.select(F.col("_c0").alias("query"), F.when(name == "benign", "legit").otherwise(name).alias("class"))
-    if most is None or most < 0:
-        return df
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("class").orderBy(F.xxhash64("query"), "query"))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
+    path = F.col("_metadata.file_path")
+    name = F.regexp_extract(path, pattern, 1)
+    df = df.select(F.col("_c0").alias("query"), F.when(name == "benign", "legit").otherwise(name).alias("class"), path.alias("__file"))
+    if most is not None and most >= 0:
+        code = F.hex(F.xxhash64("query"))
+        df = numbered(df.withColumn("__code", code), ["__file"], F.substr("__code", F.lit(1), F.lit(2)), ["__code", "query"])
+        df = df.where(F.col("__r") <= most)
+    return df.select("query", "class")
 
 
 def read_parquet_names(spark: SparkSession, path) -> DataFrame:
@@ -95,9 +115,35 @@ def union_datasets(sets: dict[str, DataFrame]) -> DataFrame:
 
 
 def export_json(df: DataFrame, path: str) -> None:
+    """Line JSON, gzipped."""
     df.write.mode("overwrite").json(path, compression="gzip")
 
 
+def load_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    return spark.read.schema(ddl).json(path)
+
+
+def load_dataset(spark: SparkSession, source, reader: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """A dataset from a DataFrame as it is, or from a path by a reader of the caller, or else as a CSV with a header."""
+    if isinstance(source, DataFrame):
+        return source
+    return reader(spark, source) if reader else spark.read.csv(source, header=True)
+
+
+def feature_cache(df: DataFrame, path: str, dataset: str) -> DataFrame:
+    """The rows of df as a table at path, partitioned by dataset; a dataset that is there is read and not made again.
+
+    The dataset's name should name the options that its rows were made with, as it alone tells caches apart.
+    """
+    spark = df.sparkSession
+    try:
+        known = spark.read.parquet(f"{path}/dataset={dataset}")
+    except AnalysisException:
+        df.write.parquet(f"{path}/dataset={dataset}")
+        known = spark.read.parquet(f"{path}/dataset={dataset}")
+    return known.withColumn("dataset", F.lit(dataset))
+
+
 def verify_rows(messages: DataFrame, ddl: str, nullable=()) -> DataFrame:
     """Parses JSON messages (value) by a schema; ok is false where a column that must not be null is."""
     want = T.StructType.fromDDL(ddl)
@@ -127,21 +173,33 @@ def decode_envelope(messages: DataFrame) -> DataFrame:
     return messages.select(row.alias("m")).select("m.batch_id", F.explode("m.data").alias("l")).select("batch_id", "l.*")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where its files give fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log lines from the tables events and pages: a row for each event, with the raw line and its class."""
+    """Log lines from the tables events and pages: a row for each event, with the raw line and its class.
+
+    Some lines are malformed: a name that is too long, a record type or an address that is not allowed, a date without a
+    time, a field too few, nothing but blanks. Some clients have IPv6 addresses.
+    """
     events, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "pages"))
     hosts = pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
-    e = events.join(hosts, F.col("event_id") % pages.count() == F.col("page_id"))
+    pages_ = F.broadcast(pages.agg(F.count("*").alias("__pages")))  # one row
+    e = spread(events.select("event_id", "ts", "user_id", "event_type", "value")).crossJoin(pages_)
+    e = e.join(hosts, F.expr("event_id % __pages") == F.col("page_id"))
     dga, ts = F.col("event_id") % 4 == 0, F.col("ts").cast("timestamp_ntz")
+    name = "case when event_id % 173 = 11 then concat(repeat('abcdefghi.', 26), 'com') when event_id % 4 = 0 then concat(substr(md5(cast(event_id as string)), 1, 16), '.com') else host end"
     row = {
         "logline_id": F.col("event_id"),
-        "ts": ts,
-        "us": F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts),
-        "timestamp": F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        "arrival_us": F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts),
+        "timestamp": F.when(F.col("event_id") % 89 == 7, F.date_format(ts, "yyyy-MM-dd")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")),
         "status_code": F.when(F.col("event_type") == "error", "NXDOMAIN").otherwise("NOERROR"),
-        "client_ip": F.expr("concat('192.168.', user_id % 7, '.', user_id % 251 + 1)"),
+        "client_ip": F.expr("case when user_id % 29 = 3 then concat('fd00:0:0:', user_id % 7 + 1, '::', user_id % 251 + 1) else concat('192.168.', user_id % 7, '.', user_id % 251 + 1) end"),
         "dns_server_ip": F.expr("concat('10.10.0.', event_id % 10 + 1)"),
-        "domain_name": F.when(dga, F.expr("concat(substr(md5(cast(event_id as string)), 1, 16), '.com')")).otherwise(F.col("host")),
+        "domain_name": F.expr(name),
         "record_type": F.expr("case when event_id % 11 = 0 then 'CNAME' when event_id % 2 = 0 then 'A' else 'AAAA' end"),
         "response_ip": F.expr("case when event_id % 101 = 0 then '10.0.0.300' else concat('10.0.0.', event_id % 250 + 1) end"),
         "size": F.concat(F.floor("value").cast("int").cast("string"), F.lit("b")),
@@ -149,4 +207,5 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     e = e.select(*(c.alias(n) for n, c in row.items()))
     names = ("timestamp", "status_code", "client_ip", "dns_server_ip", "domain_name", "record_type", "response_ip", "size")
-    return e.withColumn("value", F.concat_ws(" ", *names))
+    short, blank = F.col("logline_id") % 97 == 5, F.col("logline_id") % 211 == 1
+    return e.withColumn("value", F.when(blank, "  ").when(short, F.concat_ws(" ", *names[:-1])).otherwise(F.concat_ws(" ", *names)))

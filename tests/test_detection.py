@@ -14,21 +14,21 @@ def noisy(spark, n):
     rng = random.Random(3)
     name = lambda: "".join(rng.choice("abcdefghij0123456789") for _ in range(rng.randint(3, 18)))
     rows = [(k, f"{name()}.{name()}.com", rng.choice(("legit", "dga"))) for k in range(n)]
-    return spark.createDataFrame(rows, "logline_id long, domain_name string, class string").repartition(2).localCheckpoint()
+    return spark.createDataFrame(rows, "logline_id long, domain_name string, class string").repartition(2).checkpoint()
 
 
 def test_every_valid_line_is_scored(spark, monkeypatch):
     lines = noisy(spark, 300)
-    monkeypatch.setattr(registry.Flow, "valid", lambda f: lines)
-    scores = {r.logline_id: r.p1 for r in registry.QUERIES["detect_scores"](spark, "").collect()}
-    held = {r.logline_id: r.p1 for r in registry.QUERIES["train_rf"](spark, "").collect()}
+    monkeypatch.setattr(registry.Given, "table", lines)
+    scores = {r.logline_id: r.p1 for r in registry.QUERIES["detect_scores"](spark, SF).collect()}
+    held = {r.logline_id: r.p1 for r in registry.QUERIES["train_rf"](spark, SF).collect()}
     assert sorted(scores) == list(range(300))
     assert 149 <= len(held) <= 151 and all(scores[k] == p for k, p in held.items())
 
 
 def test_warnings_are_all_likely_lines_of_suspicious_batches(spark):
     p1 = {r.logline_id: r.p1 for r in registry.QUERIES["detect_scores"](spark, SF).collect()}
-    lines = registry.Flow(spark, SF).by_client().select("suspicious_batch_id", "logline_id").collect()
+    lines = registry.Given(spark, SF).by_client.select("suspicious_batch_id", "logline_id").collect()
     want = sorted((r.suspicious_batch_id, r.logline_id) for r in lines if p1[r.logline_id] > 0.5)
     got = registry.QUERIES["warnings"](spark, SF).collect()
     assert want and sorted((r.suspicious_batch_id, r.logline_id) for r in got) == want
@@ -36,15 +36,15 @@ def test_warnings_are_all_likely_lines_of_suspicious_batches(spark):
 
 def test_all_rules_are_judged_on_held_out_lines(spark, monkeypatch):
     lines = noisy(spark, 600)
-    monkeypatch.setattr(registry.Flow, "valid", lambda f: lines)
-    fitted, held = registry._halves(registry.Flow(spark, ""))
+    monkeypatch.setattr(registry.Given, "table", lines)
+    fitted, held = registry._halves(registry.Given(spark, SF))
     rules = detect.rules(detect.train(fitted), list(ft.all_features()))
     rows = held.drop("features").toPandas()
     want = []
     for rule in rules:
         hit = rows.query(rule.replace("AND", "and")).label
         want.append((rule, len(hit), float(hit.mean()) if len(hit) else 0.0))
-    got = registry.QUERIES["rules"](spark, "").collect()
+    got = registry.QUERIES["rules"](spark, SF).collect()
     assert len(want) > 100
     assert sorted((r.rule, r.support) for r in got) == sorted(w[:2] for w in want)
     assert [r.precision for r in sorted(got)] == pytest.approx([w[2] for w in sorted(want)])
