@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostsieve.llm.common import sample_ids, slices, utf8
+from hostsieve.llm.common import sample_ids, slices, stored, utf8
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -19,13 +19,13 @@ def fold(doc_id, folds: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(
-    documents: DataFrame, labels: DataFrame, label: str, usable, most: int, most_bytes: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets and labels of at most `most` labelled texts of at most `most_bytes` bytes each, from rows that `usable` allows.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable, most: int, most_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, offsets and labels of at most `most` labelled texts of at most `most_bytes` bytes together, from rows that `usable` allows.
 
     Only the sample is bounded, never the rows that are scored. Half of it goes to each label as far as there are
-    enough rows. A document with several label rows counts once, with the largest label; null labels and ids are left out.
+    enough rows, those with the smallest hashes of doc_id first; texts of any length take part until the bytes are full.
+    A document with several label rows counts once, with the largest label, and one with several texts with the
+    smallest; null labels and ids are left out.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("__label"))
@@ -34,16 +34,19 @@ def labelled_sample(
         .agg(F.max("__label").alias("__label"))
     )
     halves = [sample_ids(known.where(F.col("__label") == k), "doc_id", most // 2) for k in (0, 1)]
-    chosen = halves[0].unionByName(halves[1])
-    got = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.octet_length("text") <= most_bytes)
-        .join(F.broadcast(chosen), "doc_id")  # at most `most` rows
-        .toArrow()
-    )
+    chosen = halves[0].unionByName(halves[1])  # at most `most` rows
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = stored(texts.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).withColumn("__hash", F.xxhash64("doc_id")))
+    some = F.lit(False)
+    sizes = texts.select("__label", "__hash", F.octet_length("text").alias("n")).toPandas().sort_values("__hash")
+    for k, own in sizes.groupby("__label"):
+        fits = own[own.n.cumsum() <= most_bytes // 2]
+        if len(fits):
+            some = some | ((F.col("__label") == int(k)) & (F.col("__hash") <= int(fits["__hash"].iloc[-1])))
+    got = texts.where(some).toArrow()
     if not got.num_rows:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0)
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    got = got.sort_by("doc_id")
     raw, offsets = utf8(got["text"])
     return raw, offsets, got["__label"].to_numpy().astype(float)
 

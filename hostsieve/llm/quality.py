@@ -84,13 +84,13 @@ def score_quality(
     folds: int = 5,
     held_out_fold: int = 0,
     sample: int = 3000,
-    sample_bytes: int = 20_000,
+    sample_bytes: int = 12 << 20,
 ) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted for each row of documents.
 
     Reads only doc_id and text of documents, and doc_id and quality of labels; other columns, whatever their names, do
     not matter. Learns from rows that are not held out: crc32(doc_id) mod `folds` differs from `held_out_fold`. `sample`
-    bounds the labelled texts and `sample_bytes` their length; every text is scored whole. Null and empty texts have no
+    bounds the number of labelled texts and `sample_bytes` their bytes together; every text is scored whole. Null and empty texts have no
     features and get the model's bias as their score. Repeated rows give repeated results. With no usable label the
     score is 0.5 for all. An empty table gives an empty result.
     """
@@ -98,7 +98,7 @@ def score_quality(
     return score_texts(documents, model, lambda i: fold(i, folds) == held_out_fold, threshold)
 
 
-def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = 3000, sample_bytes: int = 20_000) -> Embeddings:
+def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = 3000, sample_bytes: int = 12 << 20) -> Embeddings:
     usable = lambda i: fold(i, folds) != held_out_fold
     raw, offsets, label = labelled_sample(documents, labels, "quality", usable, sample, sample_bytes)
     known = labels.where(usable(F.col("doc_id")) & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
@@ -106,5 +106,9 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold
 
 
 def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of documents, all columns as they are, that score_quality predicts as 1."""
+    """The rows of documents, all columns as they are, that score_quality predicts as 1.
+
+    Null and empty texts stay or go by the score of the model's bias; repeated rows stay or go alike; an empty table
+    gives an empty one. Without usable labels every score is 0.5, and all rows stay.
+    """
     return keep_texts(documents, train(documents, labels), threshold)
