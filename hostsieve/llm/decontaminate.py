@@ -1,24 +1,26 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations alone.
 
-A benchmark item gives windows of consecutive words. A first pass over the corpus counts the benchmark's terms, which
-names each window's rarest term. A second pass stores the postings of these terms: document, position, and the words
-around it, as far as a window reaches. A posting's position less its term's offset in a window is where the window
-would have to start; the other terms' lists, adjusted by their offsets, are intersected there by comparing the stored
-words, without a shuffle. Phrase matches compare word by word; proximity matches ask for terms within a distance.
+One pass over the corpus stores the postings (term, document, position) of every term that the benchmark has. Postings
+counted per term order each benchmark window's terms from the rarest on. A posting's position less its term's offset in a
+window is where the window would have to start: the rarest term's list gives the candidates, the next term's list, adjusted
+by its offset, is intersected with them, and the few that are left have to stand in the lists of all other terms. A
+phrase occurs where all lists agree. Proximity matches intersect the lists of terms within a distance in the same way.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hostsieve.llm.common import ascii_lower, stored
 
 #: Fixed value: what separates words, before letters are put in lower case.
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7F]+"
-#: Rows of windows or terms up to which they are broadcast; beyond, the join shuffles.
+#: Rows of windows, terms or documents up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
+#: The posting at a text's end, whose position is the number of words; no word holds this character.
+END = "\x00"
+DOC = ["doc_id", "text_key"]
 
 
 def words(text: Column) -> Column:
@@ -31,54 +33,81 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def windows(benchmark: DataFrame, length: int) -> DataFrame:
-    """The distinct windows: phrase (words joined by blanks), size, terms in order, and the items that hold it."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    items = items.withColumn("w", F.transform("w", ascii_lower)).withColumn("size", F.least(F.size("w"), F.lit(length)))
-    starts = F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1))
-    cut = items.withColumn("at", starts).select("item_id", "size", F.expr("slice(w, at, size)").alias("terms"))
-    cut = cut.withColumn("phrase", F.array_join("terms", " "))
-    return cut.groupBy("phrase", "size", "terms").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
-
-
-def rarest(documents: DataFrame, wins: DataFrame) -> DataFrame:
-    """Each window with its term that the corpus has least often, and that term's offset."""
-    terms = wins.select(F.explode("terms").alias("term")).select(F.lower("term").alias("term")).distinct()
-    tokens = documents.select(F.explode(words(F.col("text"))).alias("t")).select(F.lower("t").alias("term"))
-    counts = tokens.join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-    placed = wins.select("*", F.posexplode("terms").alias("offset", "t")).withColumn("term", F.lower("t")).drop("t")
-    placed = placed.join(counts, "term", "left").where("n is not null")  # a term that no text has can't match
-    missing = wins.select("phrase", F.explode("terms").alias("t")).withColumn("term", F.lower("t"))
-    missing = missing.join(counts, "term", "left_anti").select("phrase").distinct()
-    best = W.partitionBy("phrase").orderBy("n", "term", "offset")
-    placed = placed.join(missing, "phrase", "left_anti").withColumn("rank", F.row_number().over(best))
-    return placed.where("rank = 1").drop("rank", "n")
-
-
-def build_index(documents: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """Stores the postings of the given terms (column term, lower case): term, key columns, pos from 0, context, first.
-
-    context holds the words from `first` to at most `reach` words after pos; `first` is at most `reach` words before it.
-    documents: doc_id, text_key and text.
+    """The distinct windows: w, terms in order, size, and the items that hold it."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    items = items.withColumn("terms", F.transform("terms", ascii_lower)).withColumn("size", F.least(F.size("terms"), F.lit(length)))
+    starts = F.explode(F.sequence(F.lit(1), F.size("terms") - F.col("size") + 1))
+    cut = items.withColumn("at", starts).select("item_id", "size", F.expr("slice(terms, at, size)").alias("terms"))
+    cut = cut.groupBy("terms", "size").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("items"))
+    return stored(cut.withColumn("w", F.monotonically_increasing_id()))
+
+
+def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """Stores the postings of the given terms (column term, A-Z in lower case): term, doc_id, text_key, pos from 0.
+
+    documents: doc_id, text_key and text; each row has a posting END as well, at its number of words. Words meet terms in
+    lower case as Spark has it, which is quick, and are then compared as A-Z alone asks: a term of ASCII by its length in
+    bytes, which no other letter's lower case keeps, and any other term by itself.
     """
-    tokens = documents.select("doc_id", "text_key", words(F.col("text")).alias("w"))
-    tokens = tokens.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "t")).withColumn("term", F.lower("t"))
-    hits = tokens.join(small(terms), "term").withColumn("first", F.greatest(F.col("pos") - reach, F.lit(0)))
-    context = F.expr(f"slice(w, first + 1, pos - first + 1 + {reach})")
-    return stored(hits.select("term", "doc_id", "text_key", "pos", "first", ascii_lower(F.array_join(context, " ")).alias("context")))
+    known = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit(END).alias("term")))
+    known = known.select("term", F.lower("term").alias("low"), F.octet_length("term").alias("bytes"), F.col("term").rlike(r"^[\x00-\x7f]*$").alias("plain"))
+    tokens = F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "t")
+    hits = documents.select("doc_id", "text_key", tokens).join(small(known), F.lower("t") == F.col("low"))
+    same = F.when(F.col("plain"), F.octet_length("t") == F.col("bytes")).otherwise(ascii_lower(F.col("t")) == F.col("term"))
+    return stored(hits.where(same).select("term", "doc_id", "text_key", "pos"))
 
 
-def phrase_matches(index: DataFrame, wins: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, size, items: every place where a window stands, from the postings of its rarest term."""
-    found = index.join(small(wins.select("term", "offset", "size", "phrase", "items")), "term")
-    found = found.withColumn("start", F.col("pos") - F.col("offset")).where("start >= first")
-    there = F.expr("array_join(slice(split(context, ' '), start - first + 1, size), ' ')")
-    return found.where(there == F.col("phrase")).select("doc_id", "text_key", "start", "size", "items")
+def ranked(wins: DataFrame, index: DataFrame) -> DataFrame:
+    """The windows whose terms all have postings, with `lists`: their terms from the rarest on, each with its offset."""
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    placed = wins.select("w", F.posexplode("terms").alias("offset", "term")).join(counts, "term")
+    lists = placed.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("n", "term", "offset"))).alias("lists"))  # a window's terms
+    return stored(wins.join(lists, "w").where(F.size("lists") == F.col("size")).select("w", "size", "items", "lists"))
 
 
-def proximity_matches(index: DataFrame, a: str, b: str, distance: int) -> DataFrame:
-    """doc_id, text_key, pos: postings of term a with term b within `distance` words, at most the index's reach."""
-    near = F.expr(f"slice(split(context, ' '), greatest(pos - first - {distance}, 0) + 1, {2 * distance + 1})")
-    return index.where((F.col("term") == a) & F.array_contains(near, b)).select("doc_id", "text_key", "pos")
+def of_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of some terms."""
+    return index.join(small(terms.select("term").distinct()), "term", "left_semi")
+
+
+def phrase_matches(index: DataFrame, wins: DataFrame) -> DataFrame:
+    """doc_id, text_key, start, w: every place where a window stands; wins as ranked() gives them."""
+    nth = lambda k: wins.where(F.size("lists") > k).select("w", F.get("lists", F.lit(k))["term"].alias("term"), F.get("lists", F.lit(k))["offset"].alias("offset"))
+    first = index.join(small(nth(0)), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    first = first.select(*DOC, "start", "w")
+    asked = first.join(small(nth(1)), "w").withColumn("pos", F.col("start") + F.col("offset"))
+    two = stored(asked.join(of_terms(index, nth(1)), [*DOC, "term", "pos"], "left_semi").select(*DOC, "start", "w"))
+    rest = wins.where(F.size("lists") > 2).select("w", (F.size("lists") - 2).alias("more"), F.inline(F.expr("slice(lists, 3, size(lists))")))
+    asked = two.join(small(rest.select("w", "more", "term", "offset")), "w").withColumn("pos", F.col("start") + F.col("offset"))
+    held = index.join(small(two.select("doc_id").distinct()), "doc_id", "left_semi")
+    asked = asked.join(held.select(*DOC, "term", "pos"), [*DOC, "term", "pos"])
+    whole = asked.groupBy(*DOC, "start", "w").agg(F.max("more").alias("more"), F.count_distinct("offset").alias("found")).where("found = more")
+    short = wins.select("w", "size")
+    one = first.join(small(short.where("size = 1").select("w")), "w", "left_semi")
+    pair = two.join(small(short.where("size = 2").select("w")), "w", "left_semi")
+    return whole.select(*DOC, "start", "w").unionByName(one).unionByName(pair).distinct()
+
+
+def proximity_matches(index: DataFrame, terms: list[str], distance: int) -> DataFrame:
+    """doc_id, text_key, pos: postings of the rarest of the terms with all others at most `distance` words away.
+
+    A term that has no postings leaves no match; of terms that are equally rare, the first in order of text counts.
+    """
+    terms = sorted(set(terms))
+    counts = {r.term: r.n for r in index.where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    order = sorted(terms, key=lambda t: (counts.get(t, 0), t))
+    found = index.where(F.col("term") == order[0]).select(*DOC, "pos").distinct()
+    for term in order[1:]:
+        near = index.where(F.col("term") == term).select(*DOC, F.col("pos").alias("other"))
+        reach = found.withColumn("other", F.explode(F.expr(f"sequence(pos - {distance}, pos + {distance})")))
+        found = reach.join(near, [*DOC, "other"], "left_semi").select(*DOC, "pos").distinct()
+    return found
+
+
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id (the smallest long for null), text_key and text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return documents.select(key.alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
@@ -87,23 +116,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, length: int = 10)
     A window is `length` consecutive words of an item, or all words of a shorter one; an item without words has none. A
     word inside any occurrence of a window is hit. Null and empty texts have no words. Each row is judged by its own
     text, also where doc_ids repeat or are null. Only doc_id and text, item_id and text are read. Null item_ids count as
-    the empty string. Empty tables give no hits or no rows.
+    the empty string. Empty tables give no hits or no rows. Texts of any length are read whole.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = documents.select(key.alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    wins = stored(rarest(docs, windows(benchmark, length)))
-    index = build_index(docs, wins.select("term").distinct(), length - 1)
-    hits = phrase_matches(index, wins)
-    hit_words = (
-        hits.select("doc_id", "text_key", F.explode(F.expr("sequence(start, start + size - 1)")).alias("pos"))
-        .distinct()
-        .groupBy("doc_id", "text_key")
-        .agg(F.count("*").alias("n_hit"))
-    )
-    items = hits.select("doc_id", "text_key", F.explode("items").alias("item")).distinct()
-    items = items.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    rows = docs.select("doc_id", "text_key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    rows = rows.join(hit_words.join(items, ["doc_id", "text_key"]), ["doc_id", "text_key"], "left")
+    wins = windows(benchmark, length)
+    index = build_index(keyed(documents), wins.select(F.explode("terms").alias("term")))
+    wins = ranked(wins, index)
+    hits = stored(phrase_matches(index, wins).join(small(wins.select("w", "size", "items")), "w"))
+    at = F.explode(F.expr("sequence(start, start + size - 1)")).alias("pos")
+    hit_words = hits.select(*DOC, at).distinct().groupBy(*DOC).agg(F.count("*").alias("n_hit"))
+    items = hits.select(*DOC, F.explode("items").alias("item")).distinct()
+    items = items.groupBy(*DOC).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    rows = index.where(F.col("term") == END).select(*DOC, F.col("pos").cast("long").alias("n_words"))
+    rows = rows.join(hit_words.join(items, DOC), DOC, "left")
     found = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
         F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")).alias("doc_id"),
