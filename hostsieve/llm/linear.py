@@ -34,21 +34,25 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable,
         .agg(F.max("__label").alias("__label"))
     )
     halves = [sample_ids(known.where(F.col("__label") == k), "doc_id", most // 2) for k in (0, 1)]
-    chosen = halves[0].unionByName(halves[1])  # at most `most` rows
+    got = texts_of(documents, halves[0].unionByName(halves[1]), most_bytes)
+    if not got.num_rows:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0)
+    raw, offsets = utf8(got["text"])
+    return raw, offsets, got["__label"].to_numpy().astype(float)
+
+
+def texts_of(documents: DataFrame, chosen: DataFrame, most_bytes: int) -> pa.Table:
+    """doc_id, __label and text of the chosen documents (doc_id, __label; few rows), those with the smallest hashes of
+    doc_id first, until a label's share of the bytes is full. Of a document with several texts, the smallest."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     texts = stored(texts.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).withColumn("__hash", F.xxhash64("doc_id")))
     some = F.lit(False)
     sizes = texts.select("__label", "__hash", F.octet_length("text").alias("n")).toPandas().sort_values("__hash")
     for k, own in sizes.groupby("__label"):
-        fits = own[own.n.cumsum() <= most_bytes // 2]
+        fits = own[own.n.cumsum() <= most_bytes // max(1, sizes["__label"].nunique())]
         if len(fits):
             some = some | ((F.col("__label") == int(k)) & (F.col("__hash") <= int(fits["__hash"].iloc[-1])))
-    got = texts.where(some).toArrow()
-    if not got.num_rows:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0)
-    got = got.sort_by("doc_id")
-    raw, offsets = utf8(got["text"])
-    return raw, offsets, got["__label"].to_numpy().astype(float)
+    return texts.where(some).select("doc_id", "__label", "text").toArrow().sort_by("doc_id")
 
 
 def score_texts(

@@ -1,13 +1,14 @@
 """Secret scans: three kinds of base patterns, and spans that two character Markov models tell apart.
 
 The models give the chance of each character after the one before it: one learned from random strings, one from ordinary
-identifiers and words. A token is reported when its log-likelihood ratio per character reaches a threshold. Both models
-are trained on labelled samples: in a bounded sample of documents, what base patterns find is labelled random, and the
-other tokens ordinary.
+identifiers and words. A token is reported when its log-likelihood ratio is high enough for its length. Both models are
+trained on labelled samples. Random: what base patterns find in a bounded sample of documents, and strings drawn from the
+usual alphabets of keys. Ordinary: the sample's other words, and identifiers, paths and addresses made of these.
 """
 
 from __future__ import annotations
 
+import random as rng
 import re
 from collections.abc import Iterator
 
@@ -18,14 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostsieve.llm.common import sample_ids
+from hostsieve.llm.linear import texts_of
 
 #: The base patterns, the least length of what they find, and a span's kinds in order.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
-#: Tokens that the models judge: 20 or more characters, with a letter and a digit.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Tokens that the models judge: LEAST or more characters, with two or more of lower case, capitals and digits.
+LEAST = 12
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+TWO = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
+#: Alphabets of keys, and parts of paths and addresses that ordinary strings have beside a corpus' words.
+KEYS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
+PARTS = "usr local lib python3 dist packages site share bin etc var log home user src main java com org net http https www index html php config settings test tests data json xml yaml version release linux x86_64 amd64 docs images static assets api v1 v2 node modules module import export class function method value name file path string number list array object request response server client error message update delete create insert select table column default public private type".split()
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 ALPHABET = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")}
 OTHER = len(ALPHABET)
@@ -44,7 +51,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 class Markov:
-    """Log-likelihood ratio of a string under two first-order character models."""
+    """Log-likelihood ratio of a string under two first-order character models over one alphabet."""
 
     def __init__(self, random: list[str], ordinary: list[str], weight: float = 0.5):
         self.ratio = self._model(random, weight) - self._model(ordinary, weight)
@@ -62,18 +69,43 @@ class Markov:
         return np.log(count / count.sum(1, keepdims=True))
 
     def __call__(self, s: str) -> float:
-        """The ratio per character, in nats."""
+        """The ratio of the whole string, in nats."""
         c = self.codes(s)
-        return float(self.ratio[c[:-1], c[1:]].mean())
+        return float(self.ratio[c[:-1], c[1:]].sum())
 
 
-def train(documents: DataFrame, sample: int = 3000, sample_bytes: int = 20_000) -> Markov:
-    """Fits both models on at most `sample` documents of at most `sample_bytes` bytes, those with the smallest hashes."""
-    chosen = sample_ids(documents.select("doc_id").where(F.col("doc_id").isNotNull()), "doc_id", sample).distinct()
-    texts = documents.select("doc_id", "text").where(F.octet_length("text") <= sample_bytes)
-    texts = texts.join(F.broadcast(chosen), "doc_id").select("text").toArrow()["text"].to_pylist()
-    random, ordinary = [], []
-    for text in texts:
+def compounds(words: list[str], n: int, seed: int = 7) -> list[str]:
+    """Identifiers, paths and addresses of the given words and of the usual parts, as programs write them."""
+    draw, words = rng.Random(seed), [*PARTS, *words]
+    out = []
+    for _ in range(n):
+        parts = [draw.choice(PARTS if draw.random() < 0.4 else words) for _ in range(draw.randint(2, 5))]
+        if draw.random() < 0.25:
+            parts.append(str(draw.choice((1, 2, 3, 10, 16, 64, 128, 2023, 2024))))
+        kind = draw.randrange(6)
+        if kind == 0:
+            out.append(parts[0].lower() + "".join(p.capitalize() for p in parts[1:]))
+        elif kind == 1:
+            out.append("_".join(parts).upper())
+        else:
+            out.append(("", "", "_", "-", "/", ".")[kind].join(p.lower() for p in parts))
+            out[-1] = "/" + out[-1] if kind == 4 else out[-1]
+    return out
+
+
+def keys(n: int, seed: int = 7) -> list[str]:
+    """Random strings of the usual alphabets."""
+    draw = rng.Random(seed)
+    return ["".join(draw.choices(draw.choice(KEYS), k=draw.randint(16, 48))) for _ in range(n)]
+
+
+def train(documents: DataFrame, sample: int = 3000, sample_bytes: int = 12 << 20, made: int = 5000) -> Markov:
+    """Fits both models on at most `sample` documents of at most `sample_bytes` bytes together, those with the smallest
+    hashes of doc_id, and on `made` strings of each class that are labelled by the way they are made."""
+    ids = documents.select("doc_id").where(F.col("doc_id").isNotNull())
+    chosen = sample_ids(ids, "doc_id", sample).distinct().withColumn("__label", F.lit(0))
+    random, ordinary = keys(made), []
+    for text in texts_of(documents, chosen, sample_bytes)["text"].to_pylist():
         at = 0
         for _, _, end, value in base_spans(text):
             if value >= at and end - value >= 16:
@@ -81,22 +113,32 @@ def train(documents: DataFrame, sample: int = 3000, sample_bytes: int = 20_000)
             ordinary += re.findall(r"[A-Za-z0-9_-]{3,}", text[at:value]) if value > at else []
             at = max(at, end)
         ordinary += re.findall(r"[A-Za-z0-9_-]{3,}", text[at:])
-    return Markov(random, ordinary)
+    words = sorted(w for w in set(ordinary) if w.isalpha() and len(w) < 12)
+    return Markov(random, [*ordinary, *compounds(words, made)])
+
 
+def spans(text: str, model: Markov, threshold: float, fixed: float = 8.0) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base matches and of random tokens, or parts of tokens, outside them.
 
-def spans(text: str, model: Markov, threshold: float) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the base matches and of random tokens beside them."""
+    A token of n characters is random from a ratio of threshold * n + fixed nats on, so a shorter one has to be the more
+    unlike ordinary ones.
+    """
     base = base_spans(text)
     out = [(s, k, e) for s, k, e, _ in base]
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if any("0" <= c <= "9" for c in token) and any(c.isalpha() for c in token):
-            if not any(s < m.end() and m.start() < e for s, _, e, _ in base) and model(token) >= threshold:
+    free, at = [], 0
+    for s, _, e, _ in base:
+        if s > at:
+            free.append((at, s))
+        at = max(at, e)
+    for a, b in [*free, (at, len(text))]:
+        for m in TOKEN.finditer(text, a, b):
+            token = m[0]
+            if sum(bool(c.search(token)) for c in TWO) > 1 and model(token) >= threshold * len(token) + fixed:
                 out.append((m.start(), 3, m.end()))
     return sorted(out)
 
 
-def find_secrets(documents: DataFrame, threshold: float = 0.8, redact: str | None = None, sample: int = 3000) -> DataFrame:
+def find_secrets(documents: DataFrame, threshold: float = 0.5, redact: str | None = None, sample: int = 3000) -> DataFrame:
     """documents with an added column `secret_spans` (kind, start, end; code points, end exclusive) for every whole text.
 
     Kinds: assign, access and hex by pattern, random by the models; random spans never touch base spans. Spans are in
