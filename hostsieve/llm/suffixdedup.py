@@ -6,14 +6,18 @@
 2. Segments whose minimiser repeats go to the minimiser's bucket, equal ones of a task once with the smallest doc_id.
    Segments of very frequent minimisers go window by window, dealt by the window, so that no bucket is hot.
 3. A bucket builds the Burrows-Wheeler transform of its distinct segments in rounds: each round inserts one symbol of each
-   segment, from the last to the first, into the transform of all suffixes so far. Only the order of the suffixes is
-   carried from round to round, in arrays in memory and not in sequential files. After the last round, neighbours are
-   compared in `length` bytes column by column, which cuts the order into classes of equal windows. A class's smallest
-   doc_id says who keeps the window. A segment that is alone with its minimiser shares no window and needs no rounds;
-   windows of very frequent minimisers take part in none either, as equal ones meet as equal strings.
+   segment, from the last to the first, into the transform of all suffixes so far, and updates the common prefixes of
+   neighbours, up to `length` bytes, from those of the round before. Neighbours that agree in `length` bytes form the
+   classes of equal windows, and a class's smallest doc_id says who keeps the window. A segment that is alone with its
+   minimiser shares no window and needs no rounds; windows of very frequent minimisers take part in none either, as
+   equal ones meet as equal strings.
 4. The answers return to the texts: for each distinct segment its smallest doc_id, and the windows that an even smaller
    document holds.
 
+A bucket's transform and prefixes are streams in memory, each round read and written from front to back: a bucket has a
+bounded share of the text, and files of its own would lie on one machine's disk. Hashes choose minimisers and bring equal
+segments together; that they are equal is told by their bytes.
+
 Texts are dealt into packs once; both passes over them use the same written table, so that places stay valid when tasks
 run again.
 """
@@ -35,6 +39,8 @@ from hostsieve.llm.common import mixed, ngrams, span_hashes, stored, utf8
 
 #: Bytes of the runs that minimisers are chosen from, of the text of one pack, and segments of a frequent minimiser.
 RUN, PACK, FREQUENT = 20, 3 << 20, 2000
+#: Tasks that buckets are dealt to at most; one that has several takes them one after another.
+MOST_TASKS = 20_000
 _TOP = np.iinfo(np.int64).max
 
 
@@ -69,23 +75,42 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return minimum[at], at, size, text
 
 
-def bwt_rounds(rows: np.ndarray) -> np.ndarray:
-    """The suffixes of the given strings in order, as places of the symbols before them in the flattened rows.
+def bwt_rounds(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of the given strings in order, as places of the symbols before them in the flattened rows, and each
+    one's common prefix with its predecessor, up to `length`.
 
     rows: one string a row, right-aligned, with at least one 255, which UTF-8 never has, to its left. Round k inserts the
     suffix of length k of each string that has one: the suffix order of round k - 1, read in sequence and dealt by the
-    symbols before the suffixes (the transform so far), is the order of the suffixes that begin with these symbols. A
-    string leaves the rounds when it ends.
+    symbols before the suffixes (the transform so far), is the order of the suffixes that begin with these symbols. Two
+    neighbours that begin with one symbol agree in it and in what all suffixes between those that they come from agree
+    in. Only an inserted suffix and its successor have new common prefixes. A string leaves the rounds when it ends.
     """
-    flat, width = rows.ravel(), rows.shape[1]
-    empty = np.arange(1, len(rows) + 1) * width - 1
-    at = empty
+    flat, width, m = rows.ravel(), rows.shape[1], len(rows)
+    empty = np.arange(1, m + 1) * width - 1
+    at, common, fresh = empty, np.zeros(m, np.uint8), np.ones(m, bool)
     for _ in range(width - 1):
         before = flat[at]
         more = np.flatnonzero(before != 255)
-        order = more[np.argsort(before[more], kind="stable")]
-        at = np.concatenate((empty, at[order] - 1))
-    return at
+        symbol = before[more]
+        by = np.argsort(symbol, kind="stable")
+        order = more[by]
+        fresh = np.concatenate((np.zeros(m, bool), fresh[order]))  # what comes of the suffixes that the last round inserted
+        now = np.empty(len(fresh), np.uint8)
+        now[~fresh] = common
+        new = np.flatnonzero(fresh) - m
+        after = new[new + 1 < len(order)] + 1
+        touched = np.concatenate((new, after[~fresh[after + m]]))
+        now[touched + m] = 0
+        touched = touched[touched > 0]
+        touched = touched[symbol[by[touched]] == symbol[by[touched - 1]]]
+        low, high = order[touched - 1] + 1, order[touched] + 1
+        by = np.argsort(low)
+        if len(by):
+            pairs = np.stack([low[by], high[by]], 1).ravel()
+            least = np.minimum.reduceat(np.append(common, np.uint8(0)), pairs)[::2]
+            now[touched[by] + m] = np.minimum(least, length - 1) + 1
+        at, common = np.concatenate((empty, at[order] - 1)), now
+    return at, common
 
 
 def class_minima(strings: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int) -> list[np.ndarray]:
@@ -106,15 +131,12 @@ def class_minima(strings: list[bytes], docs: np.ndarray, groups: np.ndarray, len
     for n in np.unique(sizes):
         some = np.flatnonzero(sizes == n)
         rows[some, width - n :] = flat[start[some, None] + np.arange(n)]
-    at = bwt_rounds(rows) + 1
+    at, common = bwt_rounds(rows, length)
+    at, classes = at + 1, np.cumsum(common < length)
     owner = (at - 1) // width
     keep = (owner + 1) * width - at >= length
-    owner, at = owner[keep], at[keep]
-    same, flat = np.ones(max(0, len(owner) - 1), bool), rows.ravel()
-    for k in range(length):  # whether the common prefix with the predecessor reaches `length`
-        column = flat[at + k]
-        same &= column[1:] == column[:-1]
-    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    owner, at, classes = owner[keep], at[keep], classes[keep]
+    first = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
     least = np.repeat(np.minimum.reduceat(docs[chosen][owner], first), np.diff(np.append(first, len(owner))))
     windows = sizes - length + 1
     base = np.cumsum(windows) - windows
@@ -129,6 +151,41 @@ def _pack_flags(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
+def equal_runs(whole: bytes, at: np.ndarray, end: np.ndarray, to: np.ndarray, code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of segments by bucket in which equal ones stand together, the smallest document's first, and where runs
+    of equal ones begin. Hashes give the order; segments with equal hashes but other bytes are told apart."""
+    order = np.lexsort((doc, code, to))
+    to, code = to[order], code[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (to[1:] != to[:-1]) | (code[1:] != code[:-1])
+    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    again = np.flatnonzero(~first)
+    i, j = order[again], order[head[again]]
+    differ = [k for k, a, z, b, y in zip(again.tolist(), at[i].tolist(), end[i].tolist(), at[j].tolist(), end[j].tolist(), strict=True) if whole[a:z] != whole[b:y]]
+    for k in sorted({int(head[k]) for k in differ}):
+        last = k + 1
+        while last < len(order) and not first[last]:
+            last += 1
+        run = sorted(order[k:last].tolist(), key=lambda x: (whole[at[x] : end[x]], doc[x]))
+        order[k:last] = run
+        first[k + 1 : last] = [whole[at[x] : end[x]] != whole[at[y] : end[y]] for x, y in zip(run[1:], run[:-1], strict=True)]
+    return order, first
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Each bucket with its packs' messages; rows come in order of buckets, so that one at a time is held."""
+    now, held = None, []
+    for batch in batches:
+        for name, b, data in zip(*(batch[c].to_pylist() for c in ("pack", "bucket", column)), strict=True):
+            if b != now:
+                if held:
+                    yield now, held
+                now, held = b, []
+            held.append((name, data))
+    if held:
+        yield now, held
+
+
 def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of documents (and kept, the remaining bytes, on demand).
 
@@ -182,21 +239,21 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
             for name, n, data in zip(*(batch[c].to_pylist() for c in ("pack", "n", "data")), strict=True):
                 ids, _, raw, offsets = opened(n, data)
                 m, _, _, text = segments(raw, offsets, length)
-                to, order, cut = deal(m)
+                to, order = deal(m)
                 low = (m >> np.uint64(8)).astype(np.uint32)[order]
                 doc = ids[text][order]
-                names = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                sent = []
-                for b in names:
-                    who, times = runs(doc[cut[b] : cut[b + 1]])
-                    sent.append(np.array([len(who)], "<i8").tobytes() + who.tobytes() + times.astype("<u4").tobytes() + low[cut[b] : cut[b + 1]].tobytes())
+                names, cut = np.unique(to[order], return_index=True)
+                names, sent = names.tolist(), []
+                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+                    who, times = runs(doc[a:z])
+                    sent.append(np.array([len(who)], "<i8").tobytes() + who.tobytes() + times.astype("<u4").tobytes() + low[a:z].tobytes())
                 k = len(names)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * k, pa.int64()), pa.array(names, pa.int64()), pa.array(sent, pa.binary())], ["pack", "bucket", "sent"])
 
-    def deal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def deal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each minimiser, and the minimisers' order by bucket."""
         to = ((m >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        return to, order, np.searchsorted(to[order], np.arange(buckets + 1))
+        return to, np.argsort(to, kind="stable")
 
     def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
@@ -204,13 +261,9 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pack and bucket: 2 bits a segment, whether its minimiser has several documents, and very many segments."""
-        by: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for name, b, sent in zip(*(batch[c].to_pylist() for c in ("pack", "bucket", "sent")), strict=True):
-                by.setdefault(b, []).append((name, sent))
-        for b in list(by):
+        for b, messages in by_bucket(batches, "sent"):
             names, low, doc, sizes = [], [], [], []
-            for name, sent in by.pop(b):
+            for name, sent in messages:
                 k = int(np.frombuffer(sent, "<i8", 1)[0])
                 names.append(name)
                 low.append(np.frombuffer(sent, "<u4", -1, 8 + 12 * k))
@@ -235,13 +288,13 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         """
         ids, known, raw, offsets = opened(n, data)
         m, at, size, text = segments(raw, offsets, length)
-        to, order, cut = deal(m)
-        state = np.zeros(len(m), np.uint8)
+        to, order = deal(m)
+        dealt, state = to[order], np.zeros(len(m), np.uint8)
         for b, x in bits.items():
             if x:
-                k = cut[b + 1] - cut[b]
-                flags = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)[:, :k]
-                state[order[cut[b] : cut[b + 1]]] = flags.sum(0)
+                a, z = np.searchsorted(dealt, [b, b + 1])
+                flags = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)[:, : z - a]
+                state[order[a:z]] = flags.sum(0)
         before = state > 0
         repeat = np.where(state > 1, size, 1)[before]
         k = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
@@ -258,14 +311,13 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         for batch in batches:
             for name, n, data, bits in zip(*(batch[c].to_pylist() for c in ("pack", "n", "data", "bits")), strict=True):
                 ids, _, raw, _, at, size, text, to, code, group = shared(n, data, {x["bucket"]: x["bits"] for x in bits})
-                order = np.lexsort((ids[text], code, to))  # of equal segments, the smallest document's first
-                names, sent = [], []
-                cut = np.searchsorted(to[order], np.arange(buckets + 1))
                 whole = raw.tobytes()
-                for b in np.unique(to).tolist():
-                    own = order[cut[b] : cut[b + 1]]
-                    first = np.concatenate(([True], code[own][1:] != code[own][:-1]))
-                    own = own[first]
+                order, first = equal_runs(whole, at, at + size + length - 1, to, code, ids[text])
+                heads, names, sent = order[first], [], []
+                used = np.unique(to)
+                cut = np.append(np.searchsorted(to[heads], used), len(heads))
+                for k, b in enumerate(used.tolist()):
+                    own = heads[cut[k] : cut[k + 1]]
                     body = b"".join([whole[a : a + s] for a, s in zip(at[own].tolist(), (size[own] + length - 1).tolist(), strict=True)])
                     sent.append(np.array([len(own)], "<i8").tobytes() + ids[text[own]].tobytes() + group[own].tobytes() + size[own].astype(np.uint8).tobytes() + press.compress(body))
                     names.append(b)
@@ -277,15 +329,11 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
 
         Of a segment that a smaller document outside the pack holds whole, all windows; then every holder gives up all.
         """
-        by: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for name, b, sent in zip(*(batch[c].to_pylist() for c in ("pack", "bucket", "sent")), strict=True):
-                by.setdefault(b, []).append((name, sent))
         open_ = zstandard.ZstdDecompressor()
-        for b in list(by):
+        for b, messages in by_bucket(batches, "sent"):
             place: dict[bytes, int] = {}
             docs_, groups, parts = [], [], []
-            for name, sent in by.pop(b):
+            for name, sent in messages:
                 k = int(np.frombuffer(sent, "<i8", 1)[0])
                 doc, group = np.frombuffer(sent, "<i8", k, 8), np.frombuffer(sent, "<u4", k, 8 + 8 * k)
                 size = np.frombuffer(sent, np.uint8, k, 8 + 12 * k).astype(np.int64)
@@ -314,11 +362,11 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
             for n, data, bits, lost in zip(*(batch[c].to_pylist() for c in ("n", "data", "bits", "lost")), strict=True):
                 ids, known, raw, offsets, at, size, text, to, code, _ = shared(n, data, {x["bucket"]: x["bits"] for x in bits or []})
                 gone = np.zeros(len(raw) + 1, np.int32)
-                order = np.lexsort((ids[text], code, to)) if len(at) else np.zeros(0, np.int64)
-                cut = np.searchsorted(to[order], np.arange(buckets + 1))
+                order, firsts = equal_runs(raw.tobytes(), at, at + size + length - 1, to, code, ids[text])
+                dealt = to[order]
                 for x in lost or []:
-                    own = order[cut[x["bucket"]] : cut[x["bucket"] + 1]]
-                    first = np.concatenate(([True], code[own][1:] != code[own][:-1]))
+                    mine = slice(*np.searchsorted(dealt, [x["bucket"], x["bucket"] + 1]))
+                    own, first = order[mine], firsts[mine]
                     which = np.cumsum(first) - 1
                     s = size[own]
                     flags = np.unpackbits(np.frombuffer(x["lost"], np.uint8))
@@ -357,7 +405,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     packs = stored(docs.mapInArrow(pack, "pack long, n long, data binary"))
     small = packs.repartition(max(8, min(rows or 1, tasks)), "pack")
-    meet = lambda df: df.repartition(buckets, "bucket")
+    meet = lambda df: df.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
     bits = meet(small.mapInArrow(minimisers, "pack long, bucket long, sent binary")).mapInArrow(answers, "pack long, bucket long, bits binary")
     bits = stored(bits.where(F.octet_length("bits") > 0).groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")))
     sent = packs.join(bits, "pack").mapInArrow(send, "pack long, bucket long, sent binary")
