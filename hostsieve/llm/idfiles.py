@@ -35,7 +35,12 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
-    """The lowest `bits` bits of each id, the highest first, without gaps; the last byte is filled with zeros."""
+    """The ids in `bits` bits each, the highest bit first, without gaps; the last byte is filled with zeros.
+
+    An id that needs more bits is an error.
+    """
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {ids.max()} needs more than {bits} bits")
     if bits == 16:
         return ids.astype(">u2").tobytes()
     wide = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)
@@ -90,7 +95,8 @@ def write_ids(documents: DataFrame, tokenizer: str, vocabulary: int, end: int =
 
     The list, itself a written table, has a row for each file: part, file, docs, ids. A task writes a file of a name of
     its own and only the files of successful tasks are listed, so that a task that runs twice does no harm. Null texts
-    count as empty; null doc_ids come first; rows with equal doc_id follow each other by text.
+    count as empty; null doc_ids come first; rows with equal doc_id follow each other by a hash of their text, and may
+    go to several files.
     """
     folder, bits = shared_dir(documents.sparkSession), bits_for(vocabulary)
     files = max(1, -(-documents.count() // rows_per_file))
@@ -129,14 +135,16 @@ def write_ids(documents: DataFrame, tokenizer: str, vocabulary: int, end: int =
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [path], "docs": [len(ids_of)], "ids": [total]})
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    place = ["doc_id", F.xxhash64("text")]
+    ordered = texts.repartitionByRange(files, *place).sortWithinPartitions(*place, "text")
     return stored(ordered.mapInArrow(run, "part long, file string, docs long, ids long"))
 
 
 def read_ids(listed: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 for each document of the listed files, as read back from them.
 
-    start counts the ids of all documents before it; over the list, a row for each file, that is a running sum.
+    start counts the ids of all documents before it: a running sum over the list, which has a row for each file, by groups
+    of files and within them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +165,11 @@ def read_ids(listed: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    before = F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    starts = listed.select("part", "file", F.coalesce(before, F.lit(0)).alias("before"))
+    group, inside = F.floor(F.col("part") / 1000), W.partitionBy("group").orderBy("part")
+    files = listed.withColumn("group", group)
+    sums = files.groupBy("group").agg(F.sum("ids").alias("all"))  # a row for each thousand files
+    sums = sums.select("group", F.coalesce(F.sum("all").over(W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    own = F.coalesce(F.sum("ids").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = files.join(sums, "group").select("part", "file", (F.col("first") + own).alias("before"))
     tasks = max(1, min(listed.count(), listed.sparkSession.sparkContext.defaultParallelism * 4))
     return starts.repartition(tasks, "part").mapInArrow(run, ROWS)

@@ -1,5 +1,8 @@
 """Similarity self-join of documents on their sets of word n-grams, by Jaccard similarity; exact.
 
+Signature trees join groups of candidates; the candidates come of a prefix filter, as one tree over all documents would be
+one task. That is a departure from trees alone, without loss.
+
 1. Each document's set is hashed to sorted 64-bit numbers; documents with equal sets are one node from there on.
 2. Candidates by rare n-grams: fixed counters tell roughly how many documents hold an n-gram, which puts all n-grams in
    one order. Similar sets share an n-gram among the rarest of both, at a place that bounds the other's size. What shares
@@ -183,7 +186,7 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     Words are what stands between the white-space bytes 09-0D and 20, with A-Z in lower case. Two documents link when
     100 * |intersection| >= percent * |union| of their sets of n-grams; component_id is the smallest doc_id reachable by
     links. Null, empty and blank texts have the empty set and link with nothing. Rows with equal doc_id count as one
-    document for links. A null doc_id takes no part and has no component. Only doc_id and text are read. An empty table
+    document for links, also where their texts differ. A null doc_id takes no part and has no component. Only doc_id and text are read. An empty table
     gives an empty result. Very long texts are sets like others; nothing is cut.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -277,27 +280,29 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     near = scanned.where("bucket = -2").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
     groups = components(sent.mapInArrow(chains, "a long, b long").unionByName(near))  # of keys k1
     same = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    nodes = same.join(groups.withColumnRenamed("node", "k1"), "k1").select("node", F.col("component").alias("grp"))
-    nodes = stored(nodes.groupBy("node").agg(F.min("grp").alias("grp")))
-    pivots = F.array_compact(F.array([F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == k, F.col("node"))) for k in range(PIVOTS)]))
+    nodes = stored(same.join(groups.withColumnRenamed("node", "k1"), "k1").select("node", "k1", "k2", F.col("component").alias("grp")))
+    pivots = F.array_compact(F.array([F.min(F.when(F.pmod(F.xxhash64("k1"), F.lit(PIVOTS)) == k, F.col("k1"))) for k in range(PIVOTS)]))
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"), pivots.alias("pivots"))
     sizes = sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    placed = nodes.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = stored(placed.withColumn("pivot", F.array_contains("pivots", F.col("node"))).drop("pivots", "n"))
+    placed = nodes.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")))
+    placed = stored(placed.withColumn("pivot", F.array_contains("pivots", F.col("k1"))).drop("pivots", "n"))
 
     def joined(tasks: DataFrame) -> DataFrame:
         """a, b: each node with its root, in each task (grp, i, j; node, label, grams)."""
         return (
-            tasks.select("grp", "i", "j", "node", "label", "grams")
+            tasks.select("grp", "i", "j", "node", "k1", "label", "grams")
             .repartition(max(8, buckets), "grp", "i", "j")
-            .sortWithinPartitions("grp", "i", "j", "node")
+            .sortWithinPartitions("grp", "i", "j", "node", "k1")
             .mapInArrow(joins, "a long, b long")
         )
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [grams.tobytes() for grams in ngram_sets(*utf8(batch["text"]), n)]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in place), pa.array(data, pa.binary())], [*place, "grams"])
+            found = list(ngram_sets(*utf8(batch["text"]), n))
+            wanted = zip(batch["k1"].to_pylist(), batch["k2"].to_pylist(), strict=True)
+            own = pa.array([set_key(grams) == key for grams, key in zip(found, wanted, strict=True)], pa.bool_())  # not another text of the doc_id
+            rows_ = pa.RecordBatch.from_arrays([*(batch[c] for c in place), pa.array([grams.tobytes() for grams in found], pa.binary())], [*place, "grams"])
+            yield rows_.filter(own)
 
     def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
@@ -317,14 +322,14 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([h[0] for h in held], pa.int64())], ["a", "b"])
 
     # texts are dealt by doc_id at every size, once; both rounds of joins read the sets that come of them
-    place = ["node", "grp", "block", "blocks", "pivot"]
+    place = ["node", "k1", "k2", "grp", "block", "blocks", "pivot"]
     texts = docs.join(placed.hint("merge"), F.col("doc_id") == F.col("node")).select(*place, "text")
-    sets = stored(texts.mapInArrow(to_sets, "node long, grp long, block long, blocks long, pivot boolean, grams binary"))
+    sets = stored(texts.mapInArrow(to_sets, "node long, k1 long, k2 long, grp long, block long, blocks long, pivot boolean, grams binary"))
     to = F.when(F.col("pivot"), F.expr("sequence(0L, blocks - 1)")).otherwise(F.array("block"))
-    first = sets.select("grp", F.explode(to).alias("i"), "node", F.col("node").alias("label"), "grams")
+    first = sets.select("grp", F.explode(to).alias("i"), "node", "k1", F.col("node").alias("label"), "grams")
     edges = stored(joined(first.withColumn("j", F.col("i"))))
     found = stored(components(edges))
-    apart = placed.where("blocks > 1").join(found, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("label"))
+    apart = placed.where("blocks > 1").join(found, "node", "left").select("grp", "node", "k1", "k2", F.coalesce("component", "node").alias("label"))
     classes = apart.groupBy("grp", "label").agg(F.count("*").alias("n"))
     largest = classes.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
     cut = lambda m: F.ceil(m / BLOCK).cast("long")
@@ -332,12 +337,17 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     open_ = stored(largest.where("y > 0"))
     if open_.limit(1).count():
         inside = F.col("label") == F.col("main")
-        at = F.when(inside, F.pmod(F.xxhash64("node"), F.col("x"))).otherwise(F.col("x") + F.pmod(F.xxhash64("node"), F.col("y")))
+        at = F.when(inside, F.pmod(F.xxhash64("k1"), F.col("x"))).otherwise(F.col("x") + F.pmod(F.xxhash64("k1"), F.col("y")))
         other = F.explode(F.sequence(F.when(inside, F.col("x")).otherwise(F.lit(0).cast("long")), F.col("x") + F.col("y") - 1))
-        again = apart.join(open_, "grp").select("node", "label", "main", "x", "y", at.alias("at"))
-        again = again.join(sets.where("blocks > 1").select("grp", "node", "grams").hint("merge"), "node")
-        again = again.select("grp", "node", "label", "grams", "at", other.alias("o"))
-        found = stored(components(edges.unionByName(joined(again.withColumn("i", F.least("at", "o")).withColumn("j", F.greatest("at", "o"))))))
+        again = apart.join(open_, "grp").select("node", "k1", "k2", "label", "main", "x", "y", at.alias("at"))
+        again = again.join(sets.where("blocks > 1").select("grp", "node", "k1", "k2", "grams").hint("merge"), ["node", "k1", "k2"])
+        again = again.select("grp", "node", "k1", "label", "grams", "at", other.alias("o"))
+        edges = stored(edges.unionByName(joined(again.withColumn("i", F.least("at", "o")).withColumn("j", F.greatest("at", "o")))))
+        found = stored(components(edges))
+    twice = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
+    if twice.limit(1).count():  # rows of one doc_id whose sets differ are one document: its sets' smallest doc_ids are linked
+        own = rows.join(twice, "doc_id", "left_semi").join(same, ["k1", "k2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("all"))
+        found = components(edges.unionByName(own.where(F.size("all") > 1).select("a", F.explode("all").alias("b"))))
     rows = rows.join(same, ["k1", "k2"], "left").join(found, "node", "left")
     return rows.select(
         "doc_id",
