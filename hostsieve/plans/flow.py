@@ -189,6 +189,42 @@ class Flow:
         return per.select(F.col("suspicious_batch_id").alias("key"), "client_ip", "us", F.col("m").alias("message_count"), F.inline(F.array(*made)))
 
 
+class Finished(Flow):
+    """The stages from finished batches on: rows are valid lines with us and subnet_id, the number b of the batch that
+    they are in, and part 0 for lines of the batch before."""
+
+    def __init__(self, rows: DataFrame, options: Options = Options()):
+        super().__init__(rows.withColumn("value", F.lit(None).cast("string")), options)
+        self.rows = rows
+
+    @property
+    def table(self) -> DataFrame:
+        return self.rows.where("part = 1").drop("b", "part")
+
+    @property
+    def batched(self) -> DataFrame:
+        return self.rows.where("part = 1").drop("part")
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        of = lambda f, column, part: f(F.when(F.col("part") == part, F.col(column)))
+        ends = self.rows.groupBy("subnet_id", "b").agg(
+            of(F.min, "us", 0).alias("before"), of(F.min, "us", 1).alias("own_begin"), of(F.max, "us", 1).alias("end_us"), of(F.count, "us", 1).alias("n"), of(F.count, "us", 0).alias("n0")
+        )
+        return stored(ends.select("subnet_id", "b", batching.batch_id().alias("batch_id"), F.coalesce("before", "own_begin").alias("begin_us"), "own_begin", "end_us", "n", "n0"))
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.bounds.select("subnet_id", "b", "batch_id", "begin_us", "end_us"), ["subnet_id", "b"])
+
+    @property
+    def batches(self) -> DataFrame:
+        return self._placed(self.rows)
+
+    @property
+    def relevant(self) -> DataFrame:
+        return self._placed(self.rows.where(self.options.format.relevant()))
+
+
 def wall(us: str) -> Column:
     """Microseconds since 1970 as a wall-clock time."""
     return F.expr(f"timestampadd(MICROSECOND, {us}, timestamp_ntz'1970-01-01 00:00:00')")

@@ -1,6 +1,8 @@
-"""The pipeline under Structured Streaming: lines to per-subnet batches with state.
+"""The pipeline under Structured Streaming: lines to per-subnet batches with state, then detection per finished batch.
 
-Series, scores and alerts of finished batches are not run here.
+start() runs two queries: failed lines are appended as they come; valid lines gather in the state of their subnet, and the
+batches that a trigger finishes go through series, scores and classifier in foreachBatch. A trigger writes its rows to
+folders of its own number and overwrites them if it runs again, so that a restart neither loses nor repeats anything.
 """
 
 from __future__ import annotations
@@ -8,26 +10,44 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hostsieve.functions.lines import DEFAULT, LineFormat, subnet_id
+from hostsieve.plans.flow import Finished, Flow, Options
 from hostsieve.sources.tables import clean_lines
 
-LINE = "subnet_id string, timestamp string, client_ip string, domain_name string, status_code string, size string"
-BATCH = f"{LINE}, b long, part int"
+#: Tables that each trigger writes.
+RESULTS = ("batches", "scored", "suspicious_batches", "alerts")
 
 
-def batches(lines: DataFrame, n: int, timeout_ms: int = 30_000) -> DataFrame:
-    """Flushes a subnet at n new lines, or after a time without a flush, also while lines trickle in; each batch repeats the one before as part 0.
+def columns(options: Options) -> list[str]:
+    """What the state keeps of a line: subnet_id, us, logline_id, and the fields of the format."""
+    return ["subnet_id", "us", "logline_id", *(f.name for f in options.format.fields)]
 
-    A timed flush without new lines drops what was kept of the batch before.
+
+def ddl(options: Options) -> str:
+    return ", ".join(f"`{c}` {'long' if c == 'us' else 'string'}" for c in columns(options))
+
+
+def valid_lines(lines: DataFrame, options: Options) -> DataFrame:
+    rows = Flow(clean_lines(lines), options).valid
+    return rows.select(*columns(options))
+
+
+def batches(lines: DataFrame, options: Options, timeout_ms: int = 30_000) -> DataFrame:
+    """Adds b and part. Flushes a subnet at batch_lines new lines, or after a time without a flush, also while lines
+    trickle in; each batch repeats the one before as part 0.
+
+    Lines of one trigger count in order of us and logline_id. A timed flush without new lines drops what was kept of the
+    batch before.
     """
-    names = [c.split()[0] for c in LINE.split(", ")]
+    names, n = columns(options), options.batch_lines or 10_000
 
-    def flush(key: tuple, new: list, before: list, b: int) -> pd.DataFrame:
-        rows = [(*r, b, 0) for r in before] + [(*r, b, 1) for r in sorted(new, key=lambda r: r[1])]
+    def flush(new: list, before: list, b: int) -> pd.DataFrame:
+        by_time = lambda rows: sorted(rows, key=lambda r: r[1])
+        rows = [(*r, b, 0) for r in by_time(before)] + [(*r, b, 1) for r in by_time(new)]
         return pd.DataFrame(rows, columns=[*names, "b", "part"])
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,37 +56,65 @@ def batches(lines: DataFrame, n: int, timeout_ms: int = 30_000) -> DataFrame:
         held, before = [tuple(r) for r in held], [tuple(r) for r in before]
         if state.hasTimedOut:
             if held:
-                yield flush(key, held, before, b)
+                yield flush(held, before, b)
                 state.update(([], held, b + 1, now + timeout_ms))
                 state.setTimeoutDuration(timeout_ms)
             else:
                 state.remove()
             return
-        for frame in frames:
-            held += list(frame[names].itertuples(index=False, name=None))
-            while len(held) >= n:
-                yield flush(key, held[:n], before, b)
-                held, before, b, due = held[n:], held[:n], b + 1, now + timeout_ms
+        came = [r for frame in frames for r in frame[names].itertuples(index=False, name=None)]
+        for row in sorted(came, key=lambda r: (r[1], r[2])):
+            held.append(row)
+            if len(held) == n:
+                yield flush(held, before, b)
+                held, before, b, due = [], held, b + 1, now + timeout_ms
         if held and now >= due:
-            yield flush(key, held, before, b)
+            yield flush(held, before, b)
             held, before, b, due = [], held, b + 1, now + timeout_ms
         state.update((held, before, b, due))
         state.setTimeoutDuration(max(1, due - now))
 
-    row = f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in LINE.split(', '))}>>"
+    row = f"array<struct<{ddl(options).replace('` ', '`:')}>>"
     kind = f"held {row}, before {row}, b long, due long"
-    return lines.groupBy("subnet_id").applyInPandasWithState(step, BATCH, kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return lines.groupBy("subnet_id").applyInPandasWithState(step, f"{ddl(options)}, b long, part int", kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def parsed(lines: DataFrame, fmt: LineFormat = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Valid lines with their subnet, and the failed ones."""
-    rows = fmt.parse(clean_lines(lines))
-    ok = F.size("invalid_fields") == 0
-    valid = rows.where(ok).withColumn("subnet_id", subnet_id(F.col("client_ip")))
-    return valid.select(*(c.split()[0] for c in LINE.split(", "))), rows.where(~ok)
+def write_finished(rows: DataFrame, path: str, name: str, options: Options) -> None:
+    """Detection on finished batches, written below path under the given name; a second run overwrites the first."""
+    rows = rows.persist()
+    try:
+        if rows.isEmpty():
+            return
+        flow = Finished(rows, options)
+        suspicious = flow.by_client.select("suspicious_batch_id", "batch_id", "client_ip").distinct()
+        for table, df in zip(RESULTS, (rows, flow.scored, suspicious, flow.alerts), strict=True):
+            df.write.mode("overwrite").parquet(f"{path}/{table}/trigger={name}")
+    finally:
+        rows.unpersist()
 
 
-def start(lines: DataFrame, path: str, n: int = 10_000, trigger: dict | None = None):
-    """Starts the query: batches of lines, appended to path with checkpointed state."""
-    out = batches(parsed(lines)[0], n)
-    return out.writeStream.format("parquet").option("path", f"{path}/batches").option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+def read_results(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{table}").drop("trigger")
+
+
+def start(lines: DataFrame, path: str, options: Options = Options(batch_lines=10_000), timeout_ms: int = 30_000, trigger: dict | None = None) -> list[StreamingQuery]:
+    """Starts the two queries on a stream of lines (value): detection, and failed lines. State and places are kept below
+    path/checkpoint; started again with the same path, they go on from there."""
+    trigger = trigger or {"processingTime": "2 seconds"}
+    found = batches(valid_lines(lines, options), options, timeout_ms)
+    detection = found.writeStream.foreachBatch(lambda df, k: write_finished(df, path, str(k), options)).option("checkpointLocation", f"{path}/checkpoint/batches")
+    failed = Flow(clean_lines(lines), options).failed.select("message_text", "reason_for_failure").writeStream.format("parquet")
+    failed = failed.option("path", f"{path}/failed_dns_loglines").option("checkpointLocation", f"{path}/checkpoint/failed")
+    return [q.trigger(**trigger).start() for q in (detection, failed)]
+
+
+def drain(spark: SparkSession, path: str, options: Options = Options(batch_lines=10_000)) -> None:
+    """Flushes what the stopped stream still holds, each subnet's lines as its last batch, and detects on these.
+
+    The state stays as it is: a stream that is started again after this would flush the same lines once more.
+    """
+    state = spark.read.format("statestore").load(f"{path}/checkpoint/batches").select("value.groupState.*").where(F.size("held") > 0)
+    part = lambda column, k: F.transform(column, lambda r: F.struct(r.alias("line"), F.lit(k).alias("part")))
+    rows = state.select("b", F.explode(F.concat(part("before", 0), part("held", 1))).alias("r"))
+    rows = rows.select(*(F.col(f"r.line.{c}").alias(c) for c in columns(options)), "b", "r.part")
+    write_finished(rows, path, "drained", options)

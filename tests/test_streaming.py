@@ -1,7 +1,14 @@
+import random
+
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+from hostsieve.plans.flow import Flow, Options
 from hostsieve.streaming import live
 
+OPTIONS = Options(batch_lines=20, step_us=60_000_000)
+
 
 class State:
     """What step() uses of a group's state, at a time that the test sets."""
@@ -17,6 +24,9 @@ class State:
     def getCurrentProcessingTimeMs(self):
         return self.now
 
+    def remove(self):
+        self.exists = False
+
 
 class Lines:
     def groupBy(self, key):
@@ -26,14 +36,84 @@ class Lines:
         return step
 
 
+def frame(*times):
+    names = live.columns(OPTIONS)
+    return pd.DataFrame([[t if c == "us" else f"{c}{t}" for c in names] for t in times], columns=names)
+
+
 def test_a_trickle_is_flushed_in_time():
-    step, state, out = live.batches(Lines(), 100, 30_000), State(), []
+    step, state, out = live.batches(Lines(), Options(batch_lines=100), 30_000), State(), []
     for k in range(8):
         state.now = k * 10_000
-        line = pd.DataFrame([("s", f"t{k}", "c", "d", "x", "1b")], columns=[c.split()[0] for c in live.LINE.split(", ")])
-        out += [(state.now, [*zip(f.timestamp, f.b, f.part)]) for f in step(("s",), iter([line]), state)]
+        out += [(state.now, [*zip(f.us, f.b, f.part)]) for f in step(("s",), iter([frame(k)]), state)]
         assert state.due <= state.now + 30_000
     assert [t for t, _ in out] == [30_000, 60_000]
-    assert out[0][1] == [(f"t{k}", 0, 1) for k in range(4)]
-    assert out[1][1] == [(f"t{k}", 1, 0) for k in range(4)] + [(f"t{k}", 1, 1) for k in range(4, 7)]
+    assert out[0][1] == [(k, 0, 1) for k in range(4)]
+    assert out[1][1] == [(k, 1, 0) for k in range(4)] + [(k, 1, 1) for k in range(4, 7)]
     assert (len(state.get[0]), state.due) == (1, 90_000)
+
+
+def test_an_idle_subnet_drops_its_buffer():
+    step, state = live.batches(Lines(), Options(batch_lines=3), 1000), State()
+    (full,) = step(("s",), iter([frame(3, 1, 2)]), state)
+    assert [*zip(full.us, full.part)] == [(1, 1), (2, 1), (3, 1)]
+    state.now, state.hasTimedOut = 1000, True
+    assert list(step(("s",), iter([]), state)) == [] and not state.exists
+
+
+def write_lines(spark, path, rows):
+    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("append").text(str(path))
+
+
+@pytest.fixture(scope="module")
+def lines():
+    """Lines of three subnets in order of time, some malformed; one subnet has a burst of failing names."""
+    draw, out = random.Random(8), []
+    for k in range(260):
+        minute, second = divmod(k * 13, 60)
+        net = draw.choice((1, 1, 1, 2, 3))
+        burst = net == 1 and 150 < k < 200
+        name = f"{draw.getrandbits(64):016x}.com" if burst or draw.random() < 0.1 else "www.example.com"
+        status = "NXDOMAIN" if burst or draw.random() < 0.3 else "NOERROR"
+        ip = f"fd00:0:0:{net}::{k % 5}" if net == 3 else f"192.168.{net}.{k % 5 + 1}"
+        out.append(f"2025-01-01T{minute // 60:02d}:{minute % 60:02d}:{second:02d}.{k:06d}Z {status} {ip} 10.0.0.1 {name} A 10.0.0.2 {k + 50}b")
+    return [*out, "not a line", "  "]
+
+
+def run(spark, folder, out):
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(folder))
+    for query in live.start(stream, str(out), OPTIONS, 3_600_000, {"availableNow": True}):
+        query.awaitTermination(180)
+        assert query.exception() is None
+
+
+def check(spark, lines, out):
+    """The stream's batches and alerts are those of the static plan on the same lines."""
+    flow = Flow(spark.createDataFrame([(r,) for r in lines if r.strip()], "value string"), OPTIONS)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(flow.batches.select("subnet_id", "b", "part", "logline_id"))
+    assert rows(live.read_results(spark, out, "batches").select("subnet_id", "b", "part", "logline_id")) == want and want
+    columns = ["suspicious_batch_id", "batch_id", "client_ip", F.round("overall_score", 9), "domain_names", "result", "n_warnings"]
+    alerts = rows(flow.alerts.select(*columns))
+    assert rows(live.read_results(spark, out, "alerts").select(*columns)) == alerts and alerts
+    scores = rows(flow.scored.select("batch_id", "step", "n", F.round("score", 9)))
+    assert rows(live.read_results(spark, out, "scored").select("batch_id", "step", "n", F.round("score", 9))) == scores
+    failed = live.read_results(spark, out, "failed_dns_loglines").collect()
+    assert [(r.message_text, r.reason_for_failure) for r in failed] == [("not a line", "field_count")]
+
+
+def test_stream_equals_static_plan_over_a_restart(spark, lines, tmp_path):
+    """Half of the lines, a stop, the rest from the checkpoint, and what is held at the end."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        write_lines(spark, tmp_path / "in", lines[:130])
+        run(spark, tmp_path / "in", tmp_path / "out")
+        first = live.read_results(spark, str(tmp_path / "out"), "batches").count()
+        write_lines(spark, tmp_path / "in", lines[130:])
+        run(spark, tmp_path / "in", tmp_path / "out")
+        assert live.read_results(spark, str(tmp_path / "out"), "batches").count() > first
+        live.drain(spark, str(tmp_path / "out"), OPTIONS)
+        check(spark, lines, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
