@@ -32,7 +32,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     a doc_id and its text one stays. An empty table stays empty.
     """
     found = similar_components(docs, n=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = stored(found.where("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = stored(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.limit(1).count():
@@ -48,7 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     null doc_id has no key to go by, so such rows stay.
     """
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id").distinct()
+    gone = found.where("contaminated and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
