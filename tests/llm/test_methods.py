@@ -226,3 +226,24 @@ def test_few_scores_are_resolved(spark):
     found, collected = topk.search(vectors, F.col("vec_id") % 50 == 0, 5, 2, 256, 24)
     assert found.count() == 5 * (n // 50)
     assert collected.agg(F.sum(F.size("ids"))).first()[0] < 0.1 * n * (n // 50)
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "star", "none"])
+def test_components(spark, kind):
+    from hostsieve.llm.components import components
+
+    draw = random.Random(9)
+    edges = {"random": [(draw.randrange(90), draw.randrange(90)) for _ in range(60)], "path": [(k, k + 1) for k in range(40)], "star": [(7, k) for k in range(30)] * 2, "none": [(3, 3)]}[kind]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
