@@ -187,6 +187,9 @@ query("batch_envelope", "SELECT subnet_id AS key, batch_id, count(*) n FROM batc
     lambda f: tables.envelope(f.batches).select("key", F.get_json_object("value", "$.batch_id").alias("batch_id"), F.size(F.from_json("value", "data array<struct<us bigint>>")["data"]).cast("long").alias("n"))
 )
 query("decode_envelope", "SELECT batch_id, part, us, logline_id, client_ip, domain_name, status_code FROM batches")(lambda f: tables.decode_envelope(tables.envelope(f.batches)))
+query("decode_text_envelope", "SELECT batch_id, part, us, logline_id, client_ip, domain_name, status_code FROM batches")(
+    lambda f: tables.decode_envelope(tables.envelope(f.batches, as_text=True).withColumn("value", F.regexp_replace("value", r'\\"', "'")), as_text=True)
+)
 
 # Batches
 query("batch_by_size", "SELECT logline_id, subnet_id, b FROM by_size")(lambda f: f.by_size.select("logline_id", "subnet_id", "b"))

@@ -160,17 +160,25 @@ def route(messages: DataFrame, names) -> dict[str, DataFrame]:
     return {n: messages.where(F.col("table") == n).select(F.from_json("value", schema(n)).alias("r")).select("r.*") for n in names}
 
 
-def envelope(lines: DataFrame, key: str = "subnet_id") -> DataFrame:
-    """One JSON message for each batch: key, value with id, bounds and its lines in order."""
+_LINE = "part int, us bigint, logline_id bigint, client_ip string, domain_name string, status_code string"
+
+
+def envelope(lines: DataFrame, key: str = "subnet_id", as_text: bool = False) -> DataFrame:
+    """One JSON message for each batch: key, value with id, bounds and its lines in order; as_text: each line as JSON text."""
     line = F.struct("part", "us", "logline_id", "client_ip", "domain_name", "status_code")
-    rows = lines.groupBy(key, "batch_id").agg(F.sort_array(F.collect_list(line)).alias("data"), F.max("begin_us").alias("begin_us"), F.max("end_us").alias("end_us"))
+    data = F.sort_array(F.collect_list(line))
+    rows = lines.groupBy(key, "batch_id").agg(data.alias("data"), F.max("begin_us").alias("begin_us"), F.max("end_us").alias("end_us"))
+    if as_text:
+        rows = rows.withColumn("data", F.transform("data", lambda x: F.to_json(x)))
     return rows.select(F.col(key).alias("key"), F.to_json(F.struct("batch_id", "begin_us", "end_us", "data")).alias("value"))
 
 
-def decode_envelope(messages: DataFrame) -> DataFrame:
-    line = "struct<part int, us bigint, logline_id bigint, client_ip string, domain_name string, status_code string>"
-    row = F.from_json("value", f"batch_id string, begin_us bigint, end_us bigint, data array<{line}>")
-    return messages.select(row.alias("m")).select("m.batch_id", F.explode("m.data").alias("l")).select("batch_id", "l.*")
+def decode_envelope(messages: DataFrame, as_text: bool = False) -> DataFrame:
+    """batch_id and the lines of each message; as_text: lines are texts, in which single quotes will do as well."""
+    kind = "string" if as_text else f"struct<{_LINE}>"
+    row = F.from_json("value", f"batch_id string, begin_us bigint, end_us bigint, data array<{kind}>")
+    lines = messages.select(row.alias("m")).select("m.batch_id", F.explode("m.data").alias("l"))
+    return lines.select("batch_id", (F.from_json("l", _LINE) if as_text else F.col("l")).alias("l")).select("batch_id", "l.*")
 
 
 def spread(df: DataFrame) -> DataFrame:

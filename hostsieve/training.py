@@ -38,8 +38,11 @@ def prepared(names: DataFrame) -> DataFrame:
     return ft.feature_vector(rows.withColumn("label", F.when(F.col("class") == "legit", 0.0).otherwise(1.0)))
 
 
-def train_model(names: DataFrame, path: str, kind="rf", tune: bool = False) -> str:
-    """Fits a classifier on four fifths of each class and saves it at path; returns its checksum."""
+def train_model(names: DataFrame, path: str, kind="rf", tune: bool = False, fit_on: list[str] | None = None) -> str:
+    """Fits a classifier on four fifths of each class and saves it at path; returns its checksum. Of united datasets
+    (column dataset), fit_on chooses which are fitted; without it all are."""
+    if fit_on is not None:
+        names = names.where(F.col("dataset").isin(fit_on))
     rows = detect.stratified_split(prepared(names), "class", "query", {"train": 0.8, "valid": 0.1, "test": 0.1})
     fitted = stored(rows.where("split = 'train'").select("features", "label"))
     model = detect.tune(fitted).bestModel if tune else detect.train(fitted, kind)
