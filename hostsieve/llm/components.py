@@ -11,24 +11,29 @@ from hostsieve.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node it reaches) for each node of the edges (a long, b long).
 
-    Large stars hang each node's larger neighbours on its smallest neighbour, small stars the smaller ones; what stays is
-    a star for each component, after a number of rounds that grows with the logarithm of the longest path. The smallest
-    neighbour comes from an aggregation that combines before it shuffles, and is joined back, so that a hub is a skewed
-    join key, which Spark splits. Each round ends in a written table. Self-links and repeated rows do no harm.
+    An edge is kept as its larger end u and its smaller end v. Large stars hang u on the smallest neighbour of v, small
+    stars hang a node's smaller neighbours on the smallest of them; what stays is a star for each component, after a number
+    of rounds that grows with the logarithm of the longest path. The smallest neighbour comes from an aggregation that
+    combines before it shuffles, and is joined back, so that a hub is a skewed join key, which Spark splits. Each round
+    ends in a written table; edges that are stars already take one. Self-links and repeated rows do no harm.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before = fingerprint(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        hung = [F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")]
+        small = small.select(F.inline(F.array(*hung)))
         edges = stored(small.where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = fingerprint(edges)
         if now == before:
             break
         before = now
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
+
+
+def fingerprint(edges: DataFrame) -> tuple:
+    """Number and hash of the rows, whatever their order."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
