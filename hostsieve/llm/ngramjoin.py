@@ -271,8 +271,9 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
 
     counted = docs.select("text").mapInArrow(tally, "row long, data binary").repartition(8, "row").mapInArrow(summed, "row long, data binary")
     level = np.zeros((CELL_ROWS, (1 << CELL_BITS) // CELL_ROWS), np.uint8)
-    for r in counted.toLocalIterator():  # CELL_ROWS rows, whatever the input
-        level[r.row] = 2 * np.log2(np.maximum(np.frombuffer(zlib.decompress(r.data), "<u4"), 1))
+    got = counted.toArrow()  # CELL_ROWS rows, whatever the input
+    for row, data in zip(got["row"].to_pylist(), got["data"].to_pylist(), strict=True):
+        level[row] = 2 * np.log2(np.maximum(np.frombuffer(zlib.decompress(data), "<u4"), 1))
     level = documents.sparkSession.sparkContext.broadcast(level.ravel())  # 2 ** CELL_BITS bytes
     scanned = stored(docs.mapInArrow(scan, "bucket long, doc_id long, n_shingles long, k1 long, k2 long, data binary"))
     rows = scanned.where("bucket = -1").select("doc_id", "n_shingles", "k1", "k2")
