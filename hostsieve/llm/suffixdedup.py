@@ -9,7 +9,7 @@
    segment, from the last to the first, into the transform of all suffixes so far, and updates the common prefixes of
    neighbours, up to `length` bytes, from those of the round before. Neighbours that agree in `length` bytes form the
    classes of equal windows, and a class's smallest doc_id says who keeps the window. A segment that is alone with its
-   minimiser shares no window and needs no rounds; windows of very frequent minimisers take part in none either, as
+   minimiser, or whose windows all have hashes of their own, shares no window and needs no rounds; windows of very frequent minimisers take part in none either, as
    equal ones meet as equal strings.
 4. The answers return to the texts: for each distinct segment its smallest doc_id, and the windows that an even smaller
    document holds.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from hostsieve.llm.common import mixed, ngrams, span_hashes, stored, utf8
 
 #: Bytes of the runs that minimisers are chosen from, of the text of one pack, and segments of a frequent minimiser.
-RUN, PACK, FREQUENT = 20, 3 << 20, 2000
+RUN, PACK, FREQUENT = 20, 2 << 20, 2000
 #: Tasks that buckets are dealt to at most; one that has several takes them one after another.
 MOST_TASKS = 20_000
 _TOP = np.iinfo(np.int64).max
@@ -104,15 +104,34 @@ def bwt_rounds(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         touched = touched[touched > 0]
         touched = touched[symbol[by[touched]] == symbol[by[touched - 1]]]
         low, high = order[touched - 1] + 1, order[touched] + 1
-        by = np.argsort(low)
-        if len(by):
-            pairs = np.stack([low[by], high[by]], 1).ravel()
-            least = np.minimum.reduceat(np.append(common, np.uint8(0)), pairs)[::2]
-            now[touched[by] + m] = np.minimum(least, length - 1) + 1
+        least = common[low]
+        far = np.flatnonzero((high > low + 1) & (least > 0))  # others come of neighbours, or of such as agree in nothing
+        far = far[np.argsort(low[far])]
+        if len(far):
+            pairs = np.stack([low[far], high[far]], 1).ravel()
+            least[far] = np.minimum.reduceat(np.append(common, np.uint8(0)), pairs)[::2]
+        now[touched + m] = np.minimum(least, length - 1) + 1
         at, common = np.concatenate((empty, at[order] - 1)), now
     return at, common
 
 
+def hold_equal_hashes(strings: list[bytes], length: int, most: int = 4096) -> np.ndarray:
+    """Which strings hold a window whose hash, 32 bits, occurs more than once. The others share no window: equal ones hash
+    alike. Strings are hashed `most` at a time, so that no more than the hashes are held of all."""
+    codes, counts = [], []
+    for k in range(0, len(strings), most):
+        sizes = np.array([len(s) for s in strings[k : k + most]])
+        windows = sizes - length + 1
+        shift = np.cumsum(sizes) - sizes - (np.cumsum(windows) - windows)
+        at = np.repeat(shift, windows) + np.arange(windows.sum())
+        codes.append((ngrams(np.frombuffer(b"".join(strings[k : k + most]), np.uint8), length)[at] >> np.uint64(32)).astype(np.uint32))
+        counts.append(windows)
+    ordered = np.sort(np.concatenate(codes))
+    twice = np.append(np.unique(ordered[1:][ordered[1:] == ordered[:-1]]), np.uint32(0xFFFFFFFF))
+    held = [twice[np.searchsorted(twice, c)] == c for c in codes]
+    return np.concatenate([np.logical_or.reduceat(h, np.cumsum(n) - n) for h, n in zip(held, counts, strict=True)])
+
+
 def class_minima(strings: list[bytes], docs: np.ndarray, groups: np.ndarray, length: int) -> list[np.ndarray]:
     """For each string, of its windows the smallest document that holds an equal one; docs: each string's smallest.
 
@@ -121,6 +140,9 @@ def class_minima(strings: list[bytes], docs: np.ndarray, groups: np.ndarray, len
     out = [np.full(len(s) - length + 1, d) for s, d in zip(strings, docs.tolist(), strict=True)]
     _, group, times = np.unique(groups, return_inverse=True, return_counts=True)
     chosen = np.flatnonzero(times[group] > 1)
+    if not len(chosen):
+        return out
+    chosen = chosen[hold_equal_hashes([strings[i] for i in chosen], length)]
     if not len(chosen):
         return out
     sizes = np.array([len(strings[i]) for i in chosen])
@@ -172,18 +194,17 @@ def equal_runs(whole: bytes, at: np.ndarray, end: np.ndarray, to: np.ndarray, co
     return order, first
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """Each bucket with its packs' messages; rows come in order of buckets, so that one at a time is held."""
-    now, held = None, []
+def by_bucket(batches: Iterator[pa.RecordBatch], column: str, in_order: bool) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Each bucket with its packs' messages. Where rows come in order of buckets one at a time is held, else a task's few."""
+    now, held = None, {}
     for batch in batches:
         for name, b, data in zip(*(batch[c].to_pylist() for c in ("pack", "bucket", column)), strict=True):
-            if b != now:
-                if held:
-                    yield now, held
-                now, held = b, []
-            held.append((name, data))
-    if held:
-        yield now, held
+            if in_order and b != now and held:
+                yield now, held.pop(now)
+            now = b
+            held.setdefault(b, []).append((name, data))
+    for b in list(held):
+        yield b, held.pop(b)
 
 
 def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
@@ -198,7 +219,9 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     total = total or 0
-    buckets, tasks = max(8, -(-total // (6 << 20))), max(8, -(-total // (24 << 20)))
+    buckets, tasks = max(8, -(-total // (3 << 20))), max(8, -(-total // (24 << 20)))
+
+    in_order = buckets > MOST_TASKS
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each pack of texts: ids, whether known, lengths, and the bytes, compressed."""
@@ -261,7 +284,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pack and bucket: 2 bits a segment, whether its minimiser has several documents, and very many segments."""
-        for b, messages in by_bucket(batches, "sent"):
+        for b, messages in by_bucket(batches, "sent", in_order):
             names, low, doc, sizes = [], [], [], []
             for name, sent in messages:
                 k = int(np.frombuffer(sent, "<i8", 1)[0])
@@ -330,7 +353,7 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         Of a segment that a smaller document outside the pack holds whole, all windows; then every holder gives up all.
         """
         open_ = zstandard.ZstdDecompressor()
-        for b, messages in by_bucket(batches, "sent"):
+        for b, messages in by_bucket(batches, "sent", in_order):
             place: dict[bytes, int] = {}
             docs_, groups, parts = [], [], []
             for name, sent in messages:
@@ -405,7 +428,9 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     packs = stored(docs.mapInArrow(pack, "pack long, n long, data binary"))
     small = packs.repartition(max(8, min(rows or 1, tasks)), "pack")
-    meet = lambda df: df.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+    meet = lambda df: df.repartition(min(buckets, MOST_TASKS), "bucket")
+    if in_order:
+        meet = lambda df: df.repartition(MOST_TASKS, "bucket").sortWithinPartitions("bucket")
     bits = meet(small.mapInArrow(minimisers, "pack long, bucket long, sent binary")).mapInArrow(answers, "pack long, bucket long, bits binary")
     bits = stored(bits.where(F.octet_length("bits") > 0).groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")))
     sent = packs.join(bits, "pack").mapInArrow(send, "pack long, bucket long, sent binary")
