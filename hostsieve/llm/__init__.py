@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: ten operators and their registered queries.
+"""Operations of a training-data pipeline: thirteen operators and their registered queries.
 
 Nothing else in the library imports this subpackage.
 """

@@ -72,6 +72,24 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(listed)
 
 
+def op11_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.private import digest, find_private
+
+    return digest(find_private(table(spark, sf_dir, "documents"))[0])
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.filteraudit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostsieve.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_quality,
         op10_token_ids,
+        op11_private,
+        op12_filter_audit,
+        op13_whitening,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
