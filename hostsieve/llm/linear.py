@@ -23,7 +23,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable,
     """Bytes, offsets and labels of at most `most` labelled texts of at most `most_bytes` bytes together, from rows that `usable` allows.
 
     Only the sample is bounded, never the rows that are scored. Half of it goes to each label as far as there are
-    enough rows, those with the smallest hashes of doc_id first; texts of any length take part until the bytes are full.
+    enough rows, those with the smallest hashes of doc_id first; of their texts, texts_of() takes what fits into the bytes.
     A document with several label rows counts once, with the largest label, and one with several texts with the
     smallest; null labels and ids are left out.
     """
@@ -41,18 +41,32 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, usable,
     return raw, offsets, got["__label"].to_numpy().astype(float)
 
 
+def chosen_sizes(sizes: list[tuple[int, int, int]], most_bytes: int, long: int) -> list[int]:
+    """Which of the texts (id, hash, bytes) of one label fit into the bytes: those of at most `long` bytes in order of
+    hash, then the longer ones, shortest first. One that does not fit is passed over, and the first is always taken."""
+    out, left = [], most_bytes
+    for key, _, n in sorted(sizes, key=lambda x: (x[2] > long, x[2] if x[2] > long else 0, x[1])):
+        if n <= left or not out:
+            out.append(key)
+            left -= n
+    return out
+
+
 def texts_of(documents: DataFrame, chosen: DataFrame, most_bytes: int) -> pa.Table:
-    """doc_id, __label and text of the chosen documents (doc_id, __label; few rows), those with the smallest hashes of
-    doc_id first, until a label's share of the bytes is full. Of a document with several texts, the smallest."""
+    """doc_id, __label and text of chosen documents (doc_id, __label; few rows) of at most `most_bytes` bytes together.
+
+    Each label has an equal share of the bytes, and chosen_sizes() fills it; texts beyond a sixteenth of a share come
+    last, so no single text keeps others out. Of a document with several texts, the smallest counts.
+    """
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = stored(texts.groupBy("doc_id", "__label").agg(F.min("text").alias("text")).withColumn("__hash", F.xxhash64("doc_id")))
-    some = F.lit(False)
-    sizes = texts.select("__label", "__hash", F.octet_length("text").alias("n")).toPandas().sort_values("__hash")
-    for k, own in sizes.groupby("__label"):
-        fits = own[own.n.cumsum() <= most_bytes // max(1, sizes["__label"].nunique())]
-        if len(fits):
-            some = some | ((F.col("__label") == int(k)) & (F.col("__hash") <= int(fits["__hash"].iloc[-1])))
-    return texts.where(some).select("doc_id", "__label", "text").toArrow().sort_by("doc_id")
+    texts = stored(texts.groupBy("doc_id", "__label").agg(F.min("text").alias("text")))
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for r in texts.select("doc_id", "__label", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).collect():
+        by.setdefault(r["__label"], []).append((r.doc_id, r.h, r.n))
+    share = most_bytes // max(1, len(by))
+    keys = [key for own in by.values() for key in chosen_sizes(own, share, share // 16)]
+    some = documents.sparkSession.createDataFrame([(k,) for k in keys], texts.select("doc_id").schema)
+    return texts.join(F.broadcast(some), "doc_id").select("doc_id", "__label", "text").toArrow().sort_by("doc_id")
 
 
 def score_texts(
