@@ -90,13 +90,13 @@ class IdFile:
         return self.read(int(self.starts[k]), int(self.tokens[k]))
 
 
-def write_ids(documents: DataFrame, tokenizer: str, vocabulary: int, end: int = 2, rows_per_file: int = 4000) -> DataFrame:
+def write_ids(documents: DataFrame, tokenizer: str, vocabulary: int, end: int = 2, rows_per_file: int = 4000, plain: bool = False) -> DataFrame:
     """Encodes every whole text, with the id `end` after it, into files in ascending doc_id order; returns their list.
 
     The list, itself a written table, has a row for each file: part, file, docs, ids. A task writes a file of a name of
     its own and only the files of successful tasks are listed, so that a task that runs twice does no harm. Null texts
     count as empty; null doc_ids come first; rows with equal doc_id follow each other by a hash of their text, and may
-    go to several files.
+    go to several files. plain: added tokens of the vocabulary, such as its end mark, are ordinary text in a document.
     """
     folder, bits = shared_dir(documents.sparkSession), bits_for(vocabulary)
     files = max(1, -(-documents.count() // rows_per_file))
@@ -104,7 +104,7 @@ def write_ids(documents: DataFrame, tokenizer: str, vocabulary: int, end: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer)
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, plain)
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.ids"
         fs, name = FileSystem.from_uri(path)
         fs.create_dir(name.rpartition("/")[0], recursive=True)

@@ -95,10 +95,11 @@ class Packer:
                 self.emit(now)
 
 
-def pack(documents: DataFrame, tokenizer: str, end: int = 1, size: int = 2048, open_windows: int = 32) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, end: int = 1, size: int = 2048, open_windows: int = 32, plain: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    tokenizer: path of the vocabulary file on every machine. `end` follows each document's ids. Reads only doc_id and
+    tokenizer: path of the vocabulary file on every machine. plain: added tokens of the vocabulary, such as its end mark,
+    are ordinary text where a document holds them. `end` follows each document's ids. Reads only doc_id and
     text, so extra columns and their names do not matter. Null and empty texts are one piece, the id `end`. A null
     doc_id stays null; repeated rows are packed each for itself, as separate documents with equal ids. Very long texts
     are cut into whole windows. An empty table gives an empty result. The only padding that the result asks for is none:
@@ -107,7 +108,7 @@ def pack(documents: DataFrame, tokenizer: str, end: int = 1, size: int = 2048, o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, packer = encoder(tokenizer), Packer(size, open_windows, part << 32)
+        encode, packer = encoder(tokenizer, plain), Packer(size, open_windows, part << 32)
         for batch in batches:
             for doc, ids in zip(batch["doc_id"].to_pylist(), encode.many(batch["text"].to_pylist(), end), strict=True):
                 packer.place((doc, 0, ids, len(ids) // 4))

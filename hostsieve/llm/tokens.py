@@ -3,27 +3,27 @@
 The tokenizers library encodes each pre-token (word, number, run of signs or of white space) by itself, so a text's ids
 are its pre-tokens' ids in order. Common pre-tokens come from a bounded cache of library results; the library encodes
 the others, many in one call. Texts with characters for which Python and the library might split differently, for
-instance beyond the Latin letters, go to the library whole.
+instance beyond the Latin letters, go to the library whole, and so do texts that hold one of the vocabulary's added tokens.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Letters and numbers among the characters that Encoder splits itself, and how each vocabulary's own
-#: file splits text, with whether it first puts letters in lower case.
+#: Letters and numbers among the characters that Encoder splits itself.
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-SPLITS = {
-    "byte_bpe_50k.json": (
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\t\n\r {LETTER}{NUMBER}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+",
-        False,
-    ),
-    "word_bpe_49k.json": (rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+", True),
-}
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: How vocabulary files say that they split text, and the same for Encoder's characters.
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+WORDS = {"type": "Split", "pattern": {"Regex": ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+LOWERED = ["NFC", "Replace", "Lowercase"]
+BYTE_PIECES = rf"{ENDINGS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\t\n\r {LETTER}{NUMBER}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
+WORD_PIECES = rf"{ENDINGS}|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+"
 #: A character outside this class sends its text to the library whole.
 UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ɏ]")
 #: Pre-tokens in the cache at most, and their characters together; beyond, the cache starts anew.
@@ -32,16 +32,38 @@ CACHED, CACHED_CHARS = 1_000_000, 12_000_000
 GROUP = 1 << 21
 
 
+def pieces_of(path: str) -> tuple[str | None, bool]:
+    """The pattern of the pieces that a vocabulary file splits text into, and whether it lowers letters first.
+
+    Told from what the file says of its normalizer and pre-tokenizer; None where that is neither of the known two.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normalizer, splitter = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    same = lambda want, got: all(got.get(k) == v for k, v in want.items())
+    if normalizer is None and same(BYTES, splitter):
+        return BYTE_PIECES, False
+    steps, kinds = splitter.get("pretokenizers", []), [n["type"] for n in (normalizer or {}).get("normalizers", [])]
+    if kinds == LOWERED and len(steps) == 2 and same(WORDS, steps[0]) and same(BYTES | {"use_regex": False}, steps[1]):
+        return WORD_PIECES, True
+    return None, False
+
+
 class Encoder:
-    """Encodes texts with the tokenizer in a file; special tokens in a text are ordinary text."""
+    """Encodes texts with the tokenizer in a file, with the ids that the library gives.
+
+    The library finds the vocabulary's added tokens, such as an end mark, in a text; with `plain`, they are ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
         self.chars = 0
-        pattern, self.lower = SPLITS.get(path.rpartition("/")[2], (None, False))
+        pattern, self.lower = pieces_of(path)
         self.split = re.compile(pattern).findall if pattern else None
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
 
     def whole(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers, by the library alone."""
@@ -77,7 +99,7 @@ class Encoder:
     def _group(self, texts: list[str], last: bytes) -> Iterator[bytes]:
         if len(self.known) > CACHED or self.chars > CACHED_CHARS:
             self.known, self.chars = {}, 0
-        split = [None if self.split is None or UNSURE.search(t) else self.split(t.lower() if self.lower else t) for t in texts]
+        split = [None if self.split is None or UNSURE.search(t) or self.added(t) else self.split(t.lower() if self.lower else t) for t in texts]
         known = self.known
         new = set().union(*(pieces for pieces in split if pieces)).difference(known)
         known.update(self.learn(list(new)))
@@ -86,11 +108,11 @@ class Encoder:
             yield (self.whole(text) if pieces is None else b"".join(map(known.__getitem__, pieces))) + last
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One encoder for each file and Python worker; workers serve many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
