@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostsieve.llm.common import table
+from hostsieve.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +111,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_whitening,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
