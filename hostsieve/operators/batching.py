@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hostsieve.operators.numbering import numbered
+from hostsieve.operators.numbering import numbered, running_sums
 
 ARRIVAL = ("us", "logline_id")
 
@@ -69,18 +69,32 @@ def waiting(batched: DataFrame) -> DataFrame:
     return batched.withColumn("message_count", F.row_number().over(w).cast("long"))
 
 
-def fill_levels(batched: DataFrame, of: DataFrame, bucket_us: int) -> DataFrame:
-    """bucket, entry_type and entry_count: lines in batches and in buffers at the end of each interval with a change.
+def fill_changes(batched: DataFrame, of: DataFrame, bucket_us: int, dropped: DataFrame | None = None) -> DataFrame:
+    """bucket, entry_type and d: by how much the lines in batches and in buffers change within each interval.
 
     A line adds one to the batches; a batch's last line moves all of them to the subnet's buffer, where they take the
-    place of the batch before. Changes are summed per interval first, so the running sum is over few rows.
+    place of the batch before: column held of the bounds, or else the lines of the subnet's batch before. dropped: us and d
+    of further changes to the buffers.
     """
     bucket = lambda c: F.floor(F.col(c) / bucket_us).cast("long").alias("bucket")
     change = lambda df, at, kind, d: df.select(bucket(at), F.lit(kind).alias("entry_type"), d.alias("d"))
     inside, buffered = "total_loglines_in_batches", "total_loglines_in_buffer"
     rows = change(batched, "us", inside, F.lit(1).cast("long")).unionByName(change(of, "end_us", inside, -F.col("n")))
-    held = F.coalesce(F.lag("n").over(W.partitionBy("subnet_id").orderBy("b")), F.lit(0))
-    rows = rows.unionByName(change(of.withColumn("d", F.col("n") - held), "end_us", buffered, F.col("d")))
-    per = rows.groupBy("entry_type", "bucket").agg(F.sum("d").alias("d"))
-    w = W.partitionBy("entry_type").orderBy("bucket")
-    return per.select("bucket", "entry_type", F.sum("d").over(w).cast("long").alias("entry_count"))
+    if "held" not in of.columns:
+        of = of.withColumn("held", F.coalesce(F.lag("n").over(W.partitionBy("subnet_id").orderBy("b")), F.lit(0)))
+    rows = rows.unionByName(change(of, "end_us", buffered, F.col("n") - F.col("held")))
+    if dropped is not None:
+        rows = rows.unionByName(change(dropped, "us", buffered, F.col("d")))
+    return rows.groupBy("entry_type", "bucket").agg(F.sum("d").alias("d"))
+
+
+def levels(changes: DataFrame) -> DataFrame:
+    """bucket, entry_type and entry_count: the running sums of the changes, by ranges of intervals."""
+    per = changes.groupBy("entry_type", "bucket").agg(F.sum("d").alias("d"))
+    sums = running_sums(per, "bucket", ["d"], keys=["entry_type"])
+    return sums.select("bucket", "entry_type", F.col("d").cast("long").alias("entry_count"))
+
+
+def fill_levels(batched: DataFrame, of: DataFrame, bucket_us: int) -> DataFrame:
+    """bucket, entry_type and entry_count: lines in batches and in buffers at the end of each interval with a change."""
+    return levels(fill_changes(batched, of, bucket_us))

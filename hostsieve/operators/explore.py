@@ -49,6 +49,12 @@ def pca(df: DataFrame, features: str = "features", k: int = 2):
     return model, model.transform(centred).drop("__c")
 
 
+def percentiles(df: DataFrame, key: str, x: str, *more: Column) -> DataFrame:
+    """key, n, and the median, 95th and 99th percentile and maximum of x for each key."""
+    at = lambda q, name: F.percentile_approx(x, q).alias(name)
+    return df.groupBy(key).agg(F.count("*").alias("n"), *more, at(0.5, "p50"), at(0.95, "p95"), at(0.99, "p99"), F.max(x).alias("most"))
+
+
 def date_of(us: Column) -> Column:
     """The day of a wall-clock time in microseconds."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / 86_400_000_000).cast("int"))

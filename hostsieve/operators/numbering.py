@@ -33,25 +33,32 @@ def numbered(df: DataFrame, keys: list[str], cell: Column, order: list[Column |
     return rows.drop("__cell", "__before", *(f"__k{i}" for i in range(len(keys) + 1)))
 
 
-def running_sums(df: DataFrame, x: str, columns: list[str], parts: int | None = None) -> DataFrame:
-    """Distinct values x in order, with each column's sum up to it, its sum over all rows as all_<column>, and the next x.
+def running_sums(df: DataFrame, x: str, columns: list[str], parts: int | None = None, keys: list[str] = ()) -> DataFrame:
+    """For distinct values x of each key in order: each column's sum up to it, its sum over all rows of the key as
+    all_<column>, and the next x of the key as `next`; the keys come first.
 
-    Values are dealt to ranges, each range is summed by itself, and the ranges before it add their totals.
+    Rows are dealt to ranges of (keys, x) in one shuffle and written; a key's part of each range is summed by itself, and the
+    ranges before it add their totals, of which there are as many as ranges and keys. Null keys are keys of their own.
     """
+    keys = list(keys)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(parts, x).withColumn("__part", F.spark_partition_id()))
-    totals = dealt.groupBy("__part").agg(F.min(x).alias("__first"), *(F.sum(c).alias(f"__{c}") for c in columns))
-    over = W.orderBy("__part")  # one row for each range
-    before, every = over.rowsBetween(W.unboundedPreceding, -1), over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    dealt = stored(df.repartitionByRange(parts, *keys, x).withColumn("__part", F.spark_partition_id()))
+    totals = dealt.groupBy("__part", *keys).agg(F.min(x).alias("__first"), *(F.sum(c).alias(f"__{c}") for c in columns))
+    of_key = W.partitionBy(*(keys or [F.lit(0)]))  # a row for each range and key
+    over = of_key.orderBy("__part")
+    before, every = over.rowsBetween(W.unboundedPreceding, -1), of_key
     totals = totals.select(
-        "__part",
+        F.col("__part").alias("__p"),
+        *(F.col(k).alias(f"__key_{k}") for k in keys),
         F.lead("__first").over(over).alias("__next"),
         *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in columns),
         *(F.sum(f"__{c}").over(every).alias(f"all_{c}") for c in columns),
     )
-    own = W.partitionBy("__part").orderBy(x)
+    own = W.partitionBy("__part", *keys).orderBy(x)
     upto = own.rowsBetween(W.unboundedPreceding, 0)
-    return dealt.join(F.broadcast(totals), "__part").select(  # totals: as many rows as ranges
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys), F.col("__part") == F.col("__p"))
+    return dealt.join(totals, same).select(
+        *keys,
         x,
         F.coalesce(F.lead(x).over(own), "__next").alias("next"),
         *((F.sum(c).over(upto) + F.col(f"__before_{c}")).alias(c) for c in columns),

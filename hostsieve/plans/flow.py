@@ -22,6 +22,8 @@ from hostsieve.sources.shared import stored
 #: Names of the stages, as the monitoring tables hold them.
 COLLECTOR, BATCHES, PREFILTER = "log_collection.collector", "log_collection.batch_handler", "log_filtering.prefilter"
 INSPECTOR, DETECTOR = "data_inspection.inspector", "data_analysis.detector"
+#: The interval that fill levels are told for, in microseconds.
+FILL_US = 1_000_000
 
 
 def rule_scores(df: DataFrame) -> DataFrame:
@@ -57,17 +59,23 @@ class Options:
 class Flow:
     """The stages for one table of lines: value, and if it has them logline_id, arrival_us and further columns.
 
-    A missing logline_id is the line's SHA-256, so that runs agree; lines of equal text then share it. Each property is
-    a lazy DataFrame; `table`, `bounds` and `verdicts` are written when they are first asked for.
+    A missing logline_id is drawn at random for each line, and the lines with their ids are written once, so that equal
+    lines are lines of their own and every stage sees the same ids. Each property is a lazy DataFrame; what kept() is
+    applied to is written when it is first asked for.
     """
 
     def __init__(self, lines: DataFrame, options: Options = Options()):
-        self.options, self.spark = options, lines.sparkSession
-        if "logline_id" not in lines.columns:
-            lines = lines.withColumn("logline_id", F.sha2(F.coalesce("value", F.lit("")), 256))
+        self.options, self.spark, self._given = options, lines.sparkSession, lines
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return stored(df)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        lines = self._given
         if "arrival_us" not in lines.columns:
             lines = lines.withColumn("arrival_us", F.lit(None).cast("long"))
-        self.lines = lines
+        return lines if "logline_id" in lines.columns else self.kept(lines.withColumn("logline_id", F.expr("uuid()")))
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -86,17 +94,17 @@ class Flow:
 
     @cached_property
     def table(self) -> DataFrame:
-        return stored(self.valid)
+        return self.kept(self.valid)
 
     @cached_property
     def batched(self) -> DataFrame:
         """The valid lines with the number b of their batch."""
         o = self.options
-        return stored(batching.by_size(self.table, o.batch_lines)) if o.batch_lines else batching.by_time(self.table, o.batch_us)
+        return self.kept(batching.by_size(self.table, o.batch_lines)) if o.batch_lines else batching.by_time(self.table, o.batch_us)
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return stored(batching.bounds(self.batched))
+        return self.kept(batching.bounds(self.batched))
 
     @property
     def batches(self) -> DataFrame:
@@ -118,7 +126,7 @@ class Flow:
     @cached_property
     def verdicts(self) -> DataFrame:
         """batch_id, share: the suspicious batches with their share of anomalous steps."""
-        return stored(series.suspicious(self.scored, self.options.score_threshold, self.options.anomaly_threshold))
+        return self.kept(series.suspicious(self.scored, self.options.score_threshold, self.options.anomaly_threshold))
 
     @property
     def by_client(self) -> DataFrame:
@@ -135,6 +143,15 @@ class Flow:
 
     # Events. Event time stands in for the clock: a line's own time, or its batch's end.
 
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """batch_id, client_ip, suspicious_batch_id, m (relevant lines), us and found (whether there is a warning) of each
+        suspicious batch: a small table, from one aggregation that combines before it shuffles."""
+        p1 = F.col("p1")
+        warned = (p1 > 1 - p1) & (p1 > self.options.threshold)
+        rows = self.options.classify(self.by_client).groupBy("batch_id", "client_ip", "suspicious_batch_id")
+        return self.kept(rows.agg(F.count("*").alias("m"), F.max("end_us").alias("us"), F.max(F.coalesce(warned, F.lit(False))).alias("found")))
+
     @property
     def line_events(self) -> DataFrame:
         """key (logline_id), stage, status, is_active, us, rank of every stage; from the inspector on, one for each batch."""
@@ -143,15 +160,17 @@ class Flow:
         gone = [*early, event(PREFILTER, "filtered_out", False, 5)]
         of_line = F.when(self.options.format.relevant(), F.array(*early)).otherwise(F.array(*gone))
         first = self.table.select(F.col("logline_id").alias("key"), "us", F.inline(of_line))
-        bad = self.verdicts.select("batch_id", F.lit(True).alias("bad"))
-        seen = self.relevant.join(bad, "batch_id", "left").where("bad is null").select(F.col("logline_id").alias("key"), "batch_id", F.col("end_us").alias("us")).distinct()
-        last = self.by_client.select("suspicious_batch_id", "logline_id", "end_us").distinct()
-        alerting = self.alerts.select("suspicious_batch_id", F.lit("detected").alias("found"))
-        last = last.join(alerting, "suspicious_batch_id", "left")
-        late = lambda df, stage, status, rank: df.select("key", "us", F.lit(stage).alias("stage"), status.alias("status"), F.lit(False).alias("is_active"), F.lit(rank).alias("rank"))
-        seen = late(seen, INSPECTOR, F.lit("filtered_out"), 6)
-        last = late(last.select(F.col("logline_id").alias("key"), F.col("end_us").alias("us"), "found"), DETECTOR, F.coalesce("found", F.lit("filtered_out")), 7)
-        return first.unionByName(seen).unionByName(last)
+        ends = self.relevant.join(self.outcomes.select("batch_id", "client_ip", "found"), ["batch_id", "client_ip"], "left")
+        bad = F.col("found").isNotNull()
+        last = ends.select(
+            F.col("logline_id").alias("key"),
+            F.col("end_us").alias("us"),
+            F.when(bad, DETECTOR).otherwise(INSPECTOR).alias("stage"),
+            F.when(F.col("found"), "detected").otherwise("filtered_out").alias("status"),
+            F.lit(False).alias("is_active"),
+            F.when(bad, 7).otherwise(6).alias("rank"),
+        )
+        return first.unionByName(last)
 
     @cached_property
     def batch_counts(self) -> DataFrame:
@@ -159,7 +178,7 @@ class Flow:
         per = self.relevant.groupBy("batch_id").agg(F.count("*").alias("m"))
         bad = self.verdicts.select("batch_id", F.lit(True).alias("bad"))
         rows = self.bounds.join(per, "batch_id", "left").join(bad, "batch_id", "left")
-        return stored(rows.withColumns({"m": F.coalesce("m", F.lit(0)), "bad": F.coalesce("bad", F.lit(False))}))
+        return self.kept(rows.withColumns({"m": F.coalesce("m", F.lit(0)), "bad": F.coalesce("bad", F.lit(False))}))
 
     @property
     def batch_events(self) -> DataFrame:
@@ -182,47 +201,93 @@ class Flow:
     @property
     def suspicious_events(self) -> DataFrame:
         """key (suspicious_batch_id), client_ip, stage, status, is_active, us, message_count, rank."""
-        per = self.by_client.groupBy("suspicious_batch_id", "client_ip").agg(F.count("*").alias("m"), F.max("end_us").alias("us"))
-        per = per.join(self.alerts.select("suspicious_batch_id", F.lit("finished").alias("found")), "suspicious_batch_id", "left")
         event = lambda stage, status, active, rank: F.struct(F.lit(stage).alias("stage"), status.alias("status"), F.lit(active).alias("is_active"), F.lit(rank).alias("rank"))
-        made = [event(INSPECTOR, F.lit("finished"), True, 1), event(DETECTOR, F.lit("in_process"), True, 2), event(DETECTOR, F.coalesce("found", F.lit("filtered_out")), False, 3)]
-        return per.select(F.col("suspicious_batch_id").alias("key"), "client_ip", "us", F.col("m").alias("message_count"), F.inline(F.array(*made)))
+        made = [event(INSPECTOR, F.lit("finished"), True, 1), event(DETECTOR, F.lit("in_process"), True, 2), event(DETECTOR, F.when(F.col("found"), "finished").otherwise("filtered_out"), False, 3)]
+        return self.outcomes.select(F.col("suspicious_batch_id").alias("key"), "client_ip", "us", F.col("m").alias("message_count"), F.inline(F.array(*made)))
+
+
+    @property
+    def fill_changes(self) -> DataFrame:
+        return batching.fill_changes(self.batched, self.bounds, FILL_US)
+
+    @property
+    def failed_us(self) -> Column:
+        """When a line failed: its arrival, as event time stands in for the clock."""
+        return F.col("arrival_us")
 
 
 class Finished(Flow):
-    """The stages from finished batches on: rows are valid lines with us and subnet_id, the number b of the batch that
-    they are in, and part 0 for lines of the batch before."""
+    """The stages from what a trigger of the stream finishes on. Rows have a kind: "line" for the lines of finished batches,
+    with the number b of the batch that they are in, and part 0 for those of the batch before; "failed" and "late" for
+    lines that no batch takes, with the reason; "dropped" for batches that leave their subnet's buffer unused, with their
+    number of lines as part. `rows` should be persisted; intermediate results are persisted and never written, and release()
+    lets go of them.
+    """
 
     def __init__(self, rows: DataFrame, options: Options = Options()):
-        super().__init__(rows.withColumn("value", F.lit(None).cast("string")), options)
-        self.rows = rows
+        super().__init__(rows, options)
+        self.rows, self._kept = rows, []
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return self._kept[-1]
+
+    def release(self) -> None:
+        for df in self._kept:
+            df.unpersist()
+
+    @property
+    def lines(self) -> DataFrame:
+        some = "kind in ('failed', 'late') or kind = 'line' and part = 1"
+        return self.rows.where(some).select("logline_id", "value", F.nullif("arrival_us", F.lit(-1)).alias("arrival_us"))
+
+    @property
+    def failed(self) -> DataFrame:
+        some = self.rows.where("kind in ('failed', 'late')")
+        return some.select("logline_id", F.col("value").alias("message_text"), F.nullif("arrival_us", F.lit(-1)).alias("arrival_us"), F.col("reason").alias("reason_for_failure"))
+
+    @property
+    def failed_us(self) -> Column:
+        return F.unix_micros(F.current_timestamp())
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """The lines of finished batches with their fields; their tests were passed before they got here."""
+        some = self.rows.where("kind = 'line'").drop("kind", "reason")
+        return self.kept(self.options.format.split(some).drop("value", "n_fields"))
 
     @property
     def table(self) -> DataFrame:
-        return self.rows.where("part = 1").drop("b", "part")
+        return self.placed.where("part = 1").drop("b", "part")
 
     @property
     def batched(self) -> DataFrame:
-        return self.rows.where("part = 1").drop("part")
+        return self.placed.where("part = 1").drop("part")
 
     @cached_property
     def bounds(self) -> DataFrame:
         of = lambda f, column, part: f(F.when(F.col("part") == part, F.col(column)))
-        ends = self.rows.groupBy("subnet_id", "b").agg(
+        ends = self.placed.groupBy("subnet_id", "b").agg(
             of(F.min, "us", 0).alias("before"), of(F.min, "us", 1).alias("own_begin"), of(F.max, "us", 1).alias("end_us"), of(F.count, "us", 1).alias("n"), of(F.count, "us", 0).alias("n0")
         )
-        return stored(ends.select("subnet_id", "b", batching.batch_id().alias("batch_id"), F.coalesce("before", "own_begin").alias("begin_us"), "own_begin", "end_us", "n", "n0"))
+        return self.kept(ends.select("subnet_id", "b", batching.batch_id().alias("batch_id"), F.coalesce("before", "own_begin").alias("begin_us"), "own_begin", "end_us", "n", "n0"))
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
+    def _bounded(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.bounds.select("subnet_id", "b", "batch_id", "begin_us", "end_us"), ["subnet_id", "b"])
 
     @property
     def batches(self) -> DataFrame:
-        return self._placed(self.rows)
+        return self._bounded(self.placed)
 
     @property
     def relevant(self) -> DataFrame:
-        return self._placed(self.rows.where(self.options.format.relevant()))
+        return self._bounded(self.placed.where(self.options.format.relevant()))
+
+    @property
+    def fill_changes(self) -> DataFrame:
+        """Of what finished batches add to the buffer, those that they replace go; dropped ones go by themselves."""
+        dropped = self.rows.where("kind = 'dropped'").select("us", (-F.col("part")).cast("long").alias("d"))
+        return batching.fill_changes(self.batched, self.bounds.withColumn("held", F.col("n0")), FILL_US, dropped)
 
 
 def wall(us: str) -> Column:
@@ -236,32 +301,45 @@ def additional_fields(fmt: LineFormat) -> Column:
     return F.to_json(F.struct(*rest))
 
 
-def run_batch(lines: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
-    """The monitoring tables of a run over `lines` (value: a raw line), by name; schemas are those of sources.tables.
-
-    Also valid (parsed lines), scored (series with scores) and warnings. Everything is lazy but the tables that Flow
-    writes. Null and blank lines fail with the reason field_count. An empty table of lines gives empty tables.
-    """
-    f = Flow(lines, options)
+def monitoring(f: Flow) -> dict[str, DataFrame]:
+    """The monitoring tables of the stages, by name; schemas are those of sources.tables, but fill_changes has the changes
+    that levels() of operators.batching sums."""
     at = wall("us")
-    line = f.line_events.select(F.col("key").cast("string").alias("logline_id"), "stage", "status", at.alias("timestamp"), "is_active")
+    text = lambda c: F.col(c).cast("string")
+    line = f.line_events.select(text("key").alias("logline_id"), "stage", "status", at.alias("timestamp"), "is_active")
     batch = f.batch_events.select(F.col("key").alias("batch_id"), "stage", "status", at.alias("timestamp"), "message_count", "is_active")
     suspicious = f.suspicious_events.select(F.col("key").alias("suspicious_batch_id"), "client_ip", "stage", "status", at.alias("timestamp"), "message_count", "is_active")
-    raw = f.lines.select(F.col("logline_id").cast("string").alias("message_id"), wall("arrival_us").alias("timestamp_in"), F.col("value").alias("message_text"))
+    raw = f.lines.select(text("logline_id").alias("message_id"), wall("arrival_us").alias("timestamp_in"), F.col("value").alias("message_text"))
     moves = F.explode(F.array(F.lit("timestamp_in"), F.lit("timestamp_out"))).alias("event")
+    failed = f.failed.withColumn("failed_us", f.failed_us)
     return {
         "server_logs": raw,
         "server_logs_timestamps": raw.select("message_id", moves, F.col("timestamp_in").alias("event_timestamp")),
-        "failed_dns_loglines": f.failed.select("message_text", wall("arrival_us").alias("timestamp_in"), wall("arrival_us").alias("timestamp_failed"), "reason_for_failure"),
-        "dns_loglines": f.table.select(F.col("logline_id").cast("string").alias("logline_id"), "subnet_id", at.alias("timestamp"), "status_code", "client_ip", "record_type", additional_fields(options.format).alias("additional_fields")),
-        "logline_timestamps": line,
-        "logline_to_batches": f.batched.select(F.col("logline_id").cast("string").alias("logline_id"), batching.batch_id().alias("batch_id")),
+        "failed_dns_loglines": failed.select("message_text", wall("arrival_us").alias("timestamp_in"), wall("failed_us").alias("timestamp_failed"), "reason_for_failure"),
+        "dns_loglines": f.table.select(text("logline_id").alias("logline_id"), "subnet_id", at.alias("timestamp"), "status_code", "client_ip", "record_type", additional_fields(f.options.format).alias("additional_fields")),
+        "logline_to_batches": f.batched.select(text("logline_id").alias("logline_id"), batching.batch_id().alias("batch_id")),
+        "fill_changes": f.fill_changes,
         "batch_timestamps": batch,
-        "suspicious_batches_to_batch": f.by_client.select("suspicious_batch_id", "batch_id").distinct(),
-        "suspicious_batch_timestamps": suspicious,
-        "alerts": f.alerts.select("client_ip", wall("alert_us").alias("alert_timestamp"), "suspicious_batch_id", "overall_score", F.to_json("domain_names").alias("domain_names"), "result"),
-        "fill_levels": batching.fill_levels(f.batched, f.bounds, 1_000_000).select(wall("bucket * 1000000").alias("timestamp"), F.lit(BATCHES).alias("stage"), "entry_type", "entry_count"),
-        "valid": f.table,
         "scored": f.scored,
+        "suspicious_batches_to_batch": f.outcomes.select("suspicious_batch_id", "batch_id"),
+        "suspicious_batch_timestamps": suspicious,
         "warnings": f.warnings,
+        "alerts": f.alerts.select("client_ip", wall("alert_us").alias("alert_timestamp"), "suspicious_batch_id", "overall_score", F.to_json("domain_names").alias("domain_names"), "result"),
+        "logline_timestamps": line,
     }
+
+
+def fill_table(changes: DataFrame) -> DataFrame:
+    """The table of fill levels from their changes."""
+    return batching.levels(changes).select(wall(f"bucket * {FILL_US}").alias("timestamp"), F.lit(BATCHES).alias("stage"), "entry_type", "entry_count")
+
+
+def run_batch(lines: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
+    """The monitoring tables of a run over `lines` (value: a raw line), by name; schemas are those of sources.tables.
+
+    Also valid (parsed lines), scored (series with scores) and warnings. Everything is lazy but the tables that Flow
+    writes. Null and blank lines fail with the reason field_count. An empty table of lines gives empty tables.
+    """
+    f = Flow(lines, options)
+    out = monitoring(f)
+    return out | {"fill_levels": fill_table(out.pop("fill_changes")), "valid": f.table}

@@ -68,9 +68,24 @@ def kafka_options(brokers: str, topic: str, group: str) -> dict[str, str]:
     return {"kafka.bootstrap.servers": brokers, "subscribe": topic, "startingOffsets": "earliest", "groupIdPrefix": group}
 
 
+def read_topic(spark: SparkSession, brokers: str, topic: str, group: str) -> DataFrame:
+    """The lines of a topic as a stream (value, with the message's time as arrival_us); needs Spark's Kafka connector."""
+    source = spark.readStream.format("kafka").options(**kafka_options(brokers, topic, group)).load()
+    return source.select(F.col("value").cast("string").alias("value"), F.unix_micros("timestamp").alias("arrival_us"))
+
+
+def tail_lines(spark: SparkSession, path: str, start: str = "beginning", marks: str | None = None, block: int = 64 << 20) -> DataFrame:
+    """The lines that are appended to a file, or to the files of a folder, as a stream (value, path, offset)."""
+    from hostsieve.sources.tail import TailedLines
+
+    spark.dataSource.register(TailedLines)
+    source = spark.readStream.format("tailed_lines").option("path", path).option("start", start).option("block", block)
+    return (source.option("marks", marks) if marks else source).load()
+
+
 def clean_lines(lines: DataFrame) -> DataFrame:
-    """Stripped, non-empty lines."""
-    return lines.select(F.trim("value").alias("value")).where("value <> ''")
+    """Stripped, non-empty lines; other columns stay."""
+    return lines.withColumn("value", F.trim("value")).where("value <> ''")
 
 
 def read_labelled_csv(spark: SparkSession, path, label: str | None = None, query: str = "Domain", drop=("DGA_family", "Type")) -> DataFrame:
