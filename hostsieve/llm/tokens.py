@@ -27,7 +27,7 @@ WORD_PIECES = rf"{ENDINGS}|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+"
 #: A character outside this class sends its text to the library whole.
 UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ɏ]")
 #: Pre-tokens in the cache at most, and their characters together; beyond, the cache starts anew.
-CACHED, CACHED_CHARS = 1_000_000, 12_000_000
+CACHED, CACHED_CHARS = 600_000, 7_000_000
 #: Characters of texts that are looked up together.
 GROUP = 1 << 21
 
