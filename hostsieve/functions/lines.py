@@ -16,7 +16,7 @@ DOMAIN = r"^(?=.{1,253}$)((?!-)[A-Za-z0-9-]{1,63}(?<!-)\.)+[A-Za-z]{2,63}$"
 SIZE, TIMESTAMP = r"^\d+b$", "%Y-%m-%dT%H:%M:%S.%fZ"
 REQUIRED = ("timestamp", "status_code", "client_ip", "record_type", "domain_name")
 FORBIDDEN = ("logline_id", "batch_id")
-CODES = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%f": "SSSSSS"}
+CODES = {"%Y": "yyyy", "%m": "M", "%b": "MMM", "%B": "MMMM", "%d": "d", "%j": "D", "%H": "H", "%I": "h", "%p": "a", "%M": "m", "%S": "s", "%f": "SSSSSS"}
 
 
 def _ipv6_pattern() -> str:

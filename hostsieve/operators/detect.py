@@ -94,17 +94,24 @@ def report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def classification_report(df: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support of each class, their plain (macro) and weighted means, and the accuracy.
 
-    All follow from the four cells of one confusion matrix; the accuracy stands in all three columns.
+    All are expressions over the four cells of one confusion matrix, so the rows are read once; the accuracy stands in all
+    three columns.
     """
-    row = lambda name, h, p, s: F.struct(F.lit(name).alias("class"), h.alias("h"), p.alias("p"), s.alias("support"))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    one = confusion(df).select(F.inline(F.array(row("0", tn, tn + fn, tn + fp), row("1", tp, tp + fp, tp + fn), row("accuracy", tp + tn, tp + fp + fn + tn, tp + fp + fn + tn))))
-    h, p, s = (F.col(x) for x in ("h", "p", "support"))
-    rates = one.select("class", ratio(h, p).alias("precision"), ratio(h, s).alias("recall"), ratio(2 * h, p + s).alias("f1"), "support")
-    names, classes = ("precision", "recall", "f1"), F.col("class") != "accuracy"
-    macro = rates.where(classes).agg(*(F.avg(c).alias(c) for c in names), F.sum("support").alias("support")).withColumn("class", F.lit("macro"))
-    weighted = rates.where(classes).agg(*(ratio(F.sum(F.col(c) * s), F.sum(s)).alias(c) for c in names), F.sum("support").alias("support")).withColumn("class", F.lit("weighted"))
-    return rates.unionByName(macro).unionByName(weighted).select("class", *(F.round(c, 6).alias(c) for c in names), "support")
+    every = tp + fp + fn + tn
+    rates = lambda h, p, s: (ratio(h, p), ratio(h, s), ratio(2 * h, p + s))
+    zero, one = rates(tn, tn + fn, tn + fp), rates(tp, tp + fp, tp + fn)
+    s0, s1 = tn + fp, tp + fn
+    rows = {
+        "0": (zero, s0),
+        "1": (one, s1),
+        "accuracy": (rates(tp + tn, every, every), every),
+        "macro": ([(a + b) / 2 for a, b in zip(zero, one, strict=True)], every),
+        "weighted": ([ratio(a * s0 + b * s1, every) for a, b in zip(zero, one, strict=True)], every),
+    }
+    names = ("precision", "recall", "f1")
+    made = [F.struct(F.lit(k).alias("class"), *(F.round(v, 6).alias(n) for n, v in zip(names, x, strict=True)), s.alias("support")) for k, (x, s) in rows.items()]
+    return confusion(df).select(F.inline(F.array(*made)))
 
 
 def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -130,33 +137,50 @@ def clean_names(names: list[str]) -> list[str]:
     return out
 
 
-def train(df: DataFrame, kind="rf", features: str = "features", label: str = "label", weight: str | None = None):
-    """A fitted forest (rf), boosted trees (gbt), or any estimator of the caller with features and label columns."""
+def train(df: DataFrame, kind="rf", features: str = "features", label: str = "label", weight: str | None = None, validation: str | None = None, rounds: int | None = None):
+    """A fitted forest (rf), boosted trees (gbt), or any estimator of the caller with features and label columns.
+
+    validation: a boolean column; boosting ends when another round no longer lowers the loss of the rows where it is true,
+    which are not fitted on. rounds: trees of a forest, or rounds of boosting at most.
+    """
     from pyspark.ml import Estimator
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 
     if isinstance(kind, Estimator):
         make = kind.copy()
-    elif kind in ("rf", "gbt"):
-        make = (RandomForestClassifier(numTrees=20, maxDepth=6) if kind == "rf" else GBTClassifier(maxIter=10)).setSeed(108)
+    elif kind == "rf":
+        make = RandomForestClassifier(numTrees=rounds or 20, maxDepth=6, seed=108)
+    elif kind == "gbt":
+        make = GBTClassifier(maxIter=rounds or (100 if validation else 10), seed=108)
     else:
         raise ValueError(kind)
+    if validation:
+        if not make.hasParam("validationIndicatorCol"):
+            raise ValueError(f"{kind} has no rounds that a validation column could end")
+        make = make.setValidationIndicatorCol(validation)
     make = make.setFeaturesCol(features).setLabelCol(label)
     return (make.setWeightCol(weight) if weight else make).fit(df)
 
 
-def tune(df: DataFrame, trials: int = 5, folds: int = 5, seed: int = 108):
-    """Random search over forests by cross validation, for the smallest share of false reports."""
+def tune(df: DataFrame, trials: int = 5, folds: int = 5, seed: int = 108, kind: str = "rf"):
+    """Random search over forests (rf) or boosted trees (gbt) by cross validation, for the smallest share of false reports."""
     import random
 
-    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
 
-    rng, rf = random.Random(seed), RandomForestClassifier(seed=seed)
-    maps = [{rf.numTrees: rng.choice((10, 20, 40)), rf.maxDepth: rng.randint(3, 8)} for _ in range(trials)]
+    rng = random.Random(seed)
+    if kind == "rf":
+        model = RandomForestClassifier(seed=seed)
+        draw = lambda: {model.numTrees: rng.choice((10, 20, 40)), model.maxDepth: rng.randint(3, 8)}
+    elif kind == "gbt":
+        model = GBTClassifier(seed=seed)
+        draw = lambda: {model.maxIter: rng.choice((5, 10, 20)), model.maxDepth: rng.randint(2, 5), model.stepSize: rng.choice((0.05, 0.1, 0.3))}
+    else:
+        raise ValueError(kind)
     judge = MulticlassClassificationEvaluator(metricName="precisionByLabel", metricLabel=1.0)  # 1 - FDR
-    return CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=judge, numFolds=folds, parallelism=4, seed=seed).fit(df)
+    return CrossValidator(estimator=model, estimatorParamMaps=[draw() for _ in range(trials)], evaluator=judge, numFolds=folds, parallelism=4, seed=seed).fit(df)
 
 
 def detect(model, df: DataFrame) -> DataFrame:
@@ -166,16 +190,16 @@ def detect(model, df: DataFrame) -> DataFrame:
     return out.withColumn("p1", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def rules(model, names: list[str]) -> list[str]:
-    """The predicates of the fitted trees' paths to class 1, as SQL text."""
-    out = []
-    for tree in model.trees:
+def leaves(model, names: list[str]) -> list[tuple[str, float]]:
+    """The paths of the fitted trees as SQL predicates, with what their leaves add to the score: of boosted trees, the tree's
+    weight times the leaf's value, so that a row's values together are half of its log odds; of forests, the class."""
+    out, weights = [], model.treeWeights
+    for tree, weight in zip(model.trees, weights, strict=True):
         stack = [(tree._call_java("rootNode"), [])]
         while stack:
             node, path = stack.pop()
             if node.getClass().getSimpleName() == "LeafNode":
-                if node.prediction() == 1.0 and path:
-                    out.append(" AND ".join(path))
+                out.append((" AND ".join(path), weight * node.prediction()))
                 continue
             split = node.split()
             test = f"`{names[split.featureIndex()]}`"
@@ -183,6 +207,11 @@ def rules(model, names: list[str]) -> list[str]:
     return out
 
 
+def rules(model, names: list[str]) -> list[str]:
+    """The predicates of the fitted trees' paths that speak for class 1, as SQL text."""
+    return [path for path, value in leaves(model, names) if value > 0 and path]
+
+
 def rule_quality(df: DataFrame, predicates: list[str]) -> DataFrame:
     """rule, support and precision of each predicate on a labelled table, in one pass; those that no row meets have 0.
 

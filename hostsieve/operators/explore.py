@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hostsieve.operators.numbering import running_sums
+from hostsieve.sources.shared import stored
 
 
 def cdfs(df: DataFrame, x: str, label: str = "label") -> DataFrame:
@@ -29,6 +30,41 @@ def emd(df: DataFrame, x: str) -> DataFrame:
     return cdfs(df, x).agg(F.sum(F.abs(F.col("cdf0") - F.col("cdf1")) * gap).alias("emd"))
 
 
+def long_form(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    """feature, x and label: a row for each column of each row; null values are left out."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("__f")
+    return df.select(F.col(label).alias("label"), each).select("__f.feature", "__f.x", "label").where("x is not null")
+
+
+def distances(df: DataFrame, columns: list[str]) -> DataFrame:
+    """For each column: the Kolmogorov-Smirnov statistic of the two classes, its asymptotic p-value, the sample sizes, and
+    the earth mover's distance.
+
+    Values are counted per column and class, which combines before it shuffles; what is dealt to ranges after that is the
+    distinct values.
+    """
+    per = long_form(df, columns).groupBy("feature", "x").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    sums = running_sums(per, "x", ["n0", "n1"], keys=["feature"])
+    gap = F.abs(F.try_divide("n0", "all_n0") - F.try_divide("n1", "all_n1"))
+    sums = sums.groupBy("feature").agg(F.max(gap).alias("statistic"), F.max("all_n0").alias("n0"), F.max("all_n1").alias("n1"), F.sum(gap * (F.col("next") - F.col("x"))).alias("emd"))
+    p = 2 * F.exp(-2 * F.pow("statistic", F.lit(2)) * F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")))
+    return sums.withColumn("p_value", F.least(F.lit(1.0), p))
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
+    """feature, label, bin and n: rows of each class in equal bins from each column's smallest to its largest value."""
+    per = stored(long_form(df, columns).groupBy("feature", "x", "label").agg(F.count("*").alias("c")))
+    ends = per.groupBy("feature").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    place = F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins) + 1
+    column = F.when(F.col("high") == F.col("low"), 1).otherwise(F.least(place, F.lit(bins))).cast("long")
+    return per.join(ends, "feature").groupBy("feature", "label", column.alias("bin")).agg(F.sum("c").alias("n"))
+
+
+def explained(model) -> list[float]:
+    """The share of the variance of each component of a fitted pca()."""
+    return [float(v) for v in model.explainedVariance]
+
+
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int = 30) -> DataFrame:
     return df.groupBy("label", F.width_bucket(F.col(x).cast("double"), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -69,11 +105,17 @@ def granularity(seconds: Column) -> Column:
     return F.when(seconds <= 300, "second").when(seconds <= 21_600, "minute").when(seconds <= 259_200, "hour").otherwise("day")
 
 
+def filled(ends: DataFrame, name: str, chunk: int = 1 << 16) -> DataFrame:
+    """The numbers from a to b of each row, made in chunks, so that no array grows with their range."""
+    parts = ends.withColumn("__from", F.explode(F.expr(f"sequence(a, b, {chunk})")))
+    return parts.select(F.explode(F.expr(f"sequence(__from, least(__from + {chunk - 1}, b))")).alias(name))
+
+
 def over_time(alerts: DataFrame, bucket_us: int) -> DataFrame:
     """Alerts per interval from the first to the last, intervals without any as 0."""
     per = alerts.groupBy(F.floor(F.col("alert_us") / bucket_us).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
     ends = per.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a is not null")
-    every = ends.select(F.explode(F.sequence("a", "b")).alias("bucket"))
+    every = filled(ends, "bucket")
     return every.join(per, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -81,7 +123,7 @@ def heatmap(alerts: DataFrame, row: Column, column: Column, values: list[int], p
     """Counts by row, one column for each value; rows between the first and the last are filled."""
     per = alerts.select(row.alias("r"), column.alias("c")).groupBy("r").agg(*(F.count_if(F.col("c") == v).alias(f"{prefix}{v}") for v in values))
     ends = per.agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a is not null")
-    every = ends.select(F.explode(F.sequence("a", "b")).alias("r"))
+    every = filled(ends, "r")
     return every.join(per, "r", "left").na.fill(0)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hostsieve.sources.shared import stored
+
 MODES = ("univariate", "multivariate", "ensemble")
 SCORERS = ("zscore", "mad", "knn", "pot", "loda", "custom")
 
@@ -94,18 +96,23 @@ def pot(df: DataFrame, x: str, q: float = 0.9, risk: float = 0.01) -> DataFrame:
 
     The tail is what exceeds the series' q-quantile t; a generalised Pareto distribution is fitted to the excesses by
     their mean m and variance v: shape g = (1 - m^2 / v) / 2, scale s = m (m^2 / v + 1) / 2, or an exponential one where
-    v is 0. The limit is what is exceeded with the given risk. A series without excesses has scores of 0.
+    v is 0. The limit is what is exceeded with the given risk. A series without excesses has scores of 0. The series are
+    written once; quantiles and tails come from the counts of their values, which combine before they shuffle.
     """
-    col, t = F.col(x), F.col("__t")
-    start = df.groupBy("batch_id").agg(F.percentile(x, F.lit(q)).alias("__t"), F.count("*").alias("__all"))
-    over = df.join(start, "batch_id").where(col > t).groupBy("batch_id").agg(F.count("*").alias("__k"), F.avg(col - t).alias("__m"), F.var_pop(col - t).alias("__v"))
+    df = stored(df)
+    values = stored(df.groupBy("batch_id", F.col(x).alias("__x")).agg(F.count("*").alias("__c")))
+    start = values.groupBy("batch_id").agg(F.percentile("__x", F.lit(q), F.col("__c")).alias("__t"), F.sum("__c").alias("__all"))
+    over, c, t = values.join(start, "batch_id").where("__x > __t"), F.col("__c"), F.col("__t")
+    excess = F.col("__x") - t
+    over = over.groupBy("batch_id", "__t", "__all").agg(F.sum("__c").alias("__k"), F.sum(excess * c).alias("__e"), F.sum(excess * excess * c).alias("__q"))
+    over = over.withColumn("__m", F.col("__e") / F.col("__k")).withColumn("__v", F.col("__q") / F.col("__k") - F.col("__m") * F.col("__m"))
     ratio = F.when(F.col("__v") > 1e-9, F.pow("__m", F.lit(2)) / F.col("__v")).otherwise(1.0)
-    tail = start.join(over, "batch_id").select("batch_id", "__t", ((1 - ratio) / 2).alias("__g"), (F.col("__m") * (ratio + 1) / 2).alias("__s"), (F.lit(risk) * F.col("__all") / F.col("__k")).alias("__p"))
-    g, s, p = (F.col(c) for c in ("__g", "__s", "__p"))
+    tail = over.select("batch_id", "__t", ((1 - ratio) / 2).alias("__g"), (F.col("__m") * (ratio + 1) / 2).alias("__s"), (F.lit(risk) * F.col("__all") / F.col("__k")).alias("__p"))
+    g, s, p = (F.col(n) for n in ("__g", "__s", "__p"))
     limit = t + F.when(F.abs(g) < 1e-9, -s * F.ln(p)).otherwise(s / g * (F.pow(p, -g) - 1))
-    tail = tail.select("batch_id", F.greatest(limit, t).alias("__limit"), "__s")
-    excess = F.greatest(col - F.col("__limit"), F.lit(0.0)) / s
-    return df.join(tail, "batch_id", "left").withColumn("score", F.coalesce(excess, F.lit(0.0))).drop("__limit", "__s")
+    tail = stored(tail.select("batch_id", F.greatest(limit, t).alias("__limit"), "__s"))
+    beyond = F.greatest(F.col(x) - F.col("__limit"), F.lit(0.0)) / s
+    return df.join(tail, "batch_id", "left").withColumn("score", F.coalesce(beyond, F.lit(0.0))).drop("__limit", "__s")
 
 
 def projections(columns: list[str], n: int, seed: int) -> list[list[float]]:
@@ -119,17 +126,21 @@ def projections(columns: list[str], n: int, seed: int) -> list[list[float]]:
 def loda(df: DataFrame, columns: list[str], n: int = 10, bins: int = 20, seed: int = 1) -> DataFrame:
     """Random projections of standardised columns with histograms over the table; adds score, the mean negative log density.
 
-    The histograms are as many rows as there are bins of projections, whatever the table's size.
+    The rows are written once with their bins. The histograms combine before they shuffle, and each is joined by itself, so
+    a row never moves where Spark finds a histogram small enough to broadcast.
     """
     stats = df.agg(*(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))), F.count("*").alias("n")).first()
     parts = []
     for w in projections(columns, n, seed):
         parts.append(sum(((F.col(c) - F.lit(stats[f"m_{c}"])) / (stats[f"s_{c}"] or 1.0) * v for c, v in zip(columns, w, strict=True)), F.lit(0.0)))
-    df = df.withColumn("__bins", F.array(*(F.floor(p * bins / 6) for p in parts)))
-    long = df.select("batch_id", "step", F.posexplode("__bins").alias("p", "bin"))
-    density = long.groupBy("p", "bin").agg(F.count("*").alias("c"))
-    score = long.join(density, ["p", "bin"]).groupBy("batch_id", "step").agg(F.avg(-F.log(F.col("c") / stats["n"])).alias("score"))
-    return df.drop("__bins").join(score, ["batch_id", "step"])
+    df = stored(df.withColumns({f"__b{k}": F.floor(p * bins / 6) for k, p in enumerate(parts)}))
+    long = df.select(F.posexplode(F.array(*(f"__b{k}" for k in range(n)))).alias("p", "bin"))
+    density = stored(long.groupBy("p", "bin").agg(F.count("*").alias("c")))
+    for k in range(n):
+        own = density.where(F.col("p") == k).select(F.col("bin").alias(f"__b{k}"), (-F.log(F.col("c") / stats["n"])).alias(f"__d{k}"))
+        df = df.join(own, f"__b{k}")
+    score = sum((F.col(f"__d{k}") for k in range(n)), F.lit(0.0)) / n
+    return df.withColumn("score", score).drop(*(f"__{x}{k}" for x in "bd" for k in range(n)))
 
 
 def custom(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], columns: str = "batch_id string, step long, n long, size double") -> DataFrame:
@@ -142,6 +153,45 @@ def custom(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], columns:
     return df.groupBy("batch_id").applyInPandas(run, f"{columns}, score double")
 
 
+#: What each model adds to a series as the column score; further ones by custom().
+MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "zscore": lambda df: df.withColumn("score", normalised(zscore("n"))),
+    "mad": lambda df: df.withColumn("score", normalised(mad("n"))),
+    "knn": lambda df: df.withColumn("score", normalised(knn("n"))),
+    "pot": lambda df: pot(df, "n").withColumn("score", normalised(F.col("score"))),
+    "loda": lambda df: loda(df, ["n", "size"]).withColumn("score", normalised(F.col("score"))),
+}
+#: The models that see more than the number of lines.
+MANY = ("loda",)
+
+
+def scorer(mode: str, models: list[str], combine: str = "weight", threshold: float = 0.5, own: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """The function that adds score to series (batch_id, step, n, size) by the named models.
+
+    univariate and multivariate take the first model, which must be of that kind; ensemble takes all, as the mean of
+    their scores (weight) or the share of those that reach the threshold (vote). own: what the model named custom does.
+    """
+    models = check_inspection(mode, models)
+    if combine not in ("weight", "vote"):
+        raise NotImplementedError(f"combine {combine}")
+    if mode == "univariate" and models[0] in MANY or mode == "multivariate" and models[0] not in (*MANY, "custom"):
+        raise NotImplementedError(f"{models[0]} is not {mode}")
+    if "custom" in models and own is None:
+        raise ValueError("the model custom needs a function")
+    steps = [(m, own if m == "custom" else MODELS[m]) for m in models]
+
+    def score(df: DataFrame) -> DataFrame:
+        if len(steps) == 1:
+            return steps[0][1](df)
+        for name, step in steps:
+            df = step(df).withColumnRenamed("score", f"__{name}")
+        names = [f"__{name}" for name, _ in steps]
+        column = weighted(dict.fromkeys(names, 1.0)) if combine == "weight" else vote(names, threshold)
+        return df.withColumn("score", column).drop(*names)
+
+    return score
+
+
 def weighted(scores: dict[str, float]) -> Column:
     return sum((F.col(c) * w for c, w in scores.items()), F.lit(0.0)) / sum(scores.values())
 

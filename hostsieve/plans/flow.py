@@ -32,14 +32,12 @@ def rule_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("p1", detect.rule_probability())
 
 
-def zscores(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", series.normalised(series.zscore("n")))
-
-
 @dataclass(frozen=True)
 class Options:
-    """batch_lines: lines of a batch; where it is None, batches are intervals of batch_us. score: adds score to a series
-    (batch_id, step, n, size); classify: adds p1 to lines (domain_name)."""
+    """batch_lines: lines of a batch; where it is None, batches are intervals of batch_us. mode, models and combine choose
+    how series are scored (see series.scorer); score, a function that adds score to a series (batch_id, step, n, size),
+    takes the place of the model named custom, or of all where no models are named. classify: adds p1 to lines
+    (domain_name)."""
 
     format: LineFormat = DEFAULT
     prefix4: int = 24
@@ -47,7 +45,10 @@ class Options:
     batch_us: int = 30_000_000
     batch_lines: int | None = None
     step_us: int = 20_000
-    score: Callable[[DataFrame], DataFrame] = zscores
+    mode: str = "univariate"
+    models: tuple[str, ...] = ("zscore",)
+    combine: str = "weight"
+    score: Callable[[DataFrame], DataFrame] | None = None
     score_threshold: float = 0.5
     anomaly_threshold: float = 0.01
     classify: Callable[[DataFrame], DataFrame] = rule_scores
@@ -55,6 +56,15 @@ class Options:
     model: str = "rule"
     sha256: str = ""
 
+    @property
+    def scorer(self) -> Callable[[DataFrame], DataFrame]:
+        if not self.models and self.score:
+            return self.score
+        return series.scorer(self.mode, list(self.models), self.combine, self.score_threshold, self.score)
+
+    def __post_init__(self):
+        _ = self.scorer  # what can't be done is told at once
+
 
 class Flow:
     """The stages for one table of lines: value, and if it has them logline_id, arrival_us and further columns.
@@ -121,7 +131,7 @@ class Flow:
 
     @property
     def scored(self) -> DataFrame:
-        return self.options.score(self.series())
+        return self.options.scorer(self.series())
 
     @cached_property
     def verdicts(self) -> DataFrame:

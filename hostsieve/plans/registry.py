@@ -13,10 +13,10 @@ from hostsieve.functions.lines import DEFAULT, is_ip, is_timestamp, matches, net
 from hostsieve.operators import batching, detect, explore, series
 from hostsieve.plans import flow
 from hostsieve.plans.flow import DETECTOR, Flow, Options
+from hostsieve.plans.steps import DAY, HOUR, SIZE, STEPS, sql_entropy
 from hostsieve.sources import tables
 from hostsieve.sources.shared import shared_dir, stored
 
-DAY, HOUR, SIZE = 86_400_000_000, 3_600_000_000, 100
 Made = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Made] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,71 +46,6 @@ class Given(Flow):
         return flow.rule_scores(self.valid).select("logline_id", "subnet_id", "domain_name", "class", "record_type", "fqdn_entropy", label.alias("label"), prediction.alias("prediction"))
 
 
-_FIELDS = ('"timestamp"', "status_code", "client_ip", "dns_server_ip", "domain_name", "record_type", "response_ip", "size")
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-
-
-def sql_entropy(text: str) -> str:
-    """SQL for the entropy of a text's characters."""
-    p = f"((length({text}) - length(replace({text}, c, ''))) / length({text}))"
-    return f"CASE WHEN length({text}) > 0 THEN list_sum(list_transform(list_filter(list_distinct(string_split({text},'')), lambda c: c <> ''), lambda c: -{p} * log2({p}))) ELSE 0.0 END"
-
-
-#: Steps as SQL over the same tables; a query's SQL selects from these.
-STEPS = f"""
-h AS (SELECT page_id, regexp_extract(url,'^[a-z]+://([^/:?#]+)',1) host FROM pages), np AS (SELECT count(*) c FROM pages),
-made AS (SELECT event_id logline_id, epoch_us(ts) us, CASE WHEN event_id % 89 = 7 THEN strftime(ts,'%Y-%m-%d') ELSE strftime(ts,'%Y-%m-%dT%H:%M:%S.%fZ') END AS "timestamp",
- CASE WHEN event_type='error' THEN 'NXDOMAIN' ELSE 'NOERROR' END status_code,
- CASE WHEN user_id % 29 = 3 THEN 'fd00:0:0:' || (user_id % 7 + 1) || '::' || (user_id % 251 + 1) ELSE '192.168.' || (user_id % 7) || '.' || (user_id % 251 + 1) END client_ip, '10.10.0.' || (event_id % 10 + 1) dns_server_ip,
- CASE WHEN event_id % 173 = 11 THEN repeat('abcdefghi.', 26) || 'com' WHEN event_id % 4 = 0 THEN substr(md5(cast(event_id AS varchar)),1,16) || '.com' ELSE host END domain_name,
- CASE WHEN event_id % 11 = 0 THEN 'CNAME' WHEN event_id % 2 = 0 THEN 'A' ELSE 'AAAA' END record_type,
- CASE WHEN event_id % 101 = 0 THEN '10.0.0.300' ELSE '10.0.0.' || (event_id % 250 + 1) END response_ip,
- cast(floor(value) AS int) || 'b' size, CASE WHEN event_id % 4 = 0 THEN 'dga' ELSE 'legit' END class
- FROM events CROSS JOIN np JOIN h ON h.page_id = event_id % np.c),
-lines AS (SELECT *, CASE WHEN logline_id % 211 = 1 THEN '  ' WHEN logline_id % 97 = 5 THEN concat_ws(' ',{",".join(_FIELDS[:-1])}) ELSE concat_ws(' ',{",".join(_FIELDS)}) END AS value FROM made),
-tests AS (SELECT *, CASE WHEN trim(value) = '' THEN 0 ELSE len(string_split(trim(value),' ')) END n_fields, try_strptime("timestamp",'%Y-%m-%dT%H:%M:%S.%fZ') IS NOT NULL ok_ts,
- record_type IN ('A','AAAA') ok_type, regexp_full_match(response_ip,'{_OCTET}(\\.{_OCTET}){{3}}') ok_ip,
- length(domain_name) <= 253 AND regexp_full_match(domain_name,'([A-Za-z0-9]([A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\\.)+[A-Za-z]{{2,63}}') ok_domain, regexp_full_match(size,'[0-9]+b') ok_size FROM lines),
-valid AS (SELECT *, CASE WHEN contains(client_ip,':') THEN regexp_replace(client_ip,'::.*$','::') || '_64' ELSE regexp_replace(client_ip,'[0-9]+$','0') || '_24' END subnet_id FROM tests WHERE n_fields = 8 AND ok_ts AND ok_type AND ok_ip AND ok_domain AND ok_size),
-by_size AS (SELECT *, (row_number() OVER (PARTITION BY subnet_id ORDER BY us, logline_id) - 1) // {SIZE} b FROM valid),
-by_time AS (SELECT *, us // {DAY} b FROM valid),
-own AS (SELECT subnet_id, b, min(us) own_begin, max(us) end_us, count(*) n FROM by_time GROUP BY ALL),
-bnd AS (SELECT o.subnet_id, o.b, coalesce(p.own_begin, o.own_begin) begin_us, o.end_us, o.n, coalesce(p.n, 0) n0, o.subnet_id || '#' || o.b batch_id FROM own o LEFT JOIN own p ON p.subnet_id = o.subnet_id AND p.b = o.b - 1),
-batches AS (SELECT t.* EXCLUDE (b), x.b, x.batch_id, x.begin_us, x.end_us, CASE WHEN t.b = x.b THEN 1 ELSE 0 END part FROM by_time t JOIN bnd x ON x.subnet_id = t.subnet_id AND (x.b = t.b OR x.b = t.b + 1)),
-relevant AS (SELECT * FROM batches WHERE status_code = 'NXDOMAIN'),
-axis AS (SELECT batch_id, begin_us, unnest(range(0, cast(ceil((end_us - begin_us + {HOUR}) / {HOUR}) AS bigint))) step FROM bnd),
-placed AS (SELECT *, (us - begin_us) // {HOUR} step FROM relevant WHERE us BETWEEN begin_us AND end_us),
-per AS (SELECT batch_id, step, count(*) n, avg(cast(replace(size,'b','') AS int)) size FROM placed GROUP BY ALL),
-series AS (SELECT a.batch_id, a.step, coalesce(n,0) n, coalesce(size,0.0) size FROM axis a LEFT JOIN per p ON p.batch_id = a.batch_id AND p.step = a.step),
-raw_score AS (SELECT batch_id, step, n, CASE WHEN count(n) OVER w < 5 OR stddev_pop(n) OVER w = 0 THEN 0.0 ELSE coalesce(abs(n - avg(n) OVER w) / stddev_pop(n) OVER w, 0.0) END s FROM series WINDOW w AS (PARTITION BY batch_id ORDER BY step ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
-scored AS (SELECT *, 1 - exp(-s / 3) score FROM raw_score),
-suspicious AS (SELECT batch_id, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) share FROM scored GROUP BY 1 HAVING avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) > 0.01),
-clients AS (SELECT r.*, md5(r.batch_id || '|' || client_ip) suspicious_batch_id FROM relevant r JOIN suspicious USING (batch_id)),
-entropy AS (SELECT domain_name, {sql_entropy("domain_name")} fqdn_entropy FROM (SELECT DISTINCT domain_name FROM valid)),
-probable AS (SELECT domain_name, fqdn_entropy, CASE WHEN len(string_split(domain_name,'.')) = 2 AND fqdn_entropy > 3.3 THEN least(1.0, fqdn_entropy / 4) ELSE 0.0 END p1 FROM entropy),
-warned AS (SELECT c.*, p1 FROM clients c JOIN probable USING (domain_name) WHERE p1 > 0.5),
-alerts AS (SELECT suspicious_batch_id, batch_id, client_ip, median(p1) overall_score, list_sort(list(DISTINCT domain_name)) domain_names, max(us) alert_us, count(*) n_warnings,
- '[' || string_agg('{{"request":"' || domain_name || '","probability":' || round(p1,6) || ',"model":"rule","sha256":""}}', ',' ORDER BY domain_name) || ']' AS result FROM warned GROUP BY ALL),
-judged AS (SELECT logline_id, subnet_id, domain_name, class, record_type, fqdn_entropy, CASE WHEN class='legit' THEN 0 ELSE 1 END label, CASE WHEN p1 > 0.5 THEN 1 ELSE 0 END prediction FROM valid JOIN probable USING (domain_name)),
-conf AS (SELECT count(*) FILTER (label=1 AND prediction=1) tp, count(*) FILTER (label=0 AND prediction=1) fp, count(*) FILTER (label=1 AND prediction=0) fn, count(*) FILTER (label=0 AND prediction=0) tn FROM judged),
-lv AS (SELECT *, string_split(domain_name,'.') labels FROM valid),
-levels AS (SELECT *, domain_name fqdn, CASE WHEN len(labels)>1 THEN labels[-2] ELSE '' END secondleveldomain, CASE WHEN len(labels)>1 THEN array_to_string(labels[:-3],'.') ELSE '' END thirdleveldomain FROM lv),
-bc AS (SELECT b.*, coalesce(m,0) m, s.batch_id IS NOT NULL bad FROM bnd b LEFT JOIN (SELECT batch_id, count(*) m FROM relevant GROUP BY 1) r ON r.batch_id = b.batch_id LEFT JOIN suspicious s ON s.batch_id = b.batch_id),
-bev AS (SELECT batch_id AS key, '{flow.BATCHES}' stage, 'completed' status, true is_active, end_us us, n message_count, 2 rank FROM bc
- UNION ALL SELECT batch_id, '{flow.PREFILTER}', 'in_process', true, end_us, n + n0, 3 FROM bc
- UNION ALL SELECT batch_id, '{flow.PREFILTER}', CASE WHEN m > 0 THEN 'finished' ELSE 'filtered_out' END, m > 0, end_us, m, 4 FROM bc
- UNION ALL SELECT batch_id, '{flow.INSPECTOR}', 'in_process', true, end_us, m, 5 FROM bc WHERE m > 0
- UNION ALL SELECT batch_id, '{flow.INSPECTOR}', 'filtered_out', false, end_us, m, 6 FROM bc WHERE m > 0 AND NOT bad
- UNION ALL SELECT subnet_id || '#' || b, '{flow.BATCHES}', 'waiting', true, us, row_number() OVER (PARTITION BY subnet_id, b ORDER BY us, logline_id), 1 FROM by_time),
-sev AS (SELECT suspicious_batch_id AS key, client_ip, us, m message_count, unnest(['{flow.INSPECTOR}','{flow.DETECTOR}','{flow.DETECTOR}']) stage, unnest(['finished','in_process', CASE WHEN found THEN 'finished' ELSE 'filtered_out' END]) status, unnest([true,true,false]) is_active, unnest([1,2,3]) rank
- FROM (SELECT c.suspicious_batch_id, c.client_ip, max(c.end_us) us, count(*) m, c.suspicious_batch_id IN (SELECT suspicious_batch_id FROM alerts) found FROM clients c GROUP BY ALL)),
-lev AS (SELECT logline_id AS key, us, unnest(['{flow.COLLECTOR}','{flow.COLLECTOR}','{flow.BATCHES}','{flow.BATCHES}']) stage, unnest(['in_process','finished','in_process','batched']) status, true is_active, unnest([1,2,3,4]) rank FROM valid
- UNION ALL SELECT logline_id, us, '{flow.PREFILTER}', 'filtered_out', false, 5 FROM valid WHERE status_code <> 'NXDOMAIN'
- UNION ALL SELECT logline_id, end_us, '{flow.INSPECTOR}', 'filtered_out', false, 6 FROM (SELECT DISTINCT logline_id, batch_id, end_us FROM relevant WHERE batch_id NOT IN (SELECT batch_id FROM suspicious))
- UNION ALL SELECT logline_id, end_us, '{flow.DETECTOR}', CASE WHEN suspicious_batch_id IN (SELECT suspicious_batch_id FROM alerts) THEN 'detected' ELSE 'filtered_out' END, false, 7 FROM (SELECT DISTINCT logline_id, suspicious_batch_id, end_us FROM clients))
-"""
-
-
 def query(name: str, sql: str | None = None):
     """Registers a function of the stages under a name, with the SQL that gives the same rows."""
 
@@ -253,6 +188,10 @@ _TWO = f"SELECT a.batch_id, a.step, a.score z, 1 - exp(-g.s / 3) g FROM scored a
 _two = lambda f: f.series().select("batch_id", "step", series.normalised(series.zscore("n")).alias("z"), series.normalised(series.zscore("n", None)).alias("g"))
 query("score_weight", f"SELECT batch_id, step, round((z * 2 + g) / 3, 6) score FROM ({_TWO})")(lambda f: _two(f).select("batch_id", "step", r6(series.weighted({"z": 2.0, "g": 1.0})).alias("score")))
 query("score_vote", f"SELECT batch_id, step, (CASE WHEN z >= 0.5 THEN 1.0 ELSE 0.0 END + CASE WHEN g >= 0.5 THEN 1.0 ELSE 0.0 END) / 2 score FROM ({_TWO})")(lambda f: _two(f).select("batch_id", "step", series.vote(["z", "g"], 0.5).alias("score")))
+_ENSEMBLE = f"""
+z AS (SELECT batch_id, step, score z FROM scored), g AS (SELECT batch_id, step, 1 - exp(-CASE WHEN len(h) < 5 THEN 0.0 ELSE list_sum(list_sort(list_transform(h, lambda v: abs(v - n)))[1:3]) / 3 END / 3) g FROM ({_SEEN}))"""
+QUERIES["score_ensemble"] = lambda spark, sf_dir: series.scorer("ensemble", ["zscore", "knn"])(Given(spark, sf_dir).series()).select("batch_id", "step", r6(F.col("score")).alias("score"))
+ORACLE_SQL["score_ensemble"] = f"WITH {STEPS}, {_ENSEMBLE} SELECT z.batch_id, z.step, round((z + g) / 2, 6) score FROM z JOIN g ON g.batch_id = z.batch_id AND g.step = z.step"
 query("suspicious_batches", "SELECT batch_id, round(share,6) share FROM suspicious")(lambda f: f.verdicts.select("batch_id", r6(F.col("share")).alias("share")))
 query("suspicious_by_client", "SELECT DISTINCT suspicious_batch_id, batch_id, client_ip FROM clients")(lambda f: f.by_client.select("suspicious_batch_id", "batch_id", "client_ip").distinct())
 query("inspector_filtered", "SELECT DISTINCT logline_id, batch_id FROM relevant WHERE batch_id NOT IN (SELECT batch_id FROM suspicious)")(
@@ -281,6 +220,7 @@ _q = ", ".join(
         *(f"round({sql_entropy(v)}, 5) {v}_entropy" for v in ft.LEVELS),
     ]
 )
+_q_all = _q
 query("features_all", f"SELECT logline_id, {_q} FROM levels")(lambda f: f.features.select("logline_id", *(F.round(c.cast("double"), 5).alias(n) for n, c in ft.all_features().items())))
 query("preprocess_domains", "SELECT domain_name AS query, min(class) class, any_value(labels[-1]) tld, any_value(secondleveldomain) secondleveldomain FROM (SELECT * FROM levels WHERE len(labels) > 1) GROUP BY 1")(
     lambda f: ft.preprocess(f.valid.select(F.col("domain_name").alias("query"), "class")).select("query", "class", "tld", "secondleveldomain")
@@ -325,6 +265,28 @@ query("alert_lineage", "SELECT a.suspicious_batch_id, a.batch_id, b.logline_id,
     lambda f: f.alerts.select("suspicious_batch_id", "batch_id", "client_ip").join(f.batches.select("batch_id", "client_ip", "logline_id", "part"), ["batch_id", "client_ip"]).select("suspicious_batch_id", "batch_id", "logline_id", "part")
 )
 
+
+def _repeated(f: Given) -> DataFrame:
+    """Rows and line ids in the tables of a run over lines without ids, of which every fifth occurs twice."""
+    again = f.given.where("logline_id % 5 = 0")
+    out = None
+    for name, df in flow.monitoring(Flow(f.given.select("value").unionByName(again.select("value")), f.options)).items():
+        if name in ("server_logs", "failed_dns_loglines", "dns_loglines", "logline_to_batches", "logline_timestamps"):
+            key = next((c for c in ("logline_id", "message_id") if c in df.columns), None)
+            ids = F.countDistinct(key) if key else F.lit(0)
+            row = df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), ids.cast("long").alias("ids"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+_TWICE = "(SELECT * FROM {0} UNION ALL SELECT * FROM {0} WHERE logline_id % 5 = 0)"
+_GONE = "(SELECT * FROM lines WHERE logline_id NOT IN (SELECT logline_id FROM valid))"
+query(
+    "repeated_lines",
+    " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) n, count(*) ids FROM {_TWICE.format(rows)}" for name, rows in (("server_logs", "lines"), ("dns_loglines", "valid"), ("logline_to_batches", "valid")))
+    + f" UNION ALL SELECT 'failed_dns_loglines', count(*), 0 FROM {_TWICE.format(_GONE)}",
+)(lambda f: _repeated(f).where("name <> 'logline_timestamps'"))
+
 # Dashboards
 query("granularity", "SELECT subnet_id, CASE WHEN s <= 300 THEN 'second' WHEN s <= 21600 THEN 'minute' WHEN s <= 259200 THEN 'hour' ELSE 'day' END granularity FROM (SELECT subnet_id, (max(us) - min(us)) / 1e6 s FROM valid GROUP BY 1)")(
     lambda f: f.valid.groupBy("subnet_id").agg(((F.max("us") - F.min("us")) / 1e6).alias("s")).select("subnet_id", explore.granularity(F.col("s")).alias("granularity"))
@@ -446,7 +408,9 @@ def _named_csvs(f: Given, most: int | None = None) -> DataFrame:
     """A folder of CSVs for each class, whose name ends in the class."""
     path = shared_dir(f.spark)
     kind = F.when(F.col("class") == "legit", "benign").otherwise(F.col("class"))
-    f.valid.select("domain_name", "logline_id", kind.alias("names")).coalesce(1).write.partitionBy("names").csv(path)
+    rows = f.valid.select("domain_name", "logline_id", kind.alias("names"))
+    rows = rows if most is None else rows.repartition("names")  # the cap is for each file: one for each class
+    rows.write.partitionBy("names").csv(path)
     return tables.read_named_csvs(f.spark, path, "names=([a-z]+)/", most)
 
 
@@ -483,10 +447,10 @@ def _catalog(f: Given) -> DataFrame:
 
 def _cached_features(f: Given) -> DataFrame:
     """Basic features from a cache, which is asked for twice and made once."""
-    path = shared_dir(f.spark)
+    path, options = shared_dir(f.spark), {"features": list(ft.basic())}
     rows = f.features.select("logline_id", "class", *(c.cast("long").alias(n) for n, c in ft.basic().items()))
-    tables.feature_cache(rows, path, "lines")
-    return tables.feature_cache(rows, path, "lines").select("logline_id", "class", "label_length", "label_max", "label_average", "dataset")
+    tables.feature_cache(rows, path, "lines", options)
+    return tables.feature_cache(rows, path, "lines", options).select("logline_id", "class", "label_length", "label_max", "label_average", "dataset")
 
 
 query("load_labelled_csv", "SELECT domain_name AS query, 'malicious' AS class FROM valid")(_labelled_csv)
@@ -525,6 +489,27 @@ query("emd", f"SELECT round(sum(abs(c0 - c1) * g),6) emd FROM (SELECT *, lead(x)
 query("histogram", "SELECT label, CASE WHEN x < 0 THEN 0 WHEN x >= 60 THEN 31 ELSE cast(floor(x / 2) AS bigint) + 1 END bin, count(*) n FROM (SELECT label, length(domain_name) x FROM judged) GROUP BY ALL")(lambda f: explore.histogram(_len(f), "x", 0, 60))
 query("clip_outliers", "SELECT logline_id FROM judged j JOIN (SELECT label, quantile_cont(length(domain_name), 0.99) q FROM judged GROUP BY 1) k ON k.label = j.label WHERE length(domain_name) <= q")(lambda f: explore.clip_outliers(_len(f), "x").select("logline_id"))
 
+_X = f"SELECT label, feature, cast(x AS double) x FROM (UNPIVOT (SELECT label, {_q_all} FROM levels JOIN (SELECT logline_id id, label FROM judged) ON id = logline_id) ON COLUMNS(* EXCLUDE (label)) INTO NAME feature VALUE x)"
+_CDFS = """n AS (SELECT feature, x, count(*) FILTER (label = 0) n0, count(*) FILTER (label = 1) n1 FROM xs GROUP BY ALL),
+c AS (SELECT feature, x, sum(n0) OVER w / sum(n0) OVER v c0, sum(n1) OVER w / sum(n1) OVER v c1, lead(x) OVER (PARTITION BY feature ORDER BY x) - x g, cast(sum(n0) OVER v AS bigint) m0, cast(sum(n1) OVER v AS bigint) m1
+ FROM n WINDOW w AS (PARTITION BY feature ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY feature)),
+k AS (SELECT feature, max(abs(c0 - c1)) d, any_value(m0) n0, any_value(m1) n1, coalesce(sum(abs(c0 - c1) * g), 0.0) emd FROM c GROUP BY 1)"""
+
+
+def _features(f: Given) -> DataFrame:
+    """label and the 44 features of each valid line."""
+    label = F.when(F.col("class") == "legit", 0).otherwise(1)
+    return f.features.select(label.alias("label"), *(F.round(c.cast("double"), 5).alias(n) for n, c in ft.all_features().items()))
+
+
+query("ks_all", f"SELECT feature, round(d, 6) statistic, n0, n1, round(least(1.0, 2 * exp(-2 * d * d * n0 * n1 / (n0 + n1))), 6) p_value, round(emd, 5) emd FROM k")(
+    lambda f: explore.distances(_features(f), list(ft.all_features())).select("feature", r6(F.col("statistic")).alias("statistic"), "n0", "n1", r6(F.col("p_value")).alias("p_value"), F.round(F.coalesce("emd", F.lit(0.0)), 5).alias("emd"))
+)
+ORACLE_SQL["ks_all"] = ORACLE_SQL["ks_all"].replace(" SELECT feature, round(d", f", xs AS ({_X}), {_CDFS} SELECT feature, round(d")
+_BIN = "CASE WHEN high = low THEN 1 ELSE least(cast(floor((x - low) / (high - low) * 30) AS bigint) + 1, 30) END"
+QUERIES["histogram_all"] = lambda spark, sf_dir: explore.histograms(_features(Given(spark, sf_dir)), list(ft.all_features()))
+ORACLE_SQL["histogram_all"] = f"WITH {STEPS}, xs AS ({_X}), e AS (SELECT feature, min(x) low, max(x) high FROM xs GROUP BY 1) SELECT xs.feature, label, {_BIN} bin, count(*) n FROM xs JOIN e ON e.feature = xs.feature GROUP BY ALL"
+
 
 def _components(f: Given) -> DataFrame:
     from pyspark.ml.functions import vector_to_array

@@ -3,7 +3,7 @@
     spark.dataSource.register(JsonLines)
     alerts.write.format("json_lines").mode("append").option("path", "/out/alerts").option("trigger", "17").save()
 
-A task writes a file of its own below _staging, a group of rows at a time. The driver moves the files of successful tasks to
+A task writes a file of its own below _staging and the write's own folder there, a group of rows at a time. The driver moves the files of successful tasks to
 names made of the trigger and the partition. What an earlier, unfinished commit of the same trigger left is removed first,
 so a task or a trigger that runs again leaves each row once. A reader that skips names with an underscore sees no staged
 file.
@@ -48,26 +48,23 @@ class Lines:
 
     def __init__(self, options: dict[str, str]):
         self.path, self.group, self.trigger = options["path"], int(options.get("rows", 50)), options.get("trigger")
+        self.job = uuid.uuid4().hex  # of this write, or of this run of a stream
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         fs, base = FileSystem.from_uri(self.path)
-        fs.create_dir(f"{base}/_staging", recursive=True)
-        staged = Staged(f"{base}/_staging/{uuid.uuid4().hex}.json", TaskContext.get().partitionId(), 0)
+        fs.create_dir(f"{base}/_staging/{self.job}", recursive=True)
+        staged = Staged(f"{base}/_staging/{self.job}/{uuid.uuid4().hex}.json", TaskContext.get().partitionId(), 0)
         group: list[str] = []
-        try:
-            with fs.open_output_stream(staged.name) as out:
-                for row in iterator:
-                    group.append(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False) + "\n")
-                    staged.rows += 1
-                    if len(group) == self.group:
-                        out.write("".join(group).encode())
-                        group = []
-                out.write("".join(group).encode())
-        except BaseException:
-            fs.delete_file(staged.name)
-            raise
+        with fs.open_output_stream(staged.name) as out:
+            for row in iterator:
+                group.append(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False) + "\n")
+                staged.rows += 1
+                if len(group) == self.group:
+                    out.write("".join(group).encode())
+                    group = []
+            out.write("".join(group).encode())
         return staged
 
     def move(self, messages: list[WriterCommitMessage | None], trigger: str) -> None:
@@ -79,14 +76,13 @@ class Lines:
         for m in messages:
             if m is not None and m.rows:
                 fs.move(m.name, f"{base}/{prefix}{m.partition:05d}.json")
-            elif m is not None:
-                fs.delete_file(m.name)
+        self.drop()
 
-    def drop(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, _ = FileSystem.from_uri(self.path)
-        for m in messages:
-            if m is not None and fs.get_file_info(m.name).type == FileType.File:
-                fs.delete_file(m.name)
+    def drop(self) -> None:
+        """Removes what this write has staged, also by tasks that failed and told nothing."""
+        fs, base = FileSystem.from_uri(self.path)
+        if fs.get_file_info(f"{base}/_staging/{self.job}").type == FileType.Directory:
+            fs.delete_dir(f"{base}/_staging/{self.job}")
 
 
 class LinesWriter(Lines, DataSourceWriter):
@@ -94,7 +90,7 @@ class LinesWriter(Lines, DataSourceWriter):
         self.move(messages, f"{int(self.trigger):010d}" if self.trigger else uuid.uuid4().hex)
 
     def abort(self, messages) -> None:
-        self.drop(messages)
+        self.drop()
 
 
 class StreamLinesWriter(Lines, DataSourceStreamWriter):
@@ -102,4 +98,4 @@ class StreamLinesWriter(Lines, DataSourceStreamWriter):
         self.move(messages, f"{batchId:010d}")
 
     def abort(self, messages, batchId: int) -> None:
-        self.drop(messages)
+        self.drop()

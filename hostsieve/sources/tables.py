@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -145,17 +147,30 @@ def load_dataset(spark: SparkSession, source, reader: Callable[[SparkSession, st
     return reader(spark, source) if reader else spark.read.csv(source, header=True)
 
 
-def feature_cache(df: DataFrame, path: str, dataset: str) -> DataFrame:
-    """The rows of df as a table at path, partitioned by dataset; a dataset that is there is read and not made again.
+def fingerprint(df: DataFrame, options: dict | None = None) -> str:
+    """SHA-256 of what rows are made of: the canonical plan, the folders that it reads, and options."""
+    plan = df._jdf.queryExecution().analyzed()
+    leaves, places = plan.collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            places.append(leaf.relation().location().rootPaths().mkString(","))
+    text = json.dumps([plan.canonicalized().toString(), sorted(places), options or {}], sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()
 
-    The dataset's name should name the options that its rows were made with, as it alone tells caches apart.
+
+def feature_cache(df: DataFrame, path: str, dataset: str, options: dict | None = None) -> DataFrame:
+    """The rows of df as a table at path, partitioned by dataset and by the fingerprint of df's plan and of the options.
+
+    Rows that are there are read and not made again; another plan, another source or a changed option makes a table of its
+    own. Contents of files that change under the same name are not seen: name what tells them apart as an option.
     """
-    spark = df.sparkSession
+    spark, place = df.sparkSession, f"{path}/dataset={dataset}/made_of={fingerprint(df, options)}"
     try:
-        known = spark.read.parquet(f"{path}/dataset={dataset}")
+        known = spark.read.parquet(place)
     except AnalysisException:
-        df.write.parquet(f"{path}/dataset={dataset}")
-        known = spark.read.parquet(f"{path}/dataset={dataset}")
+        df.write.parquet(place)
+        known = spark.read.parquet(place)
     return known.withColumn("dataset", F.lit(dataset))
 
 

@@ -52,3 +52,51 @@ def test_all_rules_are_judged_on_held_out_lines(spark, monkeypatch):
 
 def test_no_rules(spark):
     assert detect.rule_quality(spark.createDataFrame([(1.0,)], "label double"), []).count() == 0
+
+
+def separable(spark, n=400):
+    """Vectors of two numbers, of which the first tells the label but for every seventh row; every fourth validates."""
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(n):
+        x, y = rng.random(), rng.random()
+        rows.append((k, x, y, Vectors.dense([x, y]), float((x > 0.5) != (k % 7 == 0)), k % 4 == 0))
+    return spark.createDataFrame(rows, ["id", "x", "y", "features", "label", "valid"]).repartition(2)
+
+
+def test_boosting_stops_early_on_held_out_rows(spark):
+    df = separable(spark)
+    stopped = detect.train(df, "gbt", validation="valid", rounds=60)
+    assert 1 <= stopped.getNumTrees < 60
+    with pytest.raises(ValueError):
+        detect.train(df, "rf", validation="valid")
+    with pytest.raises(ValueError):
+        detect.train(df, "other")
+
+
+def test_rules_of_boosted_trees_add_up_to_the_model(spark):
+    df = separable(spark)
+    model = detect.train(df, "gbt", rounds=4)
+    leaves = detect.leaves(model, ["x", "y"])
+    rows = df.select("id", "x", "y").toPandas().sort_values("id")
+    margin = 0.0
+    for path, value in leaves:
+        margin = margin + value * (rows.eval(path.replace("AND", "and").replace("`", "")).astype(float) if path else 1.0)
+    got = [float(r.rawPrediction[1]) for r in model.transform(df).select("id", "rawPrediction").orderBy("id").collect()]
+    assert list(margin) == pytest.approx(got)
+    quality = {r.rule: r for r in detect.rule_quality(df, detect.rules(model, ["x", "y"])).collect()}
+    assert quality and max(r.precision for r in quality.values() if r.support > 50) > 0.8
+
+
+def test_an_estimator_of_the_caller_and_a_search_over_boosted_trees(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = separable(spark, 200)
+    model = detect.train(df, LogisticRegression(maxIter=5))
+    assert detect.detect(model, df).where("p1 between 0 and 1").count() == 200
+    best = detect.tune(df, trials=2, folds=2, kind="gbt").bestModel
+    assert best.getNumTrees in (5, 10, 20)
+    with pytest.raises(ValueError):
+        detect.tune(df, kind="other")

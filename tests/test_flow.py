@@ -107,6 +107,68 @@ def test_run_batch_fills_every_table(spark, tmp_path):
         Options().format.__class__(())
 
 
+def test_equal_lines_are_lines_of_their_own(spark):
+    row = "2025-01-01T00:00:01.000000Z NXDOMAIN 192.168.1.3 10.0.0.1 aaaa.com A 10.0.0.2 5b"
+    lines = spark.createDataFrame([(row,), (row,), (row.replace("aaaa", "bbbb"),), ("bad",), ("bad",)], "value string")
+    out = run_batch(lines, Options(batch_us=30_000_000, step_us=1_000_000))
+    ids = [r.logline_id for r in out["dns_loglines"].collect()]
+    assert len(ids) == len(set(ids)) == 3 and out["failed_dns_loglines"].count() == 2
+    assert sorted(r.logline_id for r in out["logline_to_batches"].collect()) == sorted(ids)
+    ends = out["logline_timestamps"].where("stage like 'data_%'").collect()
+    assert sorted(r.logline_id for r in ends) == sorted(ids)
+    assert {r.message_count for r in out["batch_timestamps"].where("status = 'completed'").collect()} == {3}
+
+
+def test_modes_by_options(spark):
+    rows = [("x", k, (50 if k == 40 else k % 3), float(k % 5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "batch_id string, step long, n long, size double")
+    one = {r.step: r.score for r in Options().scorer(df).collect()}
+    assert max(one, key=one.get) == 40
+    own = lambda df: df.withColumn("score", F.lit(1.0))
+    both = {r.step: r.score for r in Options(mode="ensemble", models=("zscore", "custom"), score=own).scorer(df).collect()}
+    assert all(both[k] == pytest.approx((one[k] + 1) / 2) for k in one)
+    votes = Options(mode="ensemble", models=("zscore", "mad", "knn", "pot"), combine="vote").scorer(df)
+    assert set(votes.columns) == {"batch_id", "step", "n", "size", "score"} and {r.step for r in votes.where("score > 0.5").collect()} >= {40}
+    assert Options(mode="multivariate", models=("loda",)).scorer(df).where("score between 0 and 1").count() == 60
+    assert Options(models=(), score=own).scorer(df).where("score = 1").count() == 60
+    for bad in ({"mode": "univariate", "models": ("loda",)}, {"mode": "multivariate", "models": ("zscore",)}, {"models": ("other",)}, {"combine": "product"}):
+        with pytest.raises(NotImplementedError):
+            Options(**bad)
+    with pytest.raises(ValueError):
+        Options(models=("custom",))
+
+
+def test_distances_of_all_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b, label = rng.integers(0, 9, 200), rng.normal(size=200).round(2), rng.integers(0, 2, 200)
+    df = spark.createDataFrame([(int(x), float(y), 3.0, int(z)) for x, y, z in zip(a, b, label, strict=True)], "a long, b double, c double, label int")
+    got = {r.feature: r for r in explore.distances(df, ["a", "b", "c"]).collect()}
+    for name, x in (("a", a), ("b", b)):
+        xs = np.unique(x)
+        cdf = [np.array([(x[label == k] <= v).mean() for v in xs]) for k in (0, 1)]
+        gap = np.abs(cdf[0] - cdf[1])
+        assert got[name].statistic == pytest.approx(gap.max()) and got[name].emd == pytest.approx((gap[:-1] * np.diff(xs)).sum())
+        assert (got[name].n0, got[name].n1) == ((label == 0).sum(), (label == 1).sum())
+    assert got["c"].statistic == 0 and got["c"].p_value == 1
+    bins = {(r.label, r.bin): r.n for r in explore.histograms(df, ["b"], 5).collect()}
+    for k in (0, 1):
+        want = np.histogram(b[label == k], 5, (b.min(), b.max()))[0]
+        assert [bins.get((k, j + 1), 0) for j in range(5)] == pytest.approx(want, abs=1)
+    assert {r.bin for r in explore.histograms(df, ["c"]).collect()} == {1}
+
+
+def test_explained_variance(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    x = np.random.default_rng(2).normal(size=(80, 3)) * [3, 2, 1]
+    model, rows = explore.pca(spark.createDataFrame([(Vectors.dense(r),) for r in x.tolist()], ["features"]), k=2)
+    e = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert explore.explained(model) == pytest.approx(list(e[:2] / e.sum())) and rows.count() == 80
+
+
 def test_names_and_components(spark):
     assert detect.clean_names(["a b", "a-b", " x ", "", "a_b"]) == ["a_b", "a_b_2", "x", "column", "a_b_3"]
     df = spark.createDataFrame([(3.0, 4.0)], "x double, y double")

@@ -40,3 +40,10 @@ def test_features(spark):
     assert (row.label_length, row.label_max, row.label_average) == (3, 2, 11)
     assert row.freq_z == pytest.approx(2 / 11)
     assert row.secondleveldomain_entropy == 0 and row.thirdleveldomain_full == 1
+
+
+@pytest.mark.parametrize(("text", "form", "ok"), [("04/Apr/2025:02:45:32 PM", "%d/%b/%Y:%I:%M:%S %p", True), ("2025 094", "%Y %j", True), ("4 april 2025", "%d %B %Y", True), ("04/Foo/2025", "%d/%b/%Y", False)])
+def test_further_time_codes(spark, text, form, ok):
+    from hostsieve.functions.lines import is_timestamp
+
+    assert spark.range(1).select(is_timestamp(F.lit(text), form)).first()[0] is ok
