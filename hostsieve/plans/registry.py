@@ -117,7 +117,17 @@ query("union_datasets", "SELECT dataset, class, count(*) n FROM (SELECT 'a' data
     lambda f: tables.union_datasets({"a": f.valid.select("class"), "b": f.given.select("class", "record_type")}).groupBy("dataset", "class").agg(F.count("*").alias("n"))
 )
 query("route_server_logs", "SELECT cast(logline_id AS varchar) message_id, value message_text FROM lines")(lambda f: _routed(f)["server_logs"].select("message_id", "message_text"))
-query("table_preview", "SELECT logline_id, us FROM lines ORDER BY logline_id LIMIT 10")(lambda f: f.given.select("logline_id", F.col("arrival_us").alias("us")).orderBy("logline_id").limit(10))
+
+
+def _previewed(f: Given) -> DataFrame:
+    """The first ten rows of a monitoring table of a run."""
+    path = shared_dir(f.spark)
+    tables.append(flow.monitoring(f)["dns_loglines"], path, "dns_loglines")
+    return tables.preview(f.spark, path, "dns_loglines", order="logline_id").select("logline_id", "subnet_id", "client_ip", "additional_fields")
+
+
+_FIELDS_JSON = """'{"dns_server_ip":"' || dns_server_ip || '","domain_name":"' || domain_name || '","response_ip":"' || response_ip || '","size":"' || size || '"}'"""
+query("table_preview", f"SELECT cast(logline_id AS varchar) logline_id, subnet_id, client_ip, {_FIELDS_JSON} additional_fields FROM valid ORDER BY cast(logline_id AS varchar) LIMIT 10")(_previewed)
 query("batch_envelope", "SELECT subnet_id AS key, batch_id, count(*) n FROM batches GROUP BY ALL")(
     lambda f: tables.envelope(f.batches).select("key", F.get_json_object("value", "$.batch_id").alias("batch_id"), F.size(F.from_json("value", "data array<struct<us bigint>>")["data"]).cast("long").alias("n"))
 )

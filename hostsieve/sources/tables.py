@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostsieve.operators.numbering import numbered
+from hostsieve.sources.shared import remove
 
 #: Schemas of the monitoring tables.
 TABLES = {
@@ -39,7 +40,7 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, name: str) -> None:
-    """Appends rows to a monitoring table; columns are checked and cast by its schema, which takes no nulls but where said."""
+    """Appends rows to a monitoring table; columns are checked and cast by its schema."""
     want = schema(name)
     if missing := set(want.names) - set(df.columns):
         raise ValueError(f"{name} lacks {sorted(missing)}")
@@ -57,12 +58,15 @@ def create_tables(spark: SparkSession, path: str) -> None:
 
 
 def drop_table(spark: SparkSession, path: str, name: str) -> None:
-    """Removes a monitoring table's rows and files."""
-    empty_table(spark, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """Removes a monitoring table with its files; create_tables() makes it anew."""
+    schema(name)  # an unknown name is an error
+    remove(spark, f"{path}/{name}")
 
 
-def preview(spark: SparkSession, path: str, name: str, n: int = 10) -> DataFrame:
-    return read_table(spark, path, name).limit(n)
+def preview(spark: SparkSession, path: str, name: str, n: int = 10, order: str | None = None) -> DataFrame:
+    """n rows of a monitoring table, those that come first by a column if one is named."""
+    rows = read_table(spark, path, name)
+    return (rows.orderBy(order) if order else rows).limit(n)
 
 
 def kafka_options(brokers: str, topic: str, group: str) -> dict[str, str]:

@@ -40,12 +40,20 @@ def prepared(names: DataFrame) -> DataFrame:
 
 def train_model(names: DataFrame, path: str, kind="rf", tune: bool = False, fit_on: list[str] | None = None) -> str:
     """Fits a classifier on four fifths of each class and saves it at path; returns its checksum. Of united datasets
-    (column dataset), fit_on chooses which are fitted; without it all are."""
+    (column dataset), fit_on chooses which are fitted; without it all are. Boosted trees (gbt) end at the round from which
+    another tenth of each class gains nothing."""
     if fit_on is not None:
         names = names.where(F.col("dataset").isin(fit_on))
     rows = detect.stratified_split(prepared(names), "class", "query", {"train": 0.8, "valid": 0.1, "test": 0.1})
-    fitted = stored(rows.where("split = 'train'").select("features", "label"))
-    model = detect.tune(fitted).bestModel if tune else detect.train(fitted, kind)
+    rows = stored(rows.select("features", "label", "split"))
+    fitted = rows.where("split = 'train'")
+    if tune:
+        model = detect.tune(fitted, kind=kind).bestModel
+    elif kind == "gbt":
+        seen = rows.where("split <> 'test'").withColumn("valid", F.col("split") == "valid")
+        model = detect.train(seen, kind, validation="valid")
+    else:
+        model = detect.train(fitted, kind)
     return detect.save_model(names.sparkSession, model, path)
 
 
@@ -57,7 +65,7 @@ def test_model(names: DataFrame, path: str, cls=None, sha256: str | None = None)
 
 
 def explain_model(names: DataFrame, path: str, cls=None, sha256: str | None = None) -> DataFrame:
-    """The rules of a saved forest with their support and precision on a dataset."""
+    """The rules of saved trees with their support and precision on a dataset."""
     model = _load(names.sparkSession, path, cls, sha256)
     return detect.rule_quality(prepared(names), detect.rules(model, list(ft.all_features())))
 

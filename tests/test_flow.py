@@ -100,7 +100,9 @@ def test_run_batch_fills_every_table(spark, tmp_path):
     states = {r.status for r in tables.read_table(spark, str(tmp_path), "logline_timestamps").select("status").distinct().collect()}
     assert states == {"in_process", "finished", "batched", "filtered_out", "detected"}
     tables.drop_table(spark, str(tmp_path), "alerts")
-    assert tables.read_table(spark, str(tmp_path), "alerts").count() == 0
+    assert not (tmp_path / "alerts").exists()
+    tables.create_tables(spark, str(tmp_path))
+    assert tables.read_table(spark, str(tmp_path), "alerts").count() == 0 and counts["dns_loglines"] == tables.read_table(spark, str(tmp_path), "dns_loglines").count()
     with pytest.raises(ValueError):
         tables.append(spark.range(1), str(tmp_path), "alerts")
     with pytest.raises(ValueError):
@@ -119,6 +121,20 @@ def test_equal_lines_are_lines_of_their_own(spark):
     assert {r.message_count for r in out["batch_timestamps"].where("status = 'completed'").collect()} == {3}
 
 
+def test_scratch_folders_go(spark, tmp_path):
+    from pathlib import Path
+
+    from hostsieve.sources.shared import scratch
+
+    there = lambda: set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
+    before = there()
+    lines = spark.createDataFrame([("2025-01-01T00:00:01.000000Z NXDOMAIN 192.168.1.3 10.0.0.1 aaaa.com A 10.0.0.2 5b",)], "value string")
+    with scratch(spark):
+        run_batch(lines)["logline_timestamps"].write.parquet(str(tmp_path / "out"))
+        assert there() - before
+    assert there() == before and spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
 def test_modes_by_options(spark):
     rows = [("x", k, (50 if k == 40 else k % 3), float(k % 5)) for k in range(60)]
     df = spark.createDataFrame(rows, "batch_id string, step long, n long, size double")
@@ -191,3 +207,8 @@ def test_training_files(spark, tmp_path):
     assert training.explain_model(names, str(tmp_path / "model")).where("precision > 0.9").count() > 0
     with pytest.raises(ValueError):
         training.test_model(names, str(tmp_path / "model"), sha256="0")
+    from pyspark.ml.classification import GBTClassificationModel
+
+    training.train_model(names, str(tmp_path / "boosted"), "gbt")
+    report, _ = training.test_model(names, str(tmp_path / "boosted"), GBTClassificationModel)
+    assert report.first().accuracy > 0.9 and training.explain_model(names, str(tmp_path / "boosted"), GBTClassificationModel).where("support > 0").count() > 0
