@@ -141,7 +141,8 @@ def spans(text: str, model: Markov, threshold: float, fixed: float = 8.0) -> lis
 def find_secrets(documents: DataFrame, threshold: float = 0.5, redact: str | None = None, sample: int = 3000) -> DataFrame:
     """documents with an added column `secret_spans` (kind, start, end; code points, end exclusive) for every whole text.
 
-    Kinds: assign, access and hex by pattern, random by the models; random spans never touch base spans. Spans are in
+    Kinds: assign, access and hex by pattern, random by the models; random spans never touch base spans. A token of one
+    class of characters alone (only small letters, only capitals, or only digits) is never judged by the models. Spans are in
     order of start, then kind. With `redact`, each span's text is replaced by it, overlapping spans by one, and n_chars, if
     there, is set anew. Null texts have no spans and stay null; empty texts have none. Every row gives one row, repeated
     or not; other columns stay as they are, and a column named secret_spans is replaced.

@@ -56,7 +56,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         fs, path = FileSystem.from_uri(self.path)
         found = fs.get_file_info(FileSelector(path, recursive=True))
-        files = sorted((f.path, f.size) for f in found if f.type == FileType.File and ".warc" in f.path or f.path.endswith((".txt.gz", ".txt")))
+        files = sorted((f.path, f.size) for f in found if f.type == FileType.File and (".warc" in f.path or f.path.endswith((".txt.gz", ".txt"))))
         files = [f for f in files if not f[0].rpartition("/")[2].startswith(("_", "."))]
         out, size = [Files([])], 0
         for name, n in files:
