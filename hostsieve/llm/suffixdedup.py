@@ -2,7 +2,8 @@
 
 1. Every window of `length` bytes belongs to its minimiser, the smallest hash of the short runs inside it; equal windows
    have equal minimisers. Windows in a row with one minimiser form a segment. Packed lists of minimisers meet in
-   buckets, which answer for each whether more than one text has it, and whether very many segments do.
+   buckets, which answer for each whether more than one text has it, and whether very many segments do. A pack sends a
+   minimiser once, with the smallest and the largest doc_id and the number of its segments.
 2. Segments whose minimiser repeats go to the minimiser's bucket, equal ones of a task once with the smallest doc_id.
    Segments of very frequent minimisers go window by window, dealt by the window, so that no bucket is hot.
 3. A bucket builds the Burrows-Wheeler transform of its distinct segments in rounds: each round inserts one symbol of each
@@ -75,6 +76,25 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return minimum[at], at, size, text
 
 
+def distinct(m: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct minimisers of a pack, by bucket and then by first segment: bucket, 32 bits, first segment, number of
+    segments; and the place among them of each segment's minimiser. What a pack repeats, it sends once."""
+    to = ((m >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    low = (m >> np.uint64(8)).astype(np.uint32)
+    by = np.lexsort((low, to))
+    change = np.ones(len(m), bool)
+    change[1:] = (to[by][1:] != to[by][:-1]) | (low[by][1:] != low[by][:-1])
+    at = np.flatnonzero(change)
+    times = np.diff(np.append(at, len(m)))
+    first = by[at]  # lexsort is stable
+    order = np.lexsort((first, to[first]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = np.empty(len(m), np.int64)
+    place[by] = np.repeat(rank, times)
+    return to[first][order], low[first][order], first[order], times[order], place
+
+
 def bwt_rounds(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of the given strings in order, as places of the symbols before them in the flattened rows, and each
     one's common prefix with its predecessor, up to `length`.
@@ -262,44 +282,48 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
             for name, n, data in zip(*(batch[c].to_pylist() for c in ("pack", "n", "data")), strict=True):
                 ids, _, raw, offsets = opened(n, data)
                 m, _, _, text = segments(raw, offsets, length)
-                to, order = deal(m)
-                low = (m >> np.uint64(8)).astype(np.uint32)[order]
-                doc = ids[text][order]
-                names, cut = np.unique(to[order], return_index=True)
-                names, sent = names.tolist(), []
-                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-                    who, times = runs(doc[a:z])
-                    sent.append(np.array([len(who)], "<i8").tobytes() + who.tobytes() + times.astype("<u4").tobytes() + low[a:z].tobytes())
+                to, low, first, times, place = distinct(m, buckets)
+                own = ids[text]
+                by = np.argsort(place, kind="stable")
+                least, most = (f.reduceat(own[by], np.cumsum(times) - times) if len(m) else own for f in (np.minimum, np.maximum))
+                doc, again = own[first], times > 1
+                names, cut = np.unique(to, return_index=True)
+                sent = []
+                for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(to)], strict=True):
+                    who, long = runs(doc[a:z])
+                    head = np.array([len(who), z - a], "<i8").tobytes() + who.tobytes() + long.astype("<u4").tobytes()
+                    some = again[a:z]
+                    count_ = np.minimum(times[a:z], FREQUENT + 1).astype("<u2")
+                    sent.append(head + low[a:z].tobytes() + count_.tobytes() + least[a:z][some].tobytes() + most[a:z][some].tobytes())
                 k = len(names)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * k, pa.int64()), pa.array(names, pa.int64()), pa.array(sent, pa.binary())], ["pack", "bucket", "sent"])
-
-    def deal(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of each minimiser, and the minimisers' order by bucket."""
-        to = ((m >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        return to, np.argsort(to, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array([name] * k, pa.int64()), pa.array(names.tolist(), pa.int64()), pa.array(sent, pa.binary())], ["pack", "bucket", "sent"])
 
     def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
         return x[first], np.diff(np.append(first, len(x)))
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each pack and bucket: 2 bits a segment, whether its minimiser has several documents, and very many segments."""
+        """For each pack and bucket: 2 bits a minimiser, whether it has several documents, and very many segments."""
         for b, messages in by_bucket(batches, "sent", in_order):
-            names, low, doc, sizes = [], [], [], []
+            names, parts = [], []
             for name, sent in messages:
-                k = int(np.frombuffer(sent, "<i8", 1)[0])
+                k, n = np.frombuffer(sent, "<i8", 2).tolist()
+                at = 16 + 12 * k
+                low, times = np.frombuffer(sent, "<u4", n, at), np.frombuffer(sent, "<u2", n, at + 4 * n)
+                least = np.repeat(np.frombuffer(sent, "<i8", k, 16), np.frombuffer(sent, "<u4", k, 16 + 8 * k))
+                most, some = least.copy(), times > 1
+                ends = np.frombuffer(sent, "<i8", -1, at + 6 * n)
+                least[some], most[some] = ends[: len(ends) // 2], ends[len(ends) // 2 :]
                 names.append(name)
-                low.append(np.frombuffer(sent, "<u4", -1, 8 + 12 * k))
-                doc.append(np.repeat(np.frombuffer(sent, "<i8", k, 8), np.frombuffer(sent, "<u4", k, 8 + 8 * k)))
-                sizes.append(len(low[-1]))
-            low, doc = np.concatenate(low), np.concatenate(doc)
+                parts.append((low, least, most, times))
+            low, least, most, times = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(low, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], np.diff(low[order]) != 0)))
-            times = np.diff(np.append(first, len(low)))
-            several = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
+            several = np.minimum.reduceat(least[order], first) != np.maximum.reduceat(most[order], first)
+            frequent = np.add.reduceat(times[order].astype(np.int64), first) > FREQUENT
             state = np.zeros(len(low), np.uint8)
-            state[order] = np.repeat(several.astype(np.uint8) + (several & (times > FREQUENT)), times)
-            at = np.cumsum(sizes)[:-1]
+            state[order] = np.repeat(several.astype(np.uint8) + (several & frequent), np.diff(np.append(first, len(low))))
+            at = np.cumsum([len(x[0]) for x in parts])[:-1]
             for name, part in zip(names, np.split(state, at), strict=True):
                 bits = _pack_flags(part > 0) + _pack_flags(part > 1) if part.any() else b""
                 yield pa.RecordBatch.from_pydict({"pack": pa.array([name]), "bucket": pa.array([b]), "bits": pa.array([bits], pa.binary())})
@@ -311,13 +335,13 @@ def remove_repeats(documents: DataFrame, length: int = 50, keep_text: bool = Fal
         """
         ids, known, raw, offsets = opened(n, data)
         m, at, size, text = segments(raw, offsets, length)
-        to, order = deal(m)
-        dealt, state = to[order], np.zeros(len(m), np.uint8)
+        dealt, _, _, _, place = distinct(m, buckets)
+        held = np.zeros(len(dealt), np.uint8)
         for b, x in bits.items():
             if x:
                 a, z = np.searchsorted(dealt, [b, b + 1])
-                flags = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)[:, : z - a]
-                state[order[a:z]] = flags.sum(0)
+                held[a:z] = np.unpackbits(np.frombuffer(x, np.uint8).reshape(2, -1), axis=1)[:, : z - a].sum(0)
+        state, to = held[place], dealt[place]
         before = state > 0
         repeat = np.where(state > 1, size, 1)[before]
         k = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)

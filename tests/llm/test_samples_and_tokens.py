@@ -89,3 +89,44 @@ def test_the_file_and_not_its_name_says_how_it_splits(tmp_path):
     library = Tokenizer.from_file(str(other))
     texts = ["two words", "  and more\n", "Ünïcode 12"]
     assert [np.frombuffer(ids, "<u4").tolist() for ids in Encoder(str(other)).many(texts, 9)] == [[*library.encode(t, add_special_tokens=False).ids, 9] for t in texts]
+
+
+def test_a_pack_sends_a_minimiser_once():
+    from hostsieve.llm.suffixdedup import distinct
+
+    rng = np.random.default_rng(3)
+    m = rng.choice(rng.integers(0, 1 << 63, 40, dtype=np.uint64), 500)
+    for buckets in (1, 8, 1000):
+        to, low, first, times, place = distinct(m, buckets)
+        want = {}
+        for k, x in enumerate(m.tolist()):
+            want.setdefault(((x >> 40) % buckets, x >> 8 & 0xFFFFFFFF), []).append(k)
+        order = sorted(want, key=lambda key: (key[0], want[key][0]))
+        assert list(zip(to.tolist(), low.tolist(), strict=True)) == order
+        assert first.tolist() == [want[k][0] for k in order] and times.tolist() == [len(want[k]) for k in order]
+        assert all(place[j] == i for i, k in enumerate(order) for j in want[k])
+    assert all(len(x) == 0 for x in distinct(np.zeros(0, np.uint64), 8))
+
+
+def test_a_passage_in_every_document(spark):
+    """One line in all documents, some of them twice, and lines that a few share: the same bytes go as by brute force."""
+    import hashlib
+
+    from hostsieve.llm.suffixdedup import remove_repeats
+
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line, few = letters(180), [letters(120) for _ in range(10)]
+    docs = [(k, f"{letters(60)}\n{line}\n{letters(40)}{rng.choice(few)}{letters(30)}" + (f"\n{line}" if k % 5 == 0 else "")) for k in range(120)]
+    seen, want = set(), {}
+    for k, text in docs:
+        raw = text.encode()
+        hit = np.zeros(len(raw), bool)
+        windows = [raw[i : i + 50] for i in range(len(raw) - 49)]
+        for i, w in enumerate(windows):
+            if w in seen:
+                hit[i : i + 50] = True
+        seen.update(windows)
+        want[k] = (int(hit.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~hit].tobytes()).hexdigest())
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in remove_repeats(df).collect()} == want
