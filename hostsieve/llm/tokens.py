@@ -27,23 +27,23 @@ WORD_PIECES = rf"{ENDINGS}|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+"
 #: A character outside this class sends its text to the library whole.
 UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ɏ]")
 #: Pre-tokens in the cache at most, and their characters together; beyond, the cache starts anew.
-CACHED, CACHED_CHARS = 1_000_000, 12_000_000
+CACHED, CACHED_CHARS = 600_000, 7_000_000
 #: Characters of texts that are looked up together.
 GROUP = 1 << 21
 
 
-def pieces_of(path: str) -> tuple[str | None, bool]:
-    """The pattern of the pieces that a vocabulary file splits text into, and whether it lowers letters first.
+def pieces_of(tokenizer: Tokenizer) -> tuple[str | None, bool]:
+    """The pattern of the pieces that a tokenizer splits text into, and whether it lowers letters first.
 
-    Told from what the file says of its normalizer and pre-tokenizer; None where that is neither of the known two.
+    Told from what it says of its normalizer and pre-tokenizer, which is small beside its vocabulary; None where that is
+    neither of the known two.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    normalizer, splitter = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    said = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+    normalizer, splitter = said(tokenizer.normalizer), said(tokenizer.pre_tokenizer)
     same = lambda want, got: all(got.get(k) == v for k, v in want.items())
-    if normalizer is None and same(BYTES, splitter):
+    if not normalizer and same(BYTES, splitter):
         return BYTE_PIECES, False
-    steps, kinds = splitter.get("pretokenizers", []), [n["type"] for n in (normalizer or {}).get("normalizers", [])]
+    steps, kinds = splitter.get("pretokenizers", []), [n["type"] for n in normalizer.get("normalizers", [])]
     if kinds == LOWERED and len(steps) == 2 and same(WORDS, steps[0]) and same(BYTES | {"use_regex": False}, steps[1]):
         return WORD_PIECES, True
     return None, False
@@ -60,7 +60,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.known: dict[str, bytes] = {}
         self.chars = 0
-        pattern, self.lower = pieces_of(path)
+        pattern, self.lower = pieces_of(self.tokenizer)
         self.split = re.compile(pattern).findall if pattern else None
         added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None

@@ -85,7 +85,8 @@ def test_the_file_and_not_its_name_says_how_it_splits(tmp_path):
     spec["pre_tokenizer"]["add_prefix_space"] = True
     other = tmp_path / "word_bpe_49k.json"
     other.write_text(json.dumps(spec))
-    assert pieces_of(str(other)) == (None, False)
+    assert pieces_of(Tokenizer.from_file(str(other))) == (None, False)
+    assert all(pieces_of(Tokenizer.from_file(public_tokenizers.path(f)))[0] for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
     library = Tokenizer.from_file(str(other))
     texts = ["two words", "  and more\n", "Ünïcode 12"]
     assert [np.frombuffer(ids, "<u4").tolist() for ids in Encoder(str(other)).many(texts, 9)] == [[*library.encode(t, add_special_tokens=False).ids, 9] for t in texts]
