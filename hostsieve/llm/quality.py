@@ -58,11 +58,12 @@ def fit(
             kinds = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             for k in range(j - i):
                 rows, counts = np.unique(np.concatenate([r[a[k] : b[k]] for r, a, b in kinds]), return_counts=True)
-                texts.append((rows.astype(np.int32), (counts / max(1, counts.sum()))[:, None]))
+                texts.append((rows.astype(np.int32), counts.astype(np.min_scalar_type(counts.max(initial=0)))))  # five bytes each, mostly
         step, steps = 0, epochs * len(texts)
         for _ in range(epochs):
             for t in rng.permutation(len(texts)):
-                rows, weight = texts[t]
+                rows, counts = texts[t]
+                weight = (counts / max(1, counts.sum()))[:, None]
                 mean = (table[rows] * weight).sum(0)
                 z = mean @ layer + bias
                 p = np.exp(z - z.max())
