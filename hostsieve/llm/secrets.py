@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import random as rng
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,19 +54,19 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 class Markov:
     """Log-likelihood ratio of a string under two first-order character models over one alphabet."""
 
-    def __init__(self, random: list[str], ordinary: list[str], weight: float = 0.5):
+    def __init__(self, random: Iterable[str], ordinary: Iterable[str], weight: float = 0.5):
         self.ratio = self._model(random, weight) - self._model(ordinary, weight)
 
     @staticmethod
     def codes(s: str) -> list[int]:
         return [OTHER, *(ALPHABET.get(c, OTHER) for c in s)]
 
-    def _model(self, strings: list[str], weight: float) -> np.ndarray:
+    def _model(self, strings: Iterable[str], weight: float) -> np.ndarray:
         n = OTHER + 1
         count = np.full((n, n), weight)  # with few samples, near a uniform model
-        for s in strings:
+        for s, times in Counter(strings).items():
             c = self.codes(s)
-            np.add.at(count, (c[:-1], c[1:]), 1)
+            np.add.at(count, (c[:-1], c[1:]), times)
         return np.log(count / count.sum(1, keepdims=True))
 
     def __call__(self, s: str) -> float:
@@ -104,17 +105,17 @@ def train(documents: DataFrame, sample: int = 3000, sample_bytes: int = 12 << 20
     hashes of doc_id, and on `made` strings of each class that are labelled by the way they are made."""
     ids = documents.select("doc_id").where(F.col("doc_id").isNotNull())
     chosen = sample_ids(ids, "doc_id", sample).distinct().withColumn("__label", F.lit(0))
-    random, ordinary = keys(made), []
+    random, ordinary = keys(made), Counter()  # the words as often as they occur
     for text in texts_of(documents, chosen, sample_bytes)["text"].to_pylist():
         at = 0
         for _, _, end, value in base_spans(text):
             if value >= at and end - value >= 16:
                 random.append(text[value:end])
-            ordinary += re.findall(r"[A-Za-z0-9_-]{3,}", text[at:value]) if value > at else []
+            ordinary.update(re.findall(r"[A-Za-z0-9_-]{3,}", text[at:value]) if value > at else [])
             at = max(at, end)
-        ordinary += re.findall(r"[A-Za-z0-9_-]{3,}", text[at:])
-    words = sorted(w for w in set(ordinary) if w.isalpha() and len(w) < 12)
-    return Markov(random, [*ordinary, *compounds(words, made)])
+        ordinary.update(re.findall(r"[A-Za-z0-9_-]{3,}", text[at:]))
+    words = sorted(w for w in ordinary if w.isalpha() and len(w) < 12)
+    return Markov(random, ordinary + Counter(compounds(words, made)))
 
 
 def spans(text: str, model: Markov, threshold: float, fixed: float = 8.0) -> list[tuple[int, int, int]]:
