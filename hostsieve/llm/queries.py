@@ -90,7 +90,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostsieve.llm.whitening import whiten
 
-    return whiten(table(spark, sf_dir, "embeddings"))
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))  # null where no long holds it
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 FAN_IN = 64
 #: Rows that are solved together.
 BLOCK = 1024
-RESULT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+RESULT = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
+NAMES = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
 
 
 def usable(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -104,6 +106,21 @@ class Whitening:
         return (self.numerators(x) / self.n) @ (self.components / np.sqrt(self.variances))
 
 
+def squares(x: np.ndarray) -> pa.Array:
+    """The exact sum of squares of each row of integers, as decimal(38, 0); a sum with more digits is an error.
+
+    Sums wrap modulo 2^64, so one below 2^63 is right even where a part of it wrapped; the others are made of Python's integers.
+    """
+    wrapped = (x**2).sum(1)
+    beyond = ((x.astype(float) ** 2).sum(1) > 1.5 * 2.0**63) | (wrapped < 0)
+    kind = pa.decimal128(38, 0)
+    if not beyond.any():
+        return pa.array(wrapped).cast(kind)
+    out = wrapped.astype(object)
+    out[beyond] = (x[beyond].astype(object) ** 2).sum(1)
+    return pa.array([Decimal(v) for v in out], kind)
+
+
 def fit(rows: DataFrame, components: int = 32, scale: int = 64, offset: int = 1_000_000, most_passes: int = 8, close: float = 1e-12) -> Whitening | None:
     """Fits on all rows (vec_id, x: arrays of one length); None for an empty table.
 
@@ -187,7 +204,7 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", components: int = 3
     Rows whose vector is null or holds null or non-finite entries take no part, nor do those whose length isn't the
     commonest one. Repeated rows count as often as they occur and give repeated results; a null vec_id is kept. Components
     are in falling order of variance, at most `components`, and only those with variance: equal rows, a single row and an
-    empty table give no rows at all. Reads only vec_id and the vector, so other columns don't matter.
+    empty table give no rows at all. deviation, the sum of (n * x - S)^2 over dimensions, is exact also beyond a long. Reads only vec_id and the vector, so other columns don't matter.
     """
     rows = same_length(usable(embeddings, vector))
     model = fit(rows, components)
@@ -200,18 +217,18 @@ def whiten(embeddings: DataFrame, vector: str = "embedding", components: int = 3
         for batch, x in blocks(batches, d, model.scale, model.offset):
             m = len(x)
             each = np.repeat(np.arange(m), k)
-            deviation = (model.numerators(x) ** 2).sum(1)  # exact, also where a partial sum wraps
+            deviation = squares(model.numerators(x))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["vec_id"].take(pa.array(each)),
                     pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),
                     pa.array(np.full(m * k, model.n)),
-                    pa.array(deviation[each]),
+                    deviation.take(pa.array(each)),
                     pa.array(model(x).ravel()),
                     pa.array(np.tile(explained, m)),
                     pa.array(np.full(m * k, error)),
                 ],
-                RESULT.replace(",", "").split()[::2],
+                NAMES,
             )
 
     return rows.mapInArrow(run, RESULT)

@@ -297,3 +297,10 @@ def test_whitening_query(spark):
         w[place[r.vec_id], r.component - 1] = r.whitened
     assert np.abs(w * np.sign((w * want).sum(0)) - want).max() < 1e-6 and {r.identity_error for r in got}.pop() < 1e-9
     assert "op13_whitening" not in ORACLE_SQL
+
+
+def test_sums_of_squares_beyond_a_long():
+    x = np.array([[3, -4], [3 << 30, 0], [3 << 30, 1 << 30], [1 << 40, -(1 << 41)], [0, 0]], np.int64)
+    assert [int(v) for v in whitening.squares(x).to_pylist()] == [sum(int(v) ** 2 for v in row) for row in x]
+    assert [int(v) for v in whitening.squares(x[:2]).to_pylist()] == [25, 9 << 60]
+    assert not len(whitening.squares(x[:0]))
