@@ -52,8 +52,8 @@ def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for the empty text. Equal characters stand together once sorted."""
     ordered = F.array_join(F.sort_array(F.split(text, "")), "")
     runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
-    term = lambda s, run: s - F.length(run) / F.length(text) * F.log2(F.length(run) / F.length(text))
-    return F.when(F.length(text) > 0, F.aggregate(runs, F.lit(0.0), term)).otherwise(0.0)
+    shares = F.transform(runs, lambda run: F.length(run) / F.length(text))
+    return F.when(F.length(text) > 0, F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))).otherwise(0.0)
 
 
 def entropies() -> dict[str, Column]:
@@ -65,11 +65,28 @@ def all_features() -> dict[str, Column]:
     return basic() | letters() | ratios() | entropies()
 
 
+def with_letters(df: DataFrame) -> DataFrame:
+    """Adds letters() to names with their levels, from one sort of a name's characters.
+
+    One of each letter and the sign after z are sorted in, so a letter's number is the distance of two places, less one.
+    """
+    df = df.withColumn("__low", F.lower("fqdn"))
+    every = F.concat("__low", F.lit(LETTERS + "{"))
+    df = df.withColumn("__sorted", F.array_join(F.sort_array(F.split(every, "")), ""))
+    number = lambda c: F.locate(chr(ord(c) + 1), F.col("__sorted")) - F.locate(c, F.col("__sorted")) - 1
+    return df.withColumns({f"freq_{c}": _share(F.col("__low"), number(c)) for c in LETTERS}).drop("__low", "__sorted")
+
+
+def with_features(df: DataFrame, name: str = "domain_name") -> DataFrame:
+    """Adds a name's levels and its 44 features as columns."""
+    return with_letters(with_levels(df, name)).withColumns(basic() | ratios() | entropies())
+
+
 def feature_vector(df: DataFrame, out: str = "features") -> DataFrame:
     """Adds the features of domain_name as one vector."""
     from pyspark.ml.feature import VectorAssembler
 
-    df = with_levels(df).withColumns(all_features())
+    df = with_features(df)
     return VectorAssembler(inputCols=list(all_features()), outputCol=out, handleInvalid="keep").transform(df)
 
 

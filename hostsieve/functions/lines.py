@@ -173,38 +173,60 @@ def default_format(ip: str = "ip") -> LineFormat:
 DEFAULT = default_format()
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _network4(ip: Column, prefix: int) -> Column:
-    octet = F.split(ip, r"\.")
-    number = sum((octet[i].cast("long") * (256 ** (3 - i)) for i in range(1, 4)), octet[0].cast("long") * 256**3)
-    masked = number.bitwiseAND((0xFFFFFFFF << (32 - prefix)) & 0xFFFFFFFF)
-    return F.concat_ws(".", *(F.shiftright(masked, 8 * (3 - i)).bitwiseAND(255).cast("string") for i in range(4)))
+    """Whole octets of the prefix stay as they are written; at most one octet is masked."""
+    whole, bits = divmod(prefix, 8)
+    parts = [F.substring_index(ip, ".", whole)] if whole else []
+    if bits:
+        octet = F.split_part(ip, F.lit("."), F.lit(whole + 1)).cast("int")
+        parts.append(octet.bitwiseAND((0xFF << (8 - bits)) & 0xFF).cast("string"))
+    zeros = [F.lit("0")] * (4 - whole - bool(bits))
+    text = F.concat(*(c for part in [*parts, *zeros] for c in (F.lit("."), part)))
+    return F.when(ip.isNull(), "").otherwise(F.substr(text, F.lit(2)))
 
 
 def _groups(ip: Column) -> Column:
     """The eight numbers of a valid IPv6 address."""
     number = lambda x: F.conv(x, 16, 10).cast("int")
     some = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
-    plain = F.regexp_replace(ip, "%.*$", "")
-    octet = F.split(F.element_at(F.split(plain, ":"), -1), r"\.")
-    two = F.concat_ws(":", *(F.hex(octet[i].cast("int") * 256 + octet[i + 1].cast("int")) for i in (0, 2)))
-    plain = F.when(plain.contains("."), F.concat(F.regexp_replace(plain, "[^:]*$", ""), two)).otherwise(plain)
-    head, tail = some(F.split_part(plain, F.lit("::"), F.lit(1))), some(F.split_part(plain, F.lit("::"), F.lit(2)))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(tail), F.lit(0)))
-    return F.transform(F.concat(head, zeros, tail), number)
+
+    def hexadecimal(plain: Column) -> Column:
+        octet = F.split(F.element_at(F.split(plain, ":"), -1), r"\.")
+        two = F.concat_ws(":", *(F.hex(octet[i].cast("int") * 256 + octet[i + 1].cast("int")) for i in (0, 2)))
+        return F.when(plain.contains("."), F.concat(F.regexp_replace(plain, "[^:]*$", ""), two)).otherwise(plain)
+
+    def filled(plain: Column) -> Column:
+        head, tail = some(F.split_part(plain, F.lit("::"), F.lit(1))), some(F.split_part(plain, F.lit("::"), F.lit(2)))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(head) - F.size(tail), F.lit(0)))
+        return F.transform(F.concat(head, zeros, tail), number)
+
+    return _once(_once(F.regexp_replace(ip, "%.*$", ""), hexadecimal), filled)
 
 
 def _network6(ip: Column, prefix: int) -> Column:
     """Masked and written the usual way: lower case, the first longest run of two or more zero groups as ::."""
     masks = F.array(*(F.lit((0xFFFF << (16 - min(16, max(0, prefix - 16 * k)))) & 0xFFFF) for k in range(8)))
     kept = F.zip_with(_groups(ip), masks, lambda g, m: g.bitwiseAND(m))
-    text = F.array_join(F.transform(kept, lambda g: F.lower(F.hex(g))), ":")
-    short = text
-    for n in range(2, 9):
-        run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
-        short = F.when(text.rlike(run), F.regexp_replace(F.regexp_replace(text, run, "$1::$2"), ":{3,}", "::")).otherwise(short)
-    low = [F.element_at(kept, k) for k in (7, 8)]
-    dotted = F.concat_ws(".", *(F.shiftright(x, n).bitwiseAND(255).cast("string") for x in low for n in (8, 0)))
-    return F.when(text.startswith("0:0:0:0:0:ffff:"), F.concat(F.lit("::ffff:"), dotted)).otherwise(short)
+
+    def shortened(text: Column) -> Column:
+        short = text
+        for n in range(2, 9):
+            run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
+            short = F.when(text.rlike(run), F.regexp_replace(F.regexp_replace(text, run, "$1::$2"), ":{3,}", "::")).otherwise(short)
+        return short
+
+    def written(kept: Column) -> Column:
+        low = [F.element_at(kept, k) for k in (7, 8)]
+        dotted = F.concat_ws(".", *(F.shiftright(x, n).bitwiseAND(255).cast("string") for x in low for n in (8, 0)))
+        text = F.array_join(F.transform(kept, lambda g: F.lower(F.hex(g))), ":")
+        return _once(text, lambda t: F.when(t.startswith("0:0:0:0:0:ffff:"), F.concat(F.lit("::ffff:"), dotted)).otherwise(shortened(t)))
+
+    return _once(kept, written)
 
 
 def network(ip: Column, prefix4: int = 24, prefix6: int = 64, ipv6: bool = True) -> Column:

@@ -30,20 +30,25 @@ def emd(df: DataFrame, x: str) -> DataFrame:
     return cdfs(df, x).agg(F.sum(F.abs(F.col("cdf0") - F.col("cdf1")) * gap).alias("emd"))
 
 
-def long_form(df: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
-    """feature, x and label: a row for each column of each row; null values are left out."""
+def long_form(df: DataFrame, columns: list[str], label: str = "label", weight: str | None = None) -> DataFrame:
+    """feature, x, label and c: a row for each column of each row; null values are left out.
+
+    weight: a column that says how many rows a row stands for, which c repeats; without it c is 1.
+    """
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("__f")
-    return df.select(F.col(label).alias("label"), each).select("__f.feature", "__f.x", "label").where("x is not null")
+    c = F.col(weight) if weight else F.lit(1)
+    return df.select(F.col(label).alias("label"), c.cast("long").alias("c"), each).select("__f.feature", "__f.x", "label", "c").where("x is not null")
 
 
-def distances(df: DataFrame, columns: list[str]) -> DataFrame:
+def distances(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
     """For each column: the Kolmogorov-Smirnov statistic of the two classes, its asymptotic p-value, the sample sizes, and
-    the earth mover's distance.
+    the earth mover's distance. weight: see long_form().
 
     Values are counted per column and class, which combines before it shuffles; what is dealt to ranges after that is the
     distinct values.
     """
-    per = long_form(df, columns).groupBy("feature", "x").agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
+    of = lambda k: F.sum(F.when(F.col("label") == k, F.col("c")).otherwise(0)).alias(f"n{k}")
+    per = long_form(df, columns, weight=weight).groupBy("feature", "x").agg(of(0), of(1))
     sums = running_sums(per, "x", ["n0", "n1"], keys=["feature"])
     gap = F.abs(F.try_divide("n0", "all_n0") - F.try_divide("n1", "all_n1"))
     sums = sums.groupBy("feature").agg(F.max(gap).alias("statistic"), F.max("all_n0").alias("n0"), F.max("all_n1").alias("n1"), F.sum(gap * (F.col("next") - F.col("x"))).alias("emd"))
@@ -51,9 +56,10 @@ def distances(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.withColumn("p_value", F.least(F.lit(1.0), p))
 
 
-def histograms(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
-    """feature, label, bin and n: rows of each class in equal bins from each column's smallest to its largest value."""
-    per = stored(long_form(df, columns).groupBy("feature", "x", "label").agg(F.count("*").alias("c")))
+def histograms(df: DataFrame, columns: list[str], bins: int = 30, weight: str | None = None) -> DataFrame:
+    """feature, label, bin and n: rows of each class in equal bins from each column's smallest to its largest value.
+    weight: see long_form()."""
+    per = stored(long_form(df, columns, weight=weight).groupBy("feature", "x", "label").agg(F.sum("c").alias("c")))
     ends = per.groupBy("feature").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     place = F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins) + 1
     column = F.when(F.col("high") == F.col("low"), 1).otherwise(F.least(place, F.lit(bins))).cast("long")

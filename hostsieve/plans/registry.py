@@ -29,6 +29,7 @@ class Given(Flow):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.given = tables.log_lines(spark, sf_dir)
+        self.events = spark.read.parquet(f"{sf_dir}/events.parquet")
         super().__init__(self.given.select("logline_id", "arrival_us", "class", "value"), OPTIONS)
 
     @property
@@ -215,7 +216,7 @@ query("features_basic", "SELECT logline_id, len(labels) label_length, length(lis
     lambda f: f.features.select("logline_id", *(c.cast("long").alias(n) for n, c in ft.basic().items()))
 )
 _q = ", ".join(f"round((length(fqdn) - length(replace(lower(fqdn),'{c}',''))) / length(fqdn), 6) freq_{c}" for c in ft.LETTERS)
-query("features_letters", f"SELECT logline_id, {_q} FROM levels")(lambda f: f.features.select("logline_id", *(r6(c).alias(n) for n, c in ft.letters().items())))
+query("features_letters", f"SELECT logline_id, {_q} FROM levels")(lambda f: ft.with_letters(f.features).select("logline_id", *(r6(F.col(n)).alias(n) for n in ft.letters())))
 _kinds = (("alpha", "[^A-Za-z]"), ("numeric", "[^0-9]"), ("special", "[A-Za-z0-9]"))
 _q = ", ".join(f"CASE WHEN length({v}) > 0 THEN 1.0 ELSE 0.0 END {v}_full, " + ", ".join(f"CASE WHEN length({v}) > 0 THEN round(length(regexp_replace({v},'{p}','','g')) / length({v}), 6) ELSE 0.0 END {v}_{k}" for k, p in _kinds) for v in ft.LEVELS)
 query("features_ratios", f"SELECT logline_id, {_q} FROM levels")(lambda f: f.features.select("logline_id", *(r6(c).alias(n) for n, c in ft.ratios().items())))
@@ -231,7 +232,7 @@ _q = ", ".join(
     ]
 )
 _q_all = _q
-query("features_all", f"SELECT logline_id, {_q} FROM levels")(lambda f: f.features.select("logline_id", *(F.round(c.cast("double"), 5).alias(n) for n, c in ft.all_features().items())))
+query("features_all", f"SELECT logline_id, {_q} FROM levels")(lambda f: ft.with_features(f.valid).select("logline_id", *(F.round(F.col(n).cast("double"), 5).alias(n) for n in ft.all_features())))
 query("preprocess_domains", "SELECT domain_name AS query, min(class) class, any_value(labels[-1]) tld, any_value(secondleveldomain) secondleveldomain FROM (SELECT * FROM levels WHERE len(labels) > 1) GROUP BY 1")(
     lambda f: ft.preprocess(f.valid.select(F.col("domain_name").alias("query"), "class")).select("query", "class", "tld", "secondleveldomain")
 )

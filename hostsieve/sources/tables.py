@@ -215,10 +215,13 @@ def decode_envelope(messages: DataFrame, as_text: bool = False) -> DataFrame:
     return lines.select("batch_id", (F.from_json("l", _LINE) if as_text else F.col("l")).alias("l")).select("batch_id", "l.*")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores where its files give fewer partitions than there are cores."""
+def spread(df: DataFrame, key: str, rows: int, most: int = 200_000) -> DataFrame:
+    """df, of which `rows` is the number of rows, dealt by a key to all cores, and to tasks of about `most` rows each.
+
+    What files give isn't asked: a file of few row groups has partitions without rows.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-rows // most)), key)
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +233,9 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "pages"))
     hosts = pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
     pages_ = F.broadcast(pages.agg(F.count("*").alias("__pages")))  # one row
-    e = spread(events.select("event_id", "ts", "user_id", "event_type", "value")).crossJoin(pages_)
-    e = e.join(hosts, F.expr("event_id % __pages") == F.col("page_id"))
+    e = events.select("event_id", "ts", "user_id", "event_type", "value").crossJoin(pages_)
+    e = e.join(hosts, F.expr("event_id % __pages") == F.col("page_id")).drop("page_id", "__pages")
+    e = spread(e, "event_id", events.count())  # a table's number of rows stands in its files' footers
     dga, ts = F.col("event_id") % 4 == 0, F.col("ts").cast("timestamp_ntz")
     name = "case when event_id % 173 = 11 then concat(repeat('abcdefghi.', 26), 'com') when event_id % 4 = 0 then concat(substr(md5(cast(event_id as string)), 1, 16), '.com') else host end"
     row = {
