@@ -366,25 +366,35 @@ def _vectors(lines: DataFrame) -> DataFrame:
 
 
 def _halves(f: Given) -> tuple[DataFrame, DataFrame]:
-    """The training and the held-out half of each class of the valid lines."""
-    rows = stored(_vectors(detect.stratified_split(f.table, "class", "logline_id", {"train": 0.5, "test": 0.5})))
+    """The training and the held-out half of each class of the valid lines, with the features as columns too."""
+    return _parts(_split(f, *ft.all_features()))
+
+
+def _split(f: Given, *more: str) -> DataFrame:
+    """The valid lines with their vectors and their half, written once; more: further columns."""
+    rows = detect.stratified_split(f.table.select("logline_id", "domain_name", "class"), "class", "logline_id", {"train": 0.5, "test": 0.5})
+    return stored(_vectors(rows).select("logline_id", "domain_name", "split", "label", "features", *more))
+
+
+def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 
 def _held_out(f: Given, kind: str) -> DataFrame:
     """The scores of the held-out half alone, to evaluate a model by."""
-    fitted, held = _halves(f)
+    fitted, held = _parts(_split(f))
     return detect.detect(detect.train(fitted, kind), held).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1"))
 
 
-def _scores(f: Given, lines: DataFrame) -> DataFrame:
-    """All of the given lines with p1, by a forest of the training half."""
-    return detect.detect(detect.train(_halves(f)[0]), ft.feature_vector(lines))
+def _scores(f: Given, lines: DataFrame | None = None) -> DataFrame:
+    """The given lines with p1, by a forest of the training half; all valid lines, whose vectors are there, without them."""
+    rows = _split(f)
+    return detect.detect(detect.train(_parts(rows)[0]), rows if lines is None else ft.feature_vector(lines))
 
 
 query("train_rf")(partial(_held_out, kind="rf"))
 query("train_gbt")(partial(_held_out, kind="gbt"))
-query("detect_scores")(lambda f: _scores(f, f.table).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
+query("detect_scores")(lambda f: _scores(f).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
 query("warnings")(lambda f: detect.warnings(_scores(f, f.by_client)).select("suspicious_batch_id", "batch_id", "client_ip", "logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
 
 
@@ -396,7 +406,7 @@ def _rules(f: Given) -> DataFrame:
 
 def _tuned(f: Given) -> DataFrame:
     """The held-out half's scores by the best of a few forests, which cross validation on the training half chooses."""
-    fitted, held = _halves(f)
+    fitted, held = _parts(_split(f))
     model = detect.tune(fitted.select("features", "label"), trials=3, folds=3)
     return detect.detect(model.bestModel, held).select("logline_id", r6(F.col("p1")).alias("p1"))
 
@@ -508,24 +518,31 @@ k AS (SELECT feature, max(abs(c0 - c1)) d, any_value(m0) n0, any_value(m1) n1, c
 
 
 def _features(f: Given) -> DataFrame:
-    """label and the 44 features of each valid line."""
+    """label, c and the 44 features of each distinct name and label, with c for how many valid lines have them.
+
+    Names repeat, so they are counted first, which combines before it shuffles, and each one's features are made once; they
+    are dealt anew, as counts are so small that Spark would give them to few tasks.
+    """
     label = F.when(F.col("class") == "legit", 0).otherwise(1)
-    return f.features.select(label.alias("label"), *(F.round(c.cast("double"), 5).alias(n) for n, c in ft.all_features().items()))
+    names = f.valid.groupBy("domain_name", label.alias("label")).agg(F.count("*").alias("c"))
+    names = tables.spread(names, "domain_name", f.events.count())
+    return ft.with_features(names).select("label", "c", *(F.round(F.col(n).cast("double"), 5).alias(n) for n in ft.all_features()))
 
 
 query("ks_all", f"SELECT feature, round(d, 6) statistic, n0, n1, round(least(1.0, 2 * exp(-2 * d * d * n0 * n1 / (n0 + n1))), 6) p_value, round(emd, 5) emd FROM k")(
-    lambda f: explore.distances(_features(f), list(ft.all_features())).select("feature", r6(F.col("statistic")).alias("statistic"), "n0", "n1", r6(F.col("p_value")).alias("p_value"), F.round(F.coalesce("emd", F.lit(0.0)), 5).alias("emd"))
+    lambda f: explore.distances(_features(f), list(ft.all_features()), "c").select("feature", r6(F.col("statistic")).alias("statistic"), "n0", "n1", r6(F.col("p_value")).alias("p_value"), F.round(F.coalesce("emd", F.lit(0.0)), 5).alias("emd"))
 )
 ORACLE_SQL["ks_all"] = ORACLE_SQL["ks_all"].replace(" SELECT feature, round(d", f", xs AS ({_X}), {_CDFS} SELECT feature, round(d")
 _BIN = "CASE WHEN high = low THEN 1 ELSE least(cast(floor((x - low) / (high - low) * 30) AS bigint) + 1, 30) END"
-QUERIES["histogram_all"] = lambda spark, sf_dir: explore.histograms(_features(Given(spark, sf_dir)), list(ft.all_features()))
+QUERIES["histogram_all"] = lambda spark, sf_dir: explore.histograms(_features(Given(spark, sf_dir)), list(ft.all_features()), weight="c")
 ORACLE_SQL["histogram_all"] = f"WITH {STEPS}, xs AS ({_X}), e AS (SELECT feature, min(x) low, max(x) high FROM xs GROUP BY 1) SELECT xs.feature, label, {_BIN} bin, count(*) n FROM xs JOIN e ON e.feature = xs.feature GROUP BY ALL"
 
 
 def _components(f: Given) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    out = explore.pca(_vectors(f.table))[1].withColumn("c", vector_to_array("components"))
+    rows = stored(_vectors(f.valid).select("logline_id", "features"))  # read several times, made once
+    out = explore.pca(rows)[1].withColumn("c", vector_to_array("components"))
     return out.select("logline_id", F.col("c")[0].alias("pc1"), F.col("c")[1].alias("pc2"))
 
 
