@@ -165,14 +165,23 @@ class Flow:
     @property
     def line_events(self) -> DataFrame:
         """key (logline_id), stage, status, is_active, us, rank of every stage; from the inspector on, one for each batch."""
+        return self._line_events(False)
+
+    @property
+    def last_line_events(self) -> DataFrame:
+        """line_events without those that the same line's next one follows at the same time: what its state can be."""
+        return self._line_events(True)
+
+    def _line_events(self, last: bool) -> DataFrame:
         event = lambda stage, status, active, rank: F.struct(F.lit(stage).alias("stage"), F.lit(status).alias("status"), F.lit(active).alias("is_active"), F.lit(rank).alias("rank"))
         early = [event(COLLECTOR, "in_process", True, 1), event(COLLECTOR, "finished", True, 2), event(BATCHES, "in_process", True, 3), event(BATCHES, "batched", True, 4)]
         gone = [*early, event(PREFILTER, "filtered_out", False, 5)]
-        of_line = F.when(self.options.format.relevant(), F.array(*early)).otherwise(F.array(*gone))
+        some = lambda events: F.array(*(events[-1:] if last else events))
+        of_line = F.when(self.options.format.relevant(), some(early)).otherwise(some(gone))
         first = self.table.select(F.col("logline_id").alias("key"), "us", F.inline(of_line))
         ends = self.relevant.join(self.outcomes.select("batch_id", "client_ip", "found"), ["batch_id", "client_ip"], "left")
         bad = F.col("found").isNotNull()
-        last = ends.select(
+        later = ends.select(
             F.col("logline_id").alias("key"),
             F.col("end_us").alias("us"),
             F.when(bad, DETECTOR).otherwise(INSPECTOR).alias("stage"),
@@ -180,7 +189,7 @@ class Flow:
             F.lit(False).alias("is_active"),
             F.when(bad, 7).otherwise(6).alias("rank"),
         )
-        return first.unionByName(last)
+        return first.unionByName(later)
 
     @cached_property
     def batch_counts(self) -> DataFrame:

@@ -268,7 +268,7 @@ query("logline_state", f"SELECT logline_id, min(status) status, bool_or(is_activ
 
 def _line_state(f: Given) -> DataFrame:
     """Each line's latest status; of a line in two batches that end alike, detected before filtered_out."""
-    events = f.line_events.withColumn("rank", F.struct("rank", (F.col("status") == "detected").alias("found")))
+    events = f.last_line_events.withColumn("rank", F.struct("rank", (F.col("status") == "detected").alias("found")))
     return detect.current_state(events).select(F.col("key").alias("logline_id"), "status", "is_active")
 
 

@@ -55,3 +55,12 @@ def test_columns_of_features_are_as_defined(spark):
 def test_vectors_are_written_and_not_made_again(spark, query):
     columns = read_by(registry.QUERIES[query](spark, SF))
     assert "features" in columns and not columns & {"value", "url", "client_ip", "class"}
+
+
+def test_a_line_has_one_event_before_the_inspector_for_its_state(spark):
+    from hostsieve.operators import detect
+
+    f = registry.Given(spark, SF)
+    assert f.last_line_events.where("rank < 6").count() == f.table.count()
+    state = lambda events: sorted(detect.current_state(events.withColumn("rank", F.struct("rank", (F.col("status") == "detected").alias("found")))).select("key", "stage", "status", "is_active").collect())
+    assert state(f.last_line_events) == state(f.line_events)
