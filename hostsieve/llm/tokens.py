@@ -2,7 +2,7 @@
 
 The tokenizers library encodes each pre-token (word, number, run of signs or of white space) by itself, so a text's ids
 are its pre-tokens' ids in order. Common pre-tokens come from a bounded cache of library results; the library encodes
-the others, many in one call. Texts with characters for which Python and the library might split differently, for
+the others, many in one call, or its model by itself where nothing but bytes come before it. Texts with characters for which Python and the library might split differently, for
 instance beyond the Latin letters, go to the library whole, and so do texts that hold one of the vocabulary's added tokens.
 """
 
@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 #: Letters and numbers among the characters that Encoder splits itself.
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -24,6 +26,9 @@ WORDS = {"type": "Split", "pattern": {"Regex": ENDINGS + r"|[\p{L}]+|[\p{N}]|[^\
 LOWERED = ["NFC", "Replace", "Lowercase"]
 BYTE_PIECES = rf"{ENDINGS}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\t\n\r {LETTER}{NUMBER}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
 WORD_PIECES = rf"{ENDINGS}|[{LETTER}]+|[{NUMBER}]|[^\t\n\r {LETTER}{NUMBER}]+"
+#: Fixed value: the character that stands for each byte in byte-level vocabularies: itself if it is printed, or one from 256 on.
+PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 #: A character outside this class sends its text to the library whole.
 UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ɏ]")
 #: Pre-tokens in the cache at most, and their characters together; beyond, the cache starts anew.
@@ -62,6 +67,8 @@ class Encoder:
         self.chars = 0
         pattern, self.lower = pieces_of(self.tokenizer)
         self.split = re.compile(pattern).findall if pattern else None
+        model = self.tokenizer.model
+        self.model = model if pattern == BYTE_PIECES and isinstance(model, BPE) and not model.dropout else None
         added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
 
@@ -70,9 +77,13 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of new pre-tokens. Those without white space inside are encoded in one call, a line each."""
+        """The ids of new pre-tokens. Those without white space inside are encoded in one call, a line each; a byte-level
+        vocabulary's model takes a pre-token's bytes as they are, which spares the library the search for places."""
         plain = [p for p in pieces if p.strip() and p.lstrip(" ") == p.strip()]
         found = {p: self.whole(p) for p in pieces if not (p.strip() and p.lstrip(" ") == p.strip())}
+        if self.model:
+            ids = lambda p: [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(BYTE_SIGNS))]
+            return found | {p: struct.pack(f"<{len(x)}I", *x) for p, x in zip(plain, map(ids, plain), strict=True)}
         if plain:
             lines = self.tokenizer.encode("\n".join(plain), add_special_tokens=False)
             ids, word = np.array(lines.ids, "<u4"), np.array(lines.word_ids)
