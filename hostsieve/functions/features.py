@@ -90,6 +90,14 @@ def feature_vector(df: DataFrame, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(all_features()), outputCol=out, handleInvalid="keep").transform(df)
 
 
+def feature_columns(df: DataFrame, vector: str = "features") -> DataFrame:
+    """Adds the 44 features as columns from their vector."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = df.withColumn("__a", vector_to_array(vector))
+    return out.withColumns({c: F.get("__a", F.lit(i)) for i, c in enumerate(all_features())}).drop("__a")
+
+
 def preprocess(df: DataFrame, query: str = "query") -> DataFrame:
     """Non-empty, distinct names of two or more labels with their levels; of a name's classes, the smallest."""
     df = df.where((F.col(query) != "") & F.col(query).isNotNull()).groupBy(query).agg(F.min("class").alias("class"))

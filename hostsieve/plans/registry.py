@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hostsieve.functions import features as ft
 from hostsieve.functions.lines import DEFAULT, is_ip, is_timestamp, matches, network
 from hostsieve.operators import batching, detect, explore, series
+from hostsieve.operators.names import by_name, vectors
 from hostsieve.plans import flow
 from hostsieve.plans.flow import DETECTOR, Flow, Options
 from hostsieve.plans.steps import DAY, HOUR, SIZE, STEPS, sql_entropy
@@ -40,6 +41,11 @@ class Given(Flow):
     def features(self) -> DataFrame:
         return ft.with_levels(self.valid)
 
+    @cached_property
+    def names(self) -> DataFrame:
+        """The distinct names of the valid lines with their vectors; there are no more of them than events."""
+        return vectors(self.table, self.events.count())
+
     @property
     def judged(self) -> DataFrame:
         """label and prediction of each valid line by the rule."""
@@ -361,19 +367,16 @@ query("mispredictions", "SELECT logline_id, domain_name, label, prediction FROM
 query("misprediction_classes", "SELECT DISTINCT class FROM judged WHERE label <> prediction")(lambda f: f.judged.where("label <> prediction").select("class").distinct())
 
 
-def _vectors(lines: DataFrame) -> DataFrame:
-    return ft.feature_vector(lines.withColumn("label", F.when(F.col("class") == "legit", 0.0).otherwise(1.0)))
-
-
 def _halves(f: Given) -> tuple[DataFrame, DataFrame]:
     """The training and the held-out half of each class of the valid lines, with the features as columns too."""
-    return _parts(_split(f, *ft.all_features()))
+    return _parts(ft.feature_columns(_split(f)))
 
 
-def _split(f: Given, *more: str) -> DataFrame:
-    """The valid lines with their vectors and their half, written once; more: further columns."""
+def _split(f: Given) -> DataFrame:
+    """The valid lines with their vectors and their half, written once."""
     rows = detect.stratified_split(f.table.select("logline_id", "domain_name", "class"), "class", "logline_id", {"train": 0.5, "test": 0.5})
-    return stored(_vectors(rows).select("logline_id", "domain_name", "split", "label", "features", *more))
+    rows = rows.select("logline_id", "domain_name", "split", F.when(F.col("class") == "legit", 0.0).otherwise(1.0).alias("label"))
+    return stored(by_name(rows, f.names, ["domain_name", "logline_id"]))
 
 
 def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -387,15 +390,21 @@ def _held_out(f: Given, kind: str) -> DataFrame:
 
 
 def _scores(f: Given, lines: DataFrame | None = None) -> DataFrame:
-    """The given lines with p1, by a forest of the training half; all valid lines, whose vectors are there, without them."""
+    """The given lines with p1, by a forest of the training half; without them all valid lines, whose vectors are there.
+
+    The names of given lines are scored and not the lines, as p1 depends on the name alone.
+    """
     rows = _split(f)
-    return detect.detect(detect.train(_parts(rows)[0]), rows if lines is None else ft.feature_vector(lines))
+    model = detect.train(_parts(rows)[0])
+    if lines is None:
+        return detect.detect(model, rows)
+    return by_name(lines, stored(detect.detect(model, f.names).select("domain_name", "c", "p1")))
 
 
 query("train_rf")(partial(_held_out, kind="rf"))
 query("train_gbt")(partial(_held_out, kind="gbt"))
 query("detect_scores")(lambda f: _scores(f).select("logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
-query("warnings")(lambda f: detect.warnings(_scores(f, f.by_client)).select("suspicious_batch_id", "batch_id", "client_ip", "logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
+query("warnings")(lambda f: detect.warnings(_scores(f, f.by_client.select("suspicious_batch_id", "batch_id", "client_ip", "logline_id", "domain_name"))).select("suspicious_batch_id", "batch_id", "client_ip", "logline_id", "domain_name", r6(F.col("p1")).alias("p1")))
 
 
 def _rules(f: Given) -> DataFrame:
@@ -541,7 +550,7 @@ ORACLE_SQL["histogram_all"] = f"WITH {STEPS}, xs AS ({_X}), e AS (SELECT feature
 def _components(f: Given) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    rows = stored(_vectors(f.valid).select("logline_id", "features"))  # read several times, made once
+    rows = stored(by_name(f.table.select("logline_id", "domain_name"), f.names).select("logline_id", "features"))  # read several times, made once
     out = explore.pca(rows)[1].withColumn("c", vector_to_array("components"))
     return out.select("logline_id", F.col("c")[0].alias("pc1"), F.col("c")[1].alias("pc2"))
 

@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,7 +215,7 @@ def decode_envelope(messages: DataFrame, as_text: bool = False) -> DataFrame:
     return lines.select("batch_id", (F.from_json("l", _LINE) if as_text else F.col("l")).alias("l")).select("batch_id", "l.*")
 
 
-def spread(df: DataFrame, key: str, rows: int, most: int = 200_000) -> DataFrame:
+def spread(df: DataFrame, key: Column | str, rows: int, most: int = 200_000) -> DataFrame:
     """df, of which `rows` is the number of rows, dealt by a key to all cores, and to tasks of about `most` rows each.
 
     What files give isn't asked: a file of few row groups has partitions without rows.

@@ -64,3 +64,30 @@ def test_a_line_has_one_event_before_the_inspector_for_its_state(spark):
     assert f.last_line_events.where("rank < 6").count() == f.table.count()
     state = lambda events: sorted(detect.current_state(events.withColumn("rank", F.struct("rank", (F.col("status") == "detected").alias("found")))).select("key", "stage", "status", "is_active").collect())
     assert state(f.last_line_events) == state(f.line_events)
+
+
+def test_warnings_score_names_and_not_lines(spark):
+    columns = read_by(registry.QUERIES["warnings"](spark, SF))
+    assert "p1" in columns and not columns & {"features", "value", "url"}
+
+
+def test_vectors_of_lines_are_made_once_for_each_name(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    f = registry.Given(spark, SF)
+    texts = lambda rows: sorted(str(tuple(r)) for r in rows.select("logline_id", vector_to_array("features")).collect())
+    assert f.names.count() == f.table.select("domain_name").distinct().count() < f.table.count()
+    assert texts(registry._split(f)) == texts(ft.feature_vector(f.table))
+
+
+@pytest.mark.parametrize("share", [1, 3, 100])
+def test_frequent_and_rare_names_meet_their_rows(spark, share):
+    from hostsieve.operators.names import by_name
+
+    of = ["a"] * 50 + ["b"] * 30 + ["c", "d", "d"]
+    rows = spark.createDataFrame(list(enumerate(of)), "k long, domain_name string")
+    names = rows.groupBy("domain_name").agg(F.count("*").alias("c")).withColumn("x", F.upper("domain_name"))
+    for order in ([], ["domain_name", "k"]):
+        got = by_name(rows, names, order, share).select("k", "x").collect()
+        assert sorted(map(tuple, got)) == [(k, n.upper()) for k, n in enumerate(of)]
+    assert by_name(rows.where("false"), names.where("false")).count() == 0
