@@ -466,8 +466,8 @@ def _catalog(f: Given) -> DataFrame:
     """Every monitoring table of a run, written by append and read back: its name and number of rows."""
     path = shared_dir(f.spark)
     tables.create_tables(f.spark, path)
-    out = None
-    for name, rows in flow.run_batch(f.lines, f.options).items():
+    out, lines = None, stored(f.lines)  # read for several tables, made once
+    for name, rows in flow.run_batch(lines, f.options).items():
         if name in tables.TABLES:
             tables.append(rows, path, name)
             n = tables.read_table(f.spark, path, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))

@@ -91,3 +91,11 @@ def test_frequent_and_rare_names_meet_their_rows(spark, share):
         got = by_name(rows, names, order, share).select("k", "x").collect()
         assert sorted(map(tuple, got)) == [(k, n.upper()) for k, n in enumerate(of)]
     assert by_name(rows.where("false"), names.where("false")).count() == 0
+
+
+def test_lines_are_made_once_for_all_monitoring_tables(spark, monkeypatch):
+    seen, run = [], registry.flow.run_batch
+    monkeypatch.setattr(registry.flow, "run_batch", lambda lines, options: seen.append(read_by(lines)) or run(lines, options))
+    got = {r.name: r.n for r in registry.QUERIES["table_catalog"](spark, SF).collect()}
+    assert len(seen) == 1 and "value" in seen[0] and not seen[0] & {"event_id", "user_id", "url"}
+    assert got["server_logs"] == spark.read.parquet(f"{SF}/events.parquet").count()
