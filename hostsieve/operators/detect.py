@@ -212,13 +212,15 @@ def rules(model, names: list[str]) -> list[str]:
     return [path for path, value in leaves(model, names) if value > 0 and path]
 
 
-def rule_quality(df: DataFrame, predicates: list[str]) -> DataFrame:
+def rule_quality(df: DataFrame, predicates: list[str], weight: str | None = None) -> DataFrame:
     """rule, support and precision of each predicate on a labelled table, in one pass; those that no row meets have 0.
 
-    A row gives the numbers of the predicates that it meets, so the aggregate is as narrow for any number of them.
+    A row gives the numbers of the predicates that it meets, so the aggregate is as narrow for any number of them. weight:
+    a column that says how many rows a row stands for; without it one.
     """
     met = F.filter(F.array(*(F.when(F.expr(p), F.lit(k)) for k, p in enumerate(predicates))).cast("array<int>"), lambda k: k.isNotNull())
-    hits = df.select("label", F.explode(met).alias("k")).groupBy("k").agg(F.count("*").alias("s"), F.count_if(F.col("label") == 1).alias("h"))
+    c = (F.col(weight) if weight else F.lit(1)).cast("long").alias("c")
+    hits = df.select("label", c, F.explode(met).alias("k")).groupBy("k").agg(F.sum("c").alias("s"), F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("h"))
     rules = df.sparkSession.createDataFrame(list(enumerate(predicates)), "k int, rule string")
     s, h = (F.coalesce(c, F.lit(0)) for c in ("s", "h"))
     return rules.join(hits, "k", "left").select("rule", s.alias("support"), ratio(h, s).alias("precision"))

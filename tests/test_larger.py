@@ -99,3 +99,12 @@ def test_lines_are_made_once_for_all_monitoring_tables(spark, monkeypatch):
     got = {r.name: r.n for r in registry.QUERIES["table_catalog"](spark, SF).collect()}
     assert len(seen) == 1 and "value" in seen[0] and not seen[0] & {"event_id", "user_id", "url"}
     assert got["server_logs"] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_rules_are_judged_by_weight(spark):
+    from hostsieve.operators import detect
+
+    rows = spark.createDataFrame([(1, 1.0, 3), (1, 0.0, 2), (5, 1.0, 4)], "x int, label double, c int")
+    each = rows.select("x", "label", F.explode(F.expr("array_repeat(0, c)")))
+    got, want = (sorted(map(tuple, detect.rule_quality(df, ["x <= 2", "x > 9"], w).collect())) for df, w in ((rows, "c"), (each, None)))
+    assert got == want == [("x <= 2", 5, 0.6), ("x > 9", 0, 0.0)]
