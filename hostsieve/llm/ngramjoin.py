@@ -4,10 +4,14 @@ Signature trees join groups of candidates; the candidates come of a prefix filte
 one task. That is a departure from trees alone, without loss.
 
 1. Each document's set is hashed to sorted 64-bit numbers; documents with equal sets are one node from there on.
-2. Candidates by rare n-grams: fixed counters tell roughly how many documents hold an n-gram, which puts all n-grams in
-   one order. Similar sets share an n-gram among the rarest of both, at a place that bounds the other's size. What shares
-   such an n-gram and is within that reach is chained, first in each map task, so that a frequent n-gram sends little.
-   Any order is exact; a passage of many documents comes late in it and alone brings no candidates.
+2. Candidates by rare n-grams: fixed counters tell roughly which n-grams many documents hold and how frequent words are,
+   which puts all n-grams in one order. Similar sets share an n-gram among the rarest of both, at a place that bounds the
+   other's size. Any order is exact; a passage of many documents comes late in it and alone brings no candidates. The more
+   text, the more counters of n-grams, up to a bound, as what rare ones together put on a counter hides frequent ones;
+   words need no more, as a word's share of the text does not depend on how much text there is.
+   Of an n-gram with few sets, each pair within reach is held against bitmaps of both sets, so that a passage which two
+   documents share doesn't tie them together. Those of a frequent one are chained, first in each map task, so that it
+   sends little.
 3. Groups of candidates, the components of these chains, are joined with signature trees: a node holds the OR of its
    documents' token bitmaps, the fewest bits among them, and their range of sizes. A dual traversal drops a pair of nodes
    if the largest overlap that bits and sizes allow is too small, or all its documents are linked already; pairs of
@@ -30,16 +34,19 @@ from pyspark.sql import functions as F
 from hostsieve.llm.common import lowered, mixed, slices, span_hashes, stored, utf8, words
 from hostsieve.llm.components import components
 
+#: Sets of an n-gram whose pairs are looked at one by one; more are chained.
+FEW = 32
 #: Documents of a block, shared documents of a large group's blocks, and entries that a map task holds.
 BLOCK, PIVOTS, HELD = 1000, 8, 1 << 21
 BITMAP_WORDS, LEAF, FANOUT = 32, 16, 8
-#: Counters of n-grams, as a power of two, and the rows that they are sent in.
-CELL_BITS, CELL_ROWS = 20, 64
+#: Counters of words and the least and most of n-grams, as powers of two, bytes of text for a counter of n-grams, and the
+#: rows that the counters of either are sent in.
+WORD_BITS, GRAM_BITS, CELL_TEXT, CELL_ROWS = 20, (20, 24), 384, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
-    """Each text's distinct n-grams of words as sorted hashes; fewer words count as one n-gram, none as the empty set."""
+def slices_of(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some texts at a time: hashes of the words and of each n words in a row, and the word counts before each text."""
     for i, j in slices(offsets, 1 << 18):
         low, off = lowered(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
         start, end, at = words(low, off)
@@ -47,33 +54,79 @@ def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndar
         grams = np.zeros(max(0, len(word) - n + 1), np.uint64)
         for k in range(n):
             grams = grams * _STEP + word[k : k + len(grams)]
-        grams = mixed(grams)
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a >= n:
-                yield np.unique(grams[a : b - n + 1])
-            elif b > a:
-                short = np.full(1, b - a, np.uint64)
-                for k in range(a, b):
-                    short = short * _STEP + word[k : k + 1]
-                yield mixed(short)
-            else:
-                yield np.zeros(0, np.uint64)
+        yield word, mixed(grams), at
+
+
+def sets_of(word: np.ndarray, grams: np.ndarray, at: np.ndarray, n: int, common: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Each text's set, and with levels of words the sum of its words' levels for each n-gram."""
+    if common is not None:
+        total = np.concatenate(([0], np.cumsum(common[cells(word, WORD_BITS)], dtype=np.int64)))
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a >= n and common is not None:
+            own, first = np.unique(grams[a : b - n + 1], return_index=True)
+            yield own, (total[a + n : b + 1] - total[a : b - n + 1])[first]
+        elif b - a >= n:
+            yield np.unique(grams[a : b - n + 1]), None
+        elif b > a:
+            short = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                short = short * _STEP + word[k : k + 1]
+            yield mixed(short), np.zeros(1, np.int64)
+        else:
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Each text's distinct n-grams of words as sorted hashes; fewer words count as one n-gram, none as the empty set."""
+    for part in slices_of(raw, offsets, n):
+        for grams, _ in sets_of(*part, n):
+            yield grams
+
+
+def gram_bits(text: int) -> int:
+    """The power of two of the counters of n-grams for so many bytes of text."""
+    return min(max((text // CELL_TEXT).bit_length(), GRAM_BITS[0]), GRAM_BITS[1])
+
+
+def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The counter of each n-gram or word; a set is sorted, and so are its counters."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_levels(count: np.ndarray) -> np.ndarray:
+    """Rough logarithms of how many documents hold the n-grams of a counter, and 0 where that can't be told.
+
+    Most n-grams are rare, so the median is what rare ones together put on a counter; what doesn't stand out from it is rare.
+    """
+    rare = np.median(count)
+    over = count - rare
+    return np.where(over > 3 * np.sqrt(rare), 2 * np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+
+
+def word_levels(count: np.ndarray) -> np.ndarray:
+    """Rough logarithms of how often the words of a counter stand in the texts."""
+    return (4 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+
+def squeezed(count: np.ndarray) -> bytes:
+    """Counts as bytes, the lowest of each first."""
+    return zlib.compress(count.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def cells(grams: np.ndarray) -> np.ndarray:
-    """The counter of each n-gram; a set is sorted, and so are its counters."""
-    return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def prefix(grams: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix(grams: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The rarest n-grams of a set that a similar set may share first, and the largest size of such a set for each.
 
-    If the first common n-gram of two sets has p rarer ones before it in a set of size x, they share at most x - p; so it
-    can be that of a similar set of size y only if 100 + percent times x - p reaches percent * (x + y).
+    A rank belongs to an n-gram wherever it stands; of equal ranks the smaller n-gram is first. If the first common n-gram
+    of two sets has p rarer ones before it in a set of size x, they share at most x - p; so it can be that of a similar set
+    of size y only if 100 + percent times x - p reaches percent * (x + y).
     """
     x = len(grams)
     p = np.arange(x - (percent * x + 99) // 100 + 1)
-    return grams[np.lexsort((grams, level[cells(grams)]))[: len(p)]], (100 + percent) * (x - p) // percent - x
+    return grams[np.argsort(rank, kind="stable")[: len(p)]], (100 + percent) * (x - p) // percent - x
 
 
 def segments(gram: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,6 +135,8 @@ def segments(gram: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarra
     Gives gram, low, high and the smallest key of each segment, and pairs of the smallest key with others. Entries within
     each other's reach are chained by these pairs, also where they come in parts whose segments a later call unites.
     """
+    if not len(gram):
+        return gram, low, high, key, np.zeros((0, 2), np.int64)
     order = np.lexsort((low, gram))
     gram, low, high, key = gram[order], low[order], high[order], key[order]
     fresh = np.concatenate(([True], gram[1:] != gram[:-1]))
@@ -96,6 +151,54 @@ def segments(gram: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarra
     return gram[at], low[at], np.maximum.reduceat(high, at), least, pairs
 
 
+def pairs_of_few(gram: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """All pairs of keys, the smaller first, whose entries of an n-gram are within reach of each other."""
+    order = np.lexsort((low, gram))
+    gram, low, high, key = gram[order], low[order], high[order], key[order]
+    found = [np.zeros((0, 2), np.int64)]
+    for d in range(1, len(gram)):
+        same = gram[d:] == gram[:-d]
+        if not same.any():
+            break
+        same &= (low[d:] <= high[:-d]) & (low[:-d] <= high[d:]) & (key[d:] != key[:-d])
+        found.append(np.stack([np.minimum(key[:-d][same], key[d:][same]), np.maximum(key[:-d][same], key[d:][same])], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def several(gram: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, merged: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Without the entries of n-grams that have one, and those of copies of a set that other tasks sent."""
+    _, at, count = np.unique(gram, return_inverse=True, return_counts=True)
+    gram, low, high, key, merged = (x[count[at] > 1] for x in (gram, low, high, key, merged))
+    order = np.lexsort((merged, key, gram))
+    gram, low, high, key, merged = (x[order] for x in (gram, low.astype(np.int64), high.astype(np.int64), key, merged))
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (key[1:] != key[:-1]) | (merged[1:] > 0)
+    return tuple(x[fresh] for x in (gram, low, high, key, merged))
+
+
+def frequent(gram: np.ndarray, merged: np.ndarray, few: int) -> np.ndarray:
+    """Which entries belong to an n-gram with more than so few entries, or with one that is merged already."""
+    _, at, count = np.unique(gram, return_inverse=True, return_counts=True)
+    return ((count > few) | (np.bincount(at, merged, len(count)) > 0))[at]
+
+
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each n-gram, in two to four times as many."""
+    bits = np.zeros(max(64, 2 << int(len(grams) - 1).bit_length()), np.uint8)
+    bits[(grams & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(x: int, map_x: bytes, y: int, map_y: bytes, percent: int) -> bool:
+    """Whether the largest overlap that the bitmaps of sets of x and y n-grams allow is enough for a link."""
+    a, b = np.frombuffer(map_x, np.uint64), np.frombuffer(map_y, np.uint64)
+    m = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(k.reshape(-1, m)) for k in (a, b))
+    shared = int(np.bitwise_count(a & b).sum())
+    most = min(x - max(0, int(np.bitwise_count(a).sum()) - shared), y - max(0, int(np.bitwise_count(b).sum()) - shared))
+    return (100 + percent) * most >= percent * (x + y)
+
+
 def set_key(grams: np.ndarray) -> tuple[int, int]:
     """Two 64-bit numbers that stand for a whole set."""
     a = mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
@@ -191,44 +294,52 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // (24 << 20)))
+    buckets, bits = max(8, -(-total // (24 << 20))), gram_bits(total)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many documents of a task fall on each counter."""
-        count = np.zeros(1 << CELL_BITS, np.int64)
+        """How many documents of a task fall on each counter of n-grams (first rows), and how many words on each of the others."""
+        count, spoken = np.zeros(1 << bits, np.uint32), np.zeros(1 << WORD_BITS, np.uint32)
         for batch in batches:
-            own = [cells(grams) for grams in ngram_sets(*utf8(batch["text"]), n)]
-            if own:
-                count += np.bincount(np.concatenate(own), minlength=len(count))
-        yield counters(enumerate(count.reshape(CELL_ROWS, -1)))
+            own = [np.zeros(0, np.int64)]
+            for part in slices_of(*utf8(batch["text"]), n):
+                own.append(cells(part[0], WORD_BITS))
+                for grams, _ in sets_of(*part, n):
+                    count[cells(grams, bits)] += 1
+            spoken += np.bincount(np.concatenate(own), minlength=len(spoken)).astype(np.uint32)
+        for first, x in ((0, count), (CELL_ROWS, spoken)):
+            for k, part in enumerate(np.split(x, CELL_ROWS)):
+                yield counter(first + k, squeezed(part))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The levels of each row of counters."""
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, data in zip(batch["row"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                total[row] = np.frombuffer(zlib.decompress(data), "<u4") + total.get(row, np.int64(0))
-        yield counters(total.items())
+                total[row] = unsqueezed(data) + total.get(row, np.int64(0))
+        for row, x in total.items():
+            yield counter(row, zlib.compress((gram_levels if row < CELL_ROWS else word_levels)(x).tobytes(), 1))
 
-    def counters(rows) -> pa.RecordBatch:
-        rows = [(r, zlib.compress(np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes(), 1)) for r, x in rows]
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], ["row", "data"])
+    def counter(row: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([data], pa.binary())], ["row", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of documents (bucket -1), pairs of candidates of this task (-2), and packed entries for each bucket."""
-        held, many, seen = [], 0, set()
+        """Rows of documents (bucket -1) with the sets' bitmaps, chained pairs of this task (-2), and packed entries for each bucket."""
+        (often, spoken), held, many, seen = level.value, [], 0, set()
         for batch in batches:
-            found = []
-            for grams in ngram_sets(*utf8(batch["text"]), n):
-                key = set_key(grams)
-                found.append((len(grams), *key))
-                if len(grams) and key[0] not in seen:  # equal sets have equal entries
-                    seen.add(key[0])
-                    first, most = prefix(grams, level.value, percent)
-                    held.append((first, np.full(len(first), len(grams)), most, np.full(len(first), key[0])))
-                    many += len(first)
+            found, maps = [], []
+            for part in slices_of(*utf8(batch["text"]), n):
+                for grams, weight in sets_of(*part, n, spoken):
+                    key = set_key(grams)
+                    found.append((len(grams), *key))
+                    maps.append(None)
+                    if len(grams) and key[0] not in seen:  # equal sets have equal entries
+                        seen.add(key[0])
+                        maps[-1] = bitmap(grams)
+                        first, most = prefix(grams, (often[cells(grams, bits)].astype(np.int64) << 32) + weight, percent)
+                        held.append((first, np.full(len(first), len(grams)), most, np.full(len(first), key[0])))
+                        many += len(first)
             size, k1, k2 = zip(*found, strict=True) if found else ((), (), ())
-            m = batch.num_rows
-            yield packed([-1] * m, batch["doc_id"], size, k1, k2, [None] * m)
+            yield packed([-1] * batch.num_rows, batch["doc_id"], size, k1, k2, maps)
             if many > HELD:
                 yield from dealt(held)
                 held, many, seen = [], 0, set()
@@ -236,17 +347,21 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
             yield from dealt(held)
 
     def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        gram, low, high, key, pairs = segments(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        """Entries of a task: as they are, or merged (k1 is 1) if the n-gram is frequent."""
+        entries = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        often = frequent(entries[0], np.zeros(len(entries[0])), FEW)
+        *merged, pairs = segments(*(x[often] for x in entries))
         m = len(pairs)
         yield packed([-2] * m, pa.nulls(m, pa.int64()), [0] * m, pairs[:, 0], pairs[:, 1], [None] * m)
-        to = (mixed(gram.copy()) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = order[cut[b] : cut[b + 1]]
-            if len(own):
-                data = gram[own].astype("<u8").tobytes() + key[own].astype("<i8").tobytes() + low[own].astype("<u4").tobytes() + high[own].astype("<u4").tobytes()
-                yield packed([b], [None], [0], [0], [0], [data])
+        for k, (gram, low, high, key) in enumerate([tuple(x[~often] for x in entries), merged]):
+            to = (mixed(gram.copy()) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                own = order[cut[b] : cut[b + 1]]
+                if len(own):
+                    data = gram[own].astype("<u8").tobytes() + key[own].astype("<i8").tobytes() + low[own].astype("<u4").tobytes() + high[own].astype("<u4").tobytes()
+                    yield packed([b], [None], [0], [k], [0], [data])
 
     def packed(bucket, doc_id, size, k1, k2, data) -> pa.RecordBatch:
         columns = [pa.array(bucket, pa.int64()), doc_id if isinstance(doc_id, pa.Array) else pa.array(doc_id, pa.int64())]
@@ -254,32 +369,47 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
         return pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "n_shingles", "k1", "k2", "data"])
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the buckets of one task: pairs of a set and the smallest set of a segment."""
-        parts: dict[int, list[bytes]] = {}
+        """Of the buckets of one task: chained pairs, and pairs (few) that their bitmaps are to confirm."""
+        parts: dict[int, list[tuple]] = {}
         for batch in batches:
-            for b, data in zip(batch["bucket"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                parts.setdefault(b, []).append(data)
+            for b, k, data in zip(*(batch[c].to_pylist() for c in ("bucket", "k1", "data")), strict=True):
+                parts.setdefault(b, []).append((k, data))
         for b in list(parts):
-            columns = [[], [], [], []]
-            for data in parts.pop(b):
+            columns, flags = [[], [], [], []], []
+            for k, data in parts.pop(b):
                 m = len(data) // 24
                 for column, (kind, at) in zip(columns, (("<u8", 0), ("<u4", 16 * m), ("<u4", 20 * m), ("<i8", 8 * m)), strict=True):
                     column.append(np.frombuffer(data, kind, m, at))
-            gram, low, high, key = map(np.concatenate, columns)
-            pairs = segments(gram, low.astype(np.int64), high.astype(np.int64), key)[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                flags.append(np.full(m, k))
+            *entries, merged = several(*map(np.concatenate, (*columns, flags)))
+            often = frequent(entries[0], merged, FEW)
+            for few, pairs in ((False, segments(*(x[often] for x in entries))[-1]), (True, pairs_of_few(*(x[~often] for x in entries)))):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([few] * len(pairs), pa.bool_())], ["a", "b", "few"])
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*(batch[c].to_pylist() for c in ("x", "map_x", "y", "map_y")), strict=True)
+            own = pa.array([may_link(*row, percent) for row in both], pa.bool_())
+            yield batch.select(["a", "b"]).filter(own)
 
     counted = docs.select("text").mapInArrow(tally, "row long, data binary").repartition(8, "row").mapInArrow(summed, "row long, data binary")
-    level = np.zeros((CELL_ROWS, (1 << CELL_BITS) // CELL_ROWS), np.uint8)
-    got = counted.toArrow()  # CELL_ROWS rows, whatever the input
-    for row, data in zip(got["row"].to_pylist(), got["data"].to_pylist(), strict=True):
-        level[row] = 2 * np.log2(np.maximum(np.frombuffer(zlib.decompress(data), "<u4"), 1))
-    level = documents.sparkSession.sparkContext.broadcast(level.ravel())  # 2 ** CELL_BITS bytes
+    got = counted.toArrow()  # 2 * CELL_ROWS rows of at most 2 ** GRAM_BITS[1] // CELL_ROWS bytes, whatever the input
+    row = dict(zip(got["row"].to_pylist(), got["data"].to_pylist(), strict=True))
+    level = [[zlib.decompress(row[k]) for k in range(a, a + CELL_ROWS) if k in row] for a in (0, CELL_ROWS)]
+    level = documents.sparkSession.sparkContext.broadcast(tuple(np.frombuffer(b"".join(x), np.uint8) for x in level))
     scanned = stored(docs.mapInArrow(scan, "bucket long, doc_id long, n_shingles long, k1 long, k2 long, data binary"))
     rows = scanned.where("bucket = -1").select("doc_id", "n_shingles", "k1", "k2")
-    sent = scanned.where("bucket >= 0").select("bucket", "data").repartition(buckets, "bucket")
+    sent = scanned.where("bucket >= 0").select("bucket", "k1", "data").repartition(buckets, "bucket")
     near = scanned.where("bucket = -2").select(F.col("k1").alias("a"), F.col("k2").alias("b"))
-    groups = components(sent.mapInArrow(chains, "a long, b long").unionByName(near))  # of keys k1
+    pairs = stored(sent.mapInArrow(chains, "a long, b long, few boolean").distinct())
+    few = pairs.where("few").select("a", "b")
+    ends = few.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    maps = scanned.where("bucket = -1 and data is not null").select("k1", "k2", "n_shingles", "data")
+    maps = stored(maps.join(ends, "k1", "left_semi").dropDuplicates(["k1", "k2"]))
+    for end, x in (("a", "x"), ("b", "y")):
+        few = few.join(maps.select(F.col("k1").alias(end), F.col("n_shingles").alias(x), F.col("data").alias(f"map_{x}")), end)
+    few = few.mapInArrow(confirmed, "a long, b long")
+    groups = components(pairs.where("not few").select("a", "b").unionByName(near).unionByName(few))  # of keys k1
     same = rows.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = stored(same.join(groups.withColumnRenamed("node", "k1"), "k1").select("node", "k1", "k2", F.col("component").alias("grp")))
     pivots = F.array_compact(F.array([F.min(F.when(F.pmod(F.xxhash64("k1"), F.lit(PIVOTS)) == k, F.col("k1"))) for k in range(PIVOTS)]))

@@ -63,6 +63,38 @@ def test_ngram_join(spark, docs, block, n, percent, monkeypatch):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize(("few", "bits"), [(1, 8), (3, 20)])
+def test_ngram_join_by_pairs_and_chains(spark, docs, few, bits, monkeypatch):
+    want = {tuple(r) for r in ngramjoin.similar_components(frame(spark, docs)).collect()}
+    monkeypatch.setattr(ngramjoin, "FEW", few)
+    monkeypatch.setattr(ngramjoin, "GRAM_BITS", (bits, bits))
+    assert {tuple(r) for r in ngramjoin.similar_components(frame(spark, docs)).collect()} == want
+
+
+def test_passages_of_two_documents_tie_nothing_together(spark, monkeypatch):
+    halves = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(41)]
+    sent = []
+    inner = ngramjoin.components
+    monkeypatch.setattr(ngramjoin, "components", lambda edges: sent.append(edges.where("a <> b").count()) or inner(edges))
+    got = ngramjoin.similar_components(frame(spark, [(i, f"{halves[i]} {halves[i + 1]}") for i in range(40)]))
+    assert {tuple(r) for r in got.collect()} == {(i, 77, i) for i in range(40)}
+    assert sent[0] == 0
+
+
+def test_bitmaps_keep_what_links():
+    rng = np.random.default_rng(4)
+    for x in (1, 7, 60, 64, 65, 500, 3000):
+        for percent in (80, 85):
+            one = np.unique(rng.integers(0, 1 << 63, x).astype(np.uint64))
+            gone = one[: x - -(-x * percent // 100)]
+            for two in (one[len(gone) :], np.unique(np.append(one, gone + np.uint64(1)))):
+                both = len(np.intersect1d(one, two))
+                if 100 * both >= percent * (len(one) + len(two) - both):
+                    assert ngramjoin.may_link(len(one), ngramjoin.bitmap(one), len(two), ngramjoin.bitmap(two), percent)
+            other = np.unique(rng.integers(0, 1 << 63, x).astype(np.uint64))
+            assert x < 60 or not ngramjoin.may_link(len(one), ngramjoin.bitmap(one), x, ngramjoin.bitmap(other), percent)
+
+
 def test_segments_in_parts_lose_no_candidates():
     rng = np.random.default_rng(2)
     low = rng.integers(1, 4000, 300)
