@@ -36,8 +36,10 @@ from hostsieve.llm.components import components
 
 #: Sets of an n-gram whose pairs are looked at one by one; more are chained.
 FEW = 32
+#: Parts of a bucket's n-grams that are looked at one after another.
+PARTS = 8
 #: Documents of a block, shared documents of a large group's blocks, and entries that a map task holds.
-BLOCK, PIVOTS, HELD = 1000, 8, 1 << 21
+BLOCK, PIVOTS, HELD = 1000, 8, 1 << 19
 BITMAP_WORDS, LEAF, FANOUT = 32, 16, 8
 #: Counters of words and the least and most of n-grams, as powers of two, bytes of text for a counter of n-grams, and the
 #: rows that the counters of either are sent in.
@@ -294,7 +296,7 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, bits = max(8, -(-total // (24 << 20))), gram_bits(total)
+    buckets, bits = max(8, -(-total // (16 << 20))), gram_bits(total)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many documents of a task fall on each counter of n-grams (first rows), and how many words on each of the others."""
@@ -349,11 +351,13 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
     def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Entries of a task: as they are, or merged (k1 is 1) if the n-gram is frequent."""
         entries = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         often = frequent(entries[0], np.zeros(len(entries[0])), FEW)
         *merged, pairs = segments(*(x[often] for x in entries))
         m = len(pairs)
         yield packed([-2] * m, pa.nulls(m, pa.int64()), [0] * m, pairs[:, 0], pairs[:, 1], [None] * m)
-        for k, (gram, low, high, key) in enumerate([tuple(x[~often] for x in entries), merged]):
+        entries = tuple(x[~often] for x in entries)
+        for k, (gram, low, high, key) in enumerate([entries, merged]):
             to = (mixed(gram.copy()) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[order], np.arange(buckets + 1))
@@ -375,16 +379,18 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
             for b, k, data in zip(*(batch[c].to_pylist() for c in ("bucket", "k1", "data")), strict=True):
                 parts.setdefault(b, []).append((k, data))
         for b in list(parts):
-            columns, flags = [[], [], [], []], []
-            for k, data in parts.pop(b):
-                m = len(data) // 24
-                for column, (kind, at) in zip(columns, (("<u8", 0), ("<u4", 16 * m), ("<u4", 20 * m), ("<i8", 8 * m)), strict=True):
-                    column.append(np.frombuffer(data, kind, m, at))
-                flags.append(np.full(m, k))
-            *entries, merged = several(*map(np.concatenate, (*columns, flags)))
-            often = frequent(entries[0], merged, FEW)
-            for few, pairs in ((False, segments(*(x[often] for x in entries))[-1]), (True, pairs_of_few(*(x[~often] for x in entries)))):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([few] * len(pairs), pa.bool_())], ["a", "b", "few"])
+            rows = [(k, len(data) // 24, data) for k, data in parts.pop(b)]
+            for part in range(PARTS):  # of the n-grams, for less memory
+                columns, flags = [[], [], [], []], []
+                for k, m, data in rows:
+                    own = np.frombuffer(data, "<u8", m) % np.uint64(PARTS) == part
+                    for column, (kind, at) in zip(columns, (("<u8", 0), ("<u4", 16 * m), ("<u4", 20 * m), ("<i8", 8 * m)), strict=True):
+                        column.append(np.frombuffer(data, kind, m, at)[own])
+                    flags.append(np.full(len(columns[0][-1]), k))
+                *entries, merged = several(*map(np.concatenate, (*columns, flags)))
+                often = frequent(entries[0], merged, FEW)
+                for few, pairs in ((False, segments(*(x[often] for x in entries))[-1]), (True, pairs_of_few(*(x[~often] for x in entries)))):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([few] * len(pairs), pa.bool_())], ["a", "b", "few"])
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
